@@ -76,14 +76,24 @@ def _read(text: Column, fmt: DateFormat) -> Column:
 
 
 def parse_date(c: Column, formats: Sequence[str] = GENERAL_FORMATS,
-               data_type: T.DataType | None = None) -> Column:
-    """Date of the first format that fits, else null; a time part is dropped."""
+               data_type: T.DataType | None = None, stripped: bool = False) -> Column:
+    """Date of the first format that fits, else null; a time part is dropped.
+
+    Text that does not start like a date costs one pattern. Year-first and
+    day- or month-first shapes exclude each other, so only one of the two
+    groups is tried, each in the given order.
+    """
     if isinstance(data_type, T.DateType | T.TimestampType | T.TimestampNTZType):
         return c.cast("date")
     if data_type is not None and not isinstance(data_type, T.StringType):
         return F.lit(None).cast("date")
-    text = script_strip(c)
-    return F.coalesce(*(_read(text, _ALL[name]) for name in formats))
+    text = c if stripped else script_strip(c)
+    year_first = [_read(text, _ALL[name]) for name in formats if name.startswith("Y")]
+    day_first = [_read(text, _ALL[name]) for name in formats if not name.startswith("Y")]
+    return (
+        F.when(text.rlike(r"^\d{4}[-/]"), F.coalesce(F.lit(None).cast("date"), *year_first))
+        .when(text.rlike(r"^\d\d?[-/.]"), F.coalesce(F.lit(None).cast("date"), *day_first))
+    )
 
 
 def iso_date(c: Column, formats: Sequence[str] = GENERAL_FORMATS,

@@ -109,11 +109,12 @@ def strip_or_blank(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit(""))
 
 
-def normalize_boolean(c: Column, data_type: T.DataType | None = None) -> Column:
+def normalize_boolean(c: Column, data_type: T.DataType | None = None, stripped: bool = False) -> Column:
     """Boolean for the known spellings, null for anything else.
 
     Booleans pass through and numbers are true unless zero; give
-    ``data_type`` for columns that are not strings.
+    ``data_type`` for columns that are not strings. ``stripped`` says that the
+    text has no blanks at its ends already.
     """
     if isinstance(data_type, T.BooleanType):
         return c
@@ -121,7 +122,7 @@ def normalize_boolean(c: Column, data_type: T.DataType | None = None) -> Column:
         return c != 0
     if data_type is not None and not isinstance(data_type, T.StringType):
         return F.lit(None).cast("boolean")
-    word = F.lower(script_strip(c))
+    word = F.lower(c if stripped else script_strip(c))
     return (
         F.when(word.isin(*TRUE_SPELLINGS), F.lit(True))
         .when(word.isin(*FALSE_SPELLINGS), F.lit(False))
@@ -168,6 +169,29 @@ def drop_injection_patterns(c: Column) -> Column:
     return c
 
 
+def _drop_plain_patterns(c: Column) -> Column:
+    """Remove the patterns that hold no escapable character.
+
+    Each of them needs a colon or an equals sign, and removing text adds none,
+    so text without such a sign skips the patterns that need it.
+    """
+    plain = [p for p in INJECTION_PATTERNS if "<" not in p and "&" not in p]
+
+    def chain(patterns: Sequence[str]) -> Column:
+        out = c
+        for pattern in patterns:
+            out = _drop_pattern(out, pattern)
+        return out
+
+    colon, equals = c.contains(":"), c.contains("=")
+    return (
+        F.when(colon & equals, chain(plain))
+        .when(colon, chain([p for p in plain if ":" in p]))
+        .when(equals, chain([p for p in plain if ":" not in p]))
+        .otherwise(c)
+    )
+
+
 def drop_unsafe_characters(c: Column, keep_unicode: bool = False) -> Column:
     """Remove control characters (not tab or line ends) and, by default, non-ASCII."""
     unsafe = r"[\x00-\x08\x0b\x0c\x0e-\x1f]+" if keep_unicode else r"[^\t\n\r\x20-\x7f]+"
@@ -185,9 +209,7 @@ def sanitize_markup(c: Column, mode: str = "strict", max_length: int | None = 50
     """
     if mode not in ("strict", "keep_unicode"):
         raise ValueError(f"unknown mode: {mode}")
-    for pattern in INJECTION_PATTERNS:
-        if "<" not in pattern and "&" not in pattern:
-            c = _drop_pattern(c, pattern)
+    c = _drop_plain_patterns(c)
     c = drop_unsafe_characters(c, keep_unicode=mode == "keep_unicode")
     c = _replace_all(c, (("'", ""), *_MARKUP_ENTITIES))
     if max_length is not None:

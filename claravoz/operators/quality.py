@@ -9,7 +9,7 @@ copies of a row combine before the shuffle, however many there are.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -22,13 +22,19 @@ _BITS = 62
 # Digest digits summed into the content hash: 15 hex digits stay below 2^60.
 _HASH_DIGITS = 15
 
-
-class Flag(NamedTuple):
-    """A yes/no fact about one column of a row; its metric is the number of yes."""
-
-    metric: str
-    column: str
-    test: Column
+# Yes/no facts about a string cell, given as it is and stripped; the metric is
+# the number of cells with yes.
+CellTest = Callable[[Column, Column], Column]
+TEXT_FLAGS: dict[str, CellTest] = {
+    "null_count": lambda x, bare: x.isNull(),
+    "empty_count": lambda x, bare: x == "",
+    "whitespace_count": lambda x, bare: F.length(x) != F.length(bare),
+}
+DETECTION_FLAGS: dict[str, CellTest] = {
+    **TEXT_FLAGS,
+    "boolean_like": lambda x, bare: text.normalize_boolean(bare, stripped=True).isNotNull(),
+    "date_like": lambda x, bare: dates.parse_date(bare, stripped=True).isNotNull(),
+}
 
 
 class Cell(NamedTuple):
@@ -55,85 +61,107 @@ def row_digest(cells: Sequence[Cell]) -> Column:
     return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
 
 
-def basic_flags(cells: Sequence[Cell]) -> list[Flag]:
-    """Null per column; blank and padded per string column."""
-    flags = []
-    for name, value, data_type in cells:
-        flags.append(Flag("null_count", name, value.isNull()))
-        if isinstance(data_type, T.StringType):
-            flags.append(Flag("empty_count", name, value == ""))
-            flags.append(Flag("whitespace_count", name, text.is_padded(value)))
-    return flags
-
-
-def detection_flags(cells: Sequence[Cell]) -> list[Flag]:
-    """Values per string column that read as a boolean or as a date."""
-    flags = []
-    for name, value, data_type in cells:
-        if isinstance(data_type, T.StringType):
-            flags.append(Flag("boolean_like", name, text.normalize_boolean(value).isNotNull()))
-            flags.append(Flag("date_like", name, dates.parse_date(value).isNotNull()))
-    return flags
-
-
-def _pack(flags: Sequence[Flag]) -> list[Column]:
-    masks = []
-    for start in range(0, len(flags), _BITS):
-        mask = F.lit(0).cast("long")
-        for bit, flag in enumerate(flags[start:start + _BITS]):
-            on = F.when(flag.test, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))
-            mask = mask.bitwiseOR(on)
+class _Place(NamedTuple):
+    """Where the total of a flag is found: mask and bit."""
+
+    column: str
+    metric: str
+    mask: int
+    bit: int
+
+
+def _masks(cells: Sequence[Cell], tests: Mapping[str, CellTest]) -> tuple[list[Column], list[_Place]]:
+    """Flags of a row packed into longs, and the place of every flag.
+
+    String columns are folded over an array, so that each test is written
+    once in the plan however many columns there are.
+    """
+    masks: list[Column] = []
+    places: list[_Place] = []
+    strings = [c for c in cells if isinstance(c.data_type, T.StringType)]
+    others = [c for c in cells if not isinstance(c.data_type, T.StringType)]
+    width = len(tests)
+    zero = F.lit(0).cast("long")
+
+    def tested(x: Column) -> Column:
+        bits = zero
+        for i, test in enumerate(tests.values()):
+            bits = bits.bitwiseOR(F.when(test(x["raw"], x["bare"]), F.lit(1 << i).cast("long")).otherwise(zero))
+        return bits
+
+    step = _BITS // width
+    for start in range(0, len(strings), step):
+        chunk = strings[start:start + step]
+        masks.append(F.aggregate(
+            F.array(*(F.struct(c.value.alias("raw"), text.strip(c.value).alias("bare")) for c in chunk)), zero,
+            lambda acc, x: F.shiftleft(acc, width).bitwiseOR(tested(x)),
+        ))
+        for j, cell in enumerate(chunk):
+            low = (len(chunk) - 1 - j) * width
+            places += [_Place(cell.name, m, len(masks) - 1, low + i) for i, m in enumerate(tests)]
+    for start in range(0, len(others), _BITS):
+        mask = zero
+        for bit, cell in enumerate(others[start:start + _BITS]):
+            mask = mask.bitwiseOR(F.when(cell.value.isNull(), F.lit(1 << bit).cast("long")).otherwise(zero))
+            places.append(_Place(cell.name, "null_count", len(masks), bit))
         masks.append(mask)
-    return masks
+    return masks, places
 
 
-def _flag_total(index: int) -> Column:
-    bit = F.getbit(F.col(f"_mask{index // _BITS}"), F.lit(index % _BITS))
-    return F.coalesce(F.sum(F.col("_copies") * bit.cast("long")), F.lit(0).cast("long"))
+def _flag_total(mask: int, bit: int) -> Column:
+    on = F.getbit(F.col(f"_mask{mask}"), F.lit(bit)).cast("long")
+    return F.coalesce(F.sum(F.col("_copies") * on), F.lit(0).cast("long"))
 
 
 def profile_totals(df: DataFrame, phases: Mapping[str, Sequence[Cell]],
-                   flags: Mapping[str, Sequence[Flag]]) -> DataFrame:
+                   tests: Mapping[str, CellTest] = TEXT_FLAGS) -> DataFrame:
     """Long table (phase, column, metric, total) for several views of the same rows.
 
     Every phase is a list of columns over ``df``; all phases share the scan.
     Table-wide metrics (rows, distinct_rows, content_hash) have a null column.
     """
-    masks = max((len(f) + _BITS - 1) // _BITS for f in flags.values()) or 1
-    views = []
-    for phase, cells in phases.items():
-        packed = _pack(flags[phase])
-        packed += [F.lit(0).cast("long")] * (masks - len(packed))
-        views.append(F.struct(
-            F.lit(phase).alias("phase"),
-            row_digest(cells).alias("_digest"),
-            *(m.alias(f"_mask{i}") for i, m in enumerate(packed)),
-        ))
+    # every cell is computed once, in its own projection, and used from there
+    staged = df.select(*(
+        c.value.alias(f"{phase}_{i}") for phase, cells in phases.items() for i, c in enumerate(cells)
+    ))
+    packed = {
+        phase: (cells, *_masks(cells, tests)) for phase, cells in (
+            (phase, [Cell(c.name, F.col(f"{phase}_{i}"), c.data_type) for i, c in enumerate(cells)])
+            for phase, cells in phases.items()
+        )
+    }
+    n_masks = max(len(masks) for _, masks, _ in packed.values())
+    views = [
+        F.struct(
+            F.lit(phase).alias("phase"), row_digest(cells).alias("_digest"),
+            *((masks[i] if i < len(masks) else F.lit(0).cast("long")).alias(f"_mask{i}")
+              for i in range(n_masks)),
+        ) for phase, (cells, masks, _) in packed.items()
+    ]
     view = views[0] if len(views) == 1 else F.explode(F.array(*views))
     rows = (
-        df.select(view.alias("v")).select("v.*")
-        .groupBy("phase", "_digest", *(f"_mask{i}" for i in range(masks)))
+        staged.select(view.alias("v")).select("v.*")
+        .groupBy("phase", "_digest", *(f"_mask{i}" for i in range(n_masks)))
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
     digits = F.conv(F.substring("_digest", 1, _HASH_DIGITS), 16, 10).cast("decimal(19,0)")
-    width = max(len(f) for f in flags.values())
+    used = sorted({(p.mask, p.bit) for _, _, places in packed.values() for p in places})
     totals = rows.groupBy("phase").agg(
         F.sum("_copies").alias("_rows"),
         F.count(F.lit(1)).alias("_distinct"),
         F.sum((digits * F.col("_copies")).cast("decimal(38,0)")).alias("_hash"),
-        *(_flag_total(i).alias(f"_t{i}") for i in range(width)),
+        *(_flag_total(mask, bit).alias(f"_t{mask}_{bit}") for mask, bit in used),
     )
     # every phase keeps a row also when the table is empty
     named = df.sparkSession.createDataFrame([(p,) for p in phases], "phase string")
     totals = named.join(totals, "phase", "left")
     long = []
-    for phase, phase_flags in flags.items():
+    for phase, (_, _, places) in packed.items():
         entries = [
-            _entry(None, "rows", F.coalesce(F.col("_rows"), F.lit(0))),
-            _entry(None, "distinct_rows", F.coalesce(F.col("_distinct"), F.lit(0))),
-            _entry(None, "content_hash", F.coalesce(F.col("_hash"), F.lit(0))),
-            *(_entry(f.column, f.metric, F.coalesce(F.col(f"_t{i}"), F.lit(0)))
-              for i, f in enumerate(phase_flags)),
+            _entry(None, "rows", F.col("_rows")),
+            _entry(None, "distinct_rows", F.col("_distinct")),
+            _entry(None, "content_hash", F.col("_hash")),
+            *(_entry(p.column, p.metric, F.col(f"_t{p.mask}_{p.bit}")) for p in places),
         ]
         long.append(F.when(F.col("phase") == phase, F.array(*entries)))
     return totals.select("phase", F.explode(F.coalesce(*long)).alias("e")).select("phase", "e.*")
@@ -143,7 +171,7 @@ def _entry(column: str | None, metric: str, total: Column) -> Column:
     return F.struct(
         F.lit(column).cast("string").alias("column"),
         F.lit(metric).alias("metric"),
-        total.cast("decimal(38,0)").alias("total"),
+        F.coalesce(total, F.lit(0)).cast("decimal(38,0)").alias("total"),
     )
 
 
@@ -198,7 +226,7 @@ def report_from_totals(totals: DataFrame, widths: Mapping[str, int]) -> DataFram
 def quality_report(df: DataFrame, phase: str = "data") -> DataFrame:
     """Nulls, padding and duplicates of a table, overall and per column."""
     cells = cells_of(df)
-    totals = profile_totals(df, {phase: cells}, {phase: basic_flags(cells)})
+    totals = profile_totals(df, {phase: cells})
     return report_from_totals(totals, {phase: len(cells)})
 
 
@@ -226,10 +254,7 @@ def before_after_report(df: DataFrame, cleaned: Mapping[str, tuple[Column, T.Dat
     """Report of ``df`` before and after replacing the given columns, in one scan."""
     before = cells_of(df)
     after = [Cell(c.name, *cleaned.get(c.name, (c.value, c.data_type))) for c in before]
-    totals = profile_totals(
-        df, {"before": before, "after": after},
-        {"before": basic_flags(before), "after": basic_flags(after)},
-    )
+    totals = profile_totals(df, {"before": before, "after": after})
     return with_improvements(
         report_from_totals(totals, {"before": len(before), "after": len(after)})
     )
@@ -238,7 +263,7 @@ def before_after_report(df: DataFrame, cleaned: Mapping[str, tuple[Column, T.Dat
 def quality_issues(df: DataFrame) -> DataFrame:
     """Null fraction per column (4 digits), padded cells per row, duplicates, records."""
     cells = cells_of(df)
-    totals = profile_totals(df, {"data": cells}, {"data": basic_flags(cells)})
+    totals = profile_totals(df, {"data": cells})
     table = totals.agg(
         _total("rows", True).alias("n"), _total("distinct_rows", True).alias("d"),
         _total("whitespace_count").alias("padded"),
@@ -393,3 +418,9 @@ def validate_audit(audits: DataFrame) -> DataFrame:
 def quality_event(records_affected: Column, total_records: Column) -> Column:
     """Share of affected records in percent, two digits."""
     return scoring.percent(records_affected, total_records)
+
+
+def sample_rows(df: DataFrame, fraction: float, key: Column) -> DataFrame:
+    """A sample that depends on the key only, not on partitioning or order."""
+    share = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return df.where(share < fraction)

@@ -101,9 +101,7 @@ def detect_schema(df: DataFrame, sample_rows: int | None = None,
     """
     if sample_rows is not None:
         df = df.limit(sample_rows)
-    cells = quality.cells_of(df)
-    flags = quality.basic_flags(cells) + quality.detection_flags(cells)
-    totals = quality.profile_totals(df, {"before": cells}, {"before": flags})
+    totals = quality.profile_totals(df, {"before": quality.cells_of(df)}, quality.DETECTION_FLAGS)
     return detected_types(totals, df.schema, "before", share)
 
 

@@ -126,9 +126,8 @@ def convert(spark: SparkSession, source: DataFrame, output: str, sanitize: bool
     one writes; the report after reads the written table.
     """
     cells = quality.cells_of(source)
-    flags = quality.basic_flags(cells) + quality.detection_flags(cells)
     # one row per metric and column
-    rows = quality.profile_totals(source, {"before": cells}, {"before": flags}).collect()
+    rows = quality.profile_totals(source, {"before": cells}, quality.DETECTION_FLAGS).collect()
     totals = spark.createDataFrame(rows, "phase string, column string, metric string, total decimal(38,0)")
     types = {r["column"]: r["type"] for r in
              schema.detected_types(totals, source.schema, "before").collect()}

@@ -141,20 +141,20 @@ def profile_files(spark: SparkSession, path: str, expect_header: bool = True, mi
     files = files.withColumn("delimiter", F.when(is_csv, _delimiter(F.col("_lines"))))
     widths = F.transform("_lines", lambda line: F.length(line) - F.length(
         F.replace(line, F.col("delimiter"), F.lit(""))) + 1)
-    parsed = F.try_parse_json("_text")
     first_record = F.regexp_extract("_text", r'^(?:"[^"]*+"|[^"\r\n])*+', 0)
     header = F.transform(
         F.split(first_record, F.concat(F.lit("["), F.col("delimiter"), F.lit('](?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'))),
         lambda h: F.regexp_replace(h, r'^\s*"|"\s*$', ""),
     )
     rows = F.when(is_csv, F.coalesce(F.size("_lines"), F.lit(0))) \
-        .when(is_json, F.coalesce(F.json_array_length("_text"), F.lit(0))).otherwise(F.lit(0))
+        .when(is_json, json_rows(F.col("_text"))).otherwise(F.lit(0))
     files = files.withColumns({
         "format": F.when(is_csv, "csv").when(is_json, "json").otherwise("unknown"),
         "rows": F.greatest(rows, F.lit(0)),
         "header": F.when(is_csv, header),
         "uneven_rows": F.when(is_csv, F.size(F.filter(widths, lambda w: w != F.get(widths, F.lit(0))))),
-        "multi_line": F.when(is_csv, F.regexp_count("_text", F.lit(r'"[^"]*[\r\n][^"]*+"')) > 0),
+        "multi_line": F.when(is_csv, F.exists(
+            F.regexp_extract_all("_text", F.lit(r'"([^"]*+)"')), lambda quoted: quoted.rlike(r"[\r\n]"))),
     })
     errors = F.array_compact(F.array(
         size_problem(F.col("size_bytes"), max_bytes),
@@ -166,7 +166,7 @@ def profile_files(spark: SparkSession, path: str, expect_header: bool = True, mi
         F.when(is_csv & (F.col("rows") < min_rows), F.lit("insufficient rows")),
         F.when(is_csv & F.lit(expect_header) & (F.coalesce(F.size("header"), F.lit(0)) <= 0),
                F.lit("header expected but not found")),
-        F.when(is_json & parsed.isNull(), F.lit("invalid JSON")),
+        F.when(is_json, json_problem(F.col("_text"))),
     ))
     return files.withColumn("errors", errors).select(
         "path", "size_bytes", "encoding", "format", "delimiter", "header", "rows", "uneven_rows",
@@ -174,6 +174,16 @@ def profile_files(spark: SparkSession, path: str, expect_header: bool = True, mi
     )
 
 
+def json_problem(document: Column) -> Column:
+    """Reason when a text is not one whole JSON document, else null."""
+    return F.when(document.isNull() | F.try_parse_json(document).isNull(), F.lit("invalid JSON"))
+
+
+def json_rows(document: Column) -> Column:
+    """Number of elements when the document is a list, else zero."""
+    return F.coalesce(F.json_array_length(document), F.lit(0))
+
+
 def malicious_preview(spark: SparkSession, path: str, preview_chars: int | None = None,
                       max_bytes: int = 50 * 1024 * 1024) -> DataFrame:
     """CSV files whose text matches a script or formula pattern.

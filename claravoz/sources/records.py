@@ -23,12 +23,17 @@ def to_records(df: DataFrame, task_id: str, order: Sequence[str]) -> DataFrame:
     return numbered.select(F.lit(task_id).alias("task_id"), "record_index", "data")
 
 
-def write_records(records: DataFrame, path: str) -> int:
-    """Append to the store, one partition per task; returns the rows of the store's new part."""
+def write_records(records: DataFrame, path: str) -> str:
+    """Append to the store, one partition per task."""
     records.withColumn("created_at", F.current_timestamp()).write.mode("append") \
         .partitionBy("task_id").parquet(path)
-    tasks = [r[0] for r in records.select("task_id").distinct().limit(1000).collect()]
-    return records.sparkSession.read.parquet(path).where(F.col("task_id").isin(tasks)).count()
+    return path
+
+
+def load_parquet(spark: SparkSession, source: str, task_id: str, order: Sequence[str], path: str) -> int:
+    """Load a Parquet table into the store; returns how many records the task has then."""
+    write_records(to_records(spark.read.parquet(source), task_id, order), path)
+    return spark.read.parquet(path).where(F.col("task_id") == task_id).count()
 
 
 def read_records(spark: SparkSession, path: str, task_id: str, limit: int | None = SCAN_DEFAULT) -> DataFrame:
