@@ -61,7 +61,9 @@ def approximate_recall(spark, d):
     return neighbors.recall(found, truth).select("expected", (F.col("recall") >= 0.8).alias("good"))
 
 
-@query("vector_table_roundtrip", _KNN_SQL)
+@query("vector_table_roundtrip", _KNN_SQL.replace("), p AS", """), n AS (SELECT vec_id, list_transform(v, lambda x:
+       CAST(CAST(x / sqrt(list_sum(list_transform(v, lambda y: y * y))) AS FLOAT) AS DOUBLE)) AS v FROM u), p AS""")
+       .replace("u a, u b", "u a, n b"))
 def vector_table_roundtrip(spark, d):
     """Add in two parts, save, load, search."""
     rows = table(spark, d, "embeddings")
@@ -248,8 +250,6 @@ def _drained(spark, df, label):
 
 @query("stream_rate_limit", _bucket_sql("user_id", PER_USER))
 def stream_rate_limit(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = _event_stream(spark, d).select("event_id", "user_id", "ts")
     return _limited(_drained(spark, token_bucket_stream(stream, "user_id", "ts", "event_id", PER_USER), "limits"),
                     "user_id")

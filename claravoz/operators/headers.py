@@ -91,12 +91,23 @@ def partial_similarity(a: Column, b: Column) -> Column:
     )
 
 
+def whole_similarity(a: Column, b: Column) -> Column:
+    """Similarity (0 to 100) of two whole texts: one minus the edit distance over the longer length."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer == 0, F.lit(0.0)).otherwise((F.lit(1.0) - F.levenshtein(a, b) / longer) * 100)
+
+
 def fuzzy_match(c: Column, canonical: Mapping[str, Sequence[str]] = CANONICAL,
-                threshold: float = FUZZY_THRESHOLD) -> Column:
-    """Target of the most similar alias if it reaches the threshold; earlier targets win ties."""
+                threshold: float = FUZZY_THRESHOLD, partial: bool = True) -> Column:
+    """Target of the most similar alias if it reaches the threshold; earlier targets win ties.
+
+    ``partial`` compares with the best part of the longer text, so that short
+    aliases match inside unrelated words; without it whole texts are compared.
+    """
     name = F.lower(text.script_strip(c))
+    similarity = partial_similarity if partial else whole_similarity
     scored = F.transform(_lookup(canonical), lambda entry, i: F.struct(
-        partial_similarity(name, entry["alias"]).alias("score"), (-i).alias("order"),
+        similarity(name, entry["alias"]).alias("score"), (-i).alias("order"),
         entry["target"].alias("target"),
     ))
     best = F.array_max(scored)
@@ -107,7 +118,7 @@ def map_header(c: Column, canonical: Mapping[str, Sequence[str]] = CANONICAL,
                threshold: float = FUZZY_THRESHOLD, match: str = "tokens") -> Column:
     """Struct (target, method) of a header: alias, then fuzzy, then its own cleaned name."""
     by_alias = alias_match(c, canonical, match)
-    by_fuzzy = fuzzy_match(c, canonical, threshold)
+    by_fuzzy = fuzzy_match(c, canonical, threshold, partial=match == "contains")
     return F.when(by_alias.isNotNull(), F.struct(by_alias.alias("target"), F.lit("alias").alias("method"))) \
         .when(by_fuzzy.isNotNull(), F.struct(by_fuzzy.alias("target"), F.lit("fuzzy").alias("method"))) \
         .otherwise(F.struct(text.header_fallback(c).alias("target"), F.lit("unmapped").alias("method")))

@@ -73,6 +73,8 @@ class Transfer:
 
     Kept as pieces (from, value, slope): for arrivals from ``from`` up to the
     next piece, the result is ``value + slope * (arrival - from)``, slope 0 or 1.
+    Neighbouring pieces that continue each other are merged; what is left
+    grows with the tokens a bucket holds, not with the number of events.
     """
 
     def __init__(self, rule: BucketRule) -> None:
@@ -137,6 +139,11 @@ def _apply(pieces: Iterable[tuple[int, int, int]], units: int) -> int:
     return result
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970; times without zone are read in the session's."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def token_bucket(df: DataFrame, key: str, ts: str, tie: str, rule: BucketRule,
                  tokens_required: Column | int = 1) -> DataFrame:
     """Decide every event: adds allowed, retry_after (seconds, 0 if allowed) and tokens_left.
@@ -146,7 +153,7 @@ def token_bucket(df: DataFrame, key: str, ts: str, tie: str, rule: BucketRule,
     """
     need = tokens_required if isinstance(tokens_required, Column) else F.lit(tokens_required)
     slim = df.select(
-        key, tie, F.unix_micros(F.col(ts)).alias("_us"), need.cast("long").alias("_need")
+        key, tie, micros(F.col(ts)).alias("_us"), need.cast("long").alias("_need")
     )
     rows = ordered_partitions(slim, [key], ["_us", tie])
 
@@ -162,7 +169,7 @@ def token_bucket(df: DataFrame, key: str, ts: str, tie: str, rule: BucketRule,
     )
     decided = rows.withColumn("_key", F.col(key).cast("string")).mapInPandas(
         _decide(rule, arriving, [key, "_us", tie]), f"{schema}, {_DECISION}"
-    ).select(key, F.timestamp_micros("_us").alias(ts), tie, "allowed", "retry_after", "tokens_left")
+    ).select(key, F.timestamp_micros("_us").cast(df.schema[ts].dataType).alias(ts), tie, "allowed", "retry_after", "tokens_left")
     rest = [c for c in df.columns if c not in (key, ts, tie)]
     if not rest:
         return decided
@@ -251,5 +258,5 @@ def _decide(rule: BucketRule, arriving: dict[int, int], keep: list[str]):
 def idle_keys(df: DataFrame, key: str, ts: str, now: Column, cleanup_interval: float) -> DataFrame:
     """Keys whose last event is older than the interval, with that event's time."""
     last = df.groupBy(key).agg(F.max(ts).alias("last_seen"))
-    idle = F.unix_micros(now) - F.unix_micros(F.col("last_seen"))
+    idle = micros(now) - micros(F.col("last_seen"))
     return last.where(idle > int(cleanup_interval * 1_000_000))

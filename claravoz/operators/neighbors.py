@@ -14,6 +14,7 @@ by the same bounded blocks, only within equal buckets.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
@@ -166,7 +167,11 @@ def _blocked_search(asked: DataFrame, stored: DataFrame, bucket: list[str], k: i
 
 @dataclass(frozen=True)
 class HyperplaneHash:
-    """Random hyperplane signatures: ``tables`` codes of ``bits`` signs each."""
+    """Random hyperplane signatures: ``tables`` codes of ``bits`` signs each.
+
+    More bits make smaller buckets; more tables and probes find more of the
+    true neighbours.
+    """
 
     dimensions: int
     tables: int = 12
@@ -208,7 +213,7 @@ def approximate_knn(queries: DataFrame, vectors: DataFrame, k: int = 10, query_i
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Like :func:`exact_knn`, looking only at vectors that share a bucket with the query."""
     if hashing is None:
-        hashing = HyperplaneHash(_dimensions(vectors, vec_col))
+        hashing = hashing_for(vectors, vec_col)
     asked = hashing.buckets(queries.select(query_id, query_vec), query_vec, hashing.probes)
     stored = hashing.buckets(vectors.select(id_col, vec_col), vec_col, 1)
     found = _blocked_search(asked, stored, ["table", "code"], k, query_id, query_vec, id_col,
@@ -218,9 +223,11 @@ def approximate_knn(queries: DataFrame, vectors: DataFrame, k: int = 10, query_i
                   k, query_id, id_col)
 
 
-def _dimensions(df: DataFrame, vec_col: str) -> int:
-    first = df.select(F.size(vec_col).alias("d")).where("d > 0").first()
-    return first["d"] if first else 1
+def hashing_for(vectors: DataFrame, vec_col: str, bucket_rows: int = 64, max_bits: int = 20) -> HyperplaneHash:
+    """Settings by the size of the table: buckets of about ``bucket_rows``."""
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+    bits = max(2, min(max_bits, math.ceil(math.log2(max(size["n"], 1) / bucket_rows + 1))))
+    return HyperplaneHash(size["d"] or 1, bits=bits)
 
 
 def recall(found: DataFrame, truth: DataFrame, query_id: str = "query_id", id_col: str = "id") -> DataFrame:

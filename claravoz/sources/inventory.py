@@ -22,11 +22,19 @@ DELIMITERS = (",", ";", "\t", "|")
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_name, extension, size_bytes, size_mb) of every file below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
-    return files.select(
-        "path", name.alias("file_name"),
+    """(path, file_name, extension, size_bytes, size_mb) of every file below ``path``.
+
+    A scan leaves out files without a byte; these are added from the listing.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    seen = scan.select("path", "length")
+    # file names only, which Spark's own listing keeps on the driver too
+    listed = spark.createDataFrame([(p,) for p in scan.inputFiles()], "uri string").select(
+        F.regexp_replace(
+            F.url_decode(F.regexp_replace("uri", r"\+", "%2B")), r"^file:/{2,3}", "file:/").alias("path"))
+    empty = listed.join(seen, "path", "left_anti").withColumn("length", F.lit(0).cast("long"))
+    return seen.unionByName(empty).select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("extension"),
         F.col("length").alias("size_bytes"),
         F.round(F.col("length") / (1024 * 1024), 2).alias("size_mb"),
@@ -102,6 +110,11 @@ def validate_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES,
         .select("path", "file_name", "extension", "size_bytes", "errors", "passed")
 
 
+def _readable(content: Column) -> Column:
+    """Content as text; bytes that are not UTF-8 become replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def _bare_lines(content: Column) -> Column:
     """Lines with quoted parts replaced, so separators and line ends inside quotes do not count."""
     bare = F.regexp_replace(content, r'"[^"]*+"', "q")
@@ -109,18 +122,39 @@ def _bare_lines(content: Column) -> Column:
     return F.split(bare, r"\r?\n|\r")
 
 
-def _delimiter(lines: Column) -> Column:
-    """The separator that occurs equally often in every line, most often first; else a comma."""
-    def score(d: str) -> Column:
-        counts = F.transform(lines, lambda line: F.length(line) - F.length(F.replace(line, F.lit(d), F.lit(""))))
-        low, high = F.array_min(counts), F.array_max(counts)
-        return F.struct(
-            F.when((low == high) & (low > 0), low).otherwise(F.lit(0)).alias("even"), high.alias("most"),
-            F.lit(-DELIMITERS.index(d)).alias("order"), F.lit(d).alias("delimiter"),
-        )
+def _line_shapes(files: DataFrame) -> DataFrame:
+    """Per CSV file: rows, delimiter, and how many rows differ from the first in length.
 
-    best = F.array_max(F.array(*(score(d) for d in DELIMITERS)))
-    return F.when(best["most"] > 0, best["delimiter"]).otherwise(F.lit(","))
+    Lines are reduced to their separator counts, and equal counts of a file
+    combine before the shuffle.
+    """
+    lines = files.where(F.col("extension").isin("csv", "txt") & (F.length("_text") > 0)).select(
+        "path", F.posexplode(_bare_lines(F.col("_text"))).alias("_pos", "_line"))
+    names = [f"_c{i}" for i in range(len(DELIMITERS))]
+    counted = lines.select("path", "_pos", *(
+        (F.length("_line") - F.length(F.replace("_line", F.lit(d), F.lit("")))).alias(n)
+        for d, n in zip(DELIMITERS, names)
+    ))
+    shapes = counted.groupBy("path", *names).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    files_seen = shapes.groupBy("path").agg(
+        F.sum("_n").cast("int").alias("_rows"),
+        F.min_by(F.struct(*names), "_first").alias("_head"),
+        *(F.min(n).alias(f"{n}_low") for n in names), *(F.max(n).alias(f"{n}_high") for n in names),
+    )
+    # the separator found equally often in every line, most often first; else the most frequent, else a comma
+    best = F.array_max(F.array(*(
+        F.struct(
+            F.when(F.col(f"{n}_low") == F.col(f"{n}_high"), F.col(f"{n}_low")).otherwise(F.lit(0)).alias("even"),
+            F.col(f"{n}_high").alias("most"), F.lit(-i).alias("order"), F.lit(d).alias("delimiter"),
+        ) for i, (d, n) in enumerate(zip(DELIMITERS, names))
+    )))
+    chosen = files_seen.select("path", "_rows", "_head", best.alias("_best")).withColumn(
+        "delimiter", F.when(F.col("_best.most") > 0, F.col("_best.delimiter")).otherwise(F.lit(",")))
+    differs = F.lit(False)
+    for d, n in zip(DELIMITERS, names):
+        differs = differs | ((F.col("delimiter") == d) & (F.col(n) != F.col(f"_head.{n}")))
+    return chosen.join(shapes, "path").groupBy("path", "_rows", "delimiter").agg(
+        F.coalesce(F.sum(F.when(differs, F.col("_n"))), F.lit(0)).cast("int").alias("uneven_rows"))
 
 
 def profile_files(spark: SparkSession, path: str, expect_header: bool = True, min_rows: int = 1,
@@ -131,44 +165,41 @@ def profile_files(spark: SparkSession, path: str, expect_header: bool = True, mi
     compared with the header's length. Also says whether quotes hold line
     breaks, i.e. whether the file needs the multi-line reader.
     """
-    as_text = F.decode("content", "UTF-8")
     files = file_inventory(spark, path).select("path", "extension", "size_bytes").join(
         file_contents(spark, path, max_bytes).select("path", "content"), "path", "left"
-    ).withColumns({"encoding": encoding(F.col("content")), "_text": as_text})
+    ).withColumn("_text", _readable(F.col("content")))
     is_csv = F.col("extension").isin("csv", "txt")
     is_json = F.col("extension") == "json"
-    files = files.withColumn("_lines", F.when(is_csv & (F.length("_text") > 0), _bare_lines(F.col("_text"))))
-    files = files.withColumn("delimiter", F.when(is_csv, _delimiter(F.col("_lines"))))
-    widths = F.transform("_lines", lambda line: F.length(line) - F.length(
-        F.replace(line, F.col("delimiter"), F.lit(""))) + 1)
-    first_record = F.regexp_extract("_text", r'^(?:"[^"]*+"|[^"\r\n])*+', 0)
+    broken = F.exists(F.regexp_extract_all("_text", F.lit(r'"([^"]*+)"')), lambda quoted: quoted.rlike(r"[\r\n]"))
+    facts = files.select(
+        "path", "size_bytes", encoding(F.col("content")).alias("encoding"),
+        F.col("content").isNotNull().alias("_read"),
+        F.when(is_csv, "csv").when(is_json, "json").otherwise("unknown").alias("format"),
+        F.when(is_csv, F.regexp_extract("_text", r'^(?:"[^"]*+"|[^"\r\n]++)*+', 0)).alias("_first_record"),
+        F.when(is_csv, broken).alias("multi_line"),
+        F.when(is_json, json_problem(F.col("_text"))).alias("_json_problem"),
+        F.when(is_json, json_rows(F.col("_text"))).alias("_json_rows"),
+    ).join(_line_shapes(files), "path", "left")
+    is_csv = F.col("format") == "csv"
+    cut = F.concat(F.lit("["), F.col("delimiter"), F.lit('](?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'))
     header = F.transform(
-        F.split(first_record, F.concat(F.lit("["), F.col("delimiter"), F.lit('](?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'))),
-        lambda h: F.regexp_replace(h, r'^\s*"|"\s*$', ""),
-    )
-    rows = F.when(is_csv, F.coalesce(F.size("_lines"), F.lit(0))) \
-        .when(is_json, json_rows(F.col("_text"))).otherwise(F.lit(0))
-    files = files.withColumns({
-        "format": F.when(is_csv, "csv").when(is_json, "json").otherwise("unknown"),
-        "rows": F.greatest(rows, F.lit(0)),
-        "header": F.when(is_csv, header),
-        "uneven_rows": F.when(is_csv, F.size(F.filter(widths, lambda w: w != F.get(widths, F.lit(0))))),
-        "multi_line": F.when(is_csv, F.exists(
-            F.regexp_extract_all("_text", F.lit(r'"([^"]*+)"')), lambda quoted: quoted.rlike(r"[\r\n]"))),
+        F.split("_first_record", cut), lambda h: F.regexp_replace(h, r'^\s*"|"\s*$', ""))
+    profiled = facts.withColumns({
+        "rows": F.coalesce("_rows", "_json_rows", F.lit(0)),
+        "header": F.when(F.length("_first_record") > 0, header),
     })
     errors = F.array_compact(F.array(
         size_problem(F.col("size_bytes"), max_bytes),
         F.when(F.col("format") == "unknown", F.lit("unsupported file format")),
-        F.when((F.col("encoding") == "unknown") & (F.col("size_bytes") > 0) & F.col("content").isNotNull(),
+        F.when((F.col("encoding") == "unknown") & (F.col("size_bytes") > 0) & F.col("_read"),
                F.lit("not valid UTF-8")),
         F.when(is_csv & (F.col("uneven_rows") > 0),
                F.format_string("%d rows differ from the header in length", F.col("uneven_rows"))),
         F.when(is_csv & (F.col("rows") < min_rows), F.lit("insufficient rows")),
-        F.when(is_csv & F.lit(expect_header) & (F.coalesce(F.size("header"), F.lit(0)) <= 0),
-               F.lit("header expected but not found")),
-        F.when(is_json, json_problem(F.col("_text"))),
+        F.when(is_csv & F.lit(expect_header) & F.col("header").isNull(), F.lit("header expected but not found")),
+        F.col("_json_problem"),
     ))
-    return files.withColumn("errors", errors).select(
+    return profiled.withColumn("errors", errors).select(
         "path", "size_bytes", "encoding", "format", "delimiter", "header", "rows", "uneven_rows",
         "multi_line", "errors", (F.size("errors") == 0).alias("passed"),
     )
@@ -190,7 +221,7 @@ def malicious_preview(spark: SparkSession, path: str, preview_chars: int | None
 
     The whole text is searched unless ``preview_chars`` limits it to its beginning.
     """
-    content = F.decode("content", "UTF-8")
+    content = _readable(F.col("content"))
     if preview_chars is not None:
         content = F.substring(content, 1, preview_chars)
     patterns = "|".join(text.COMMENT_PATTERNS)

@@ -7,52 +7,51 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from claravoz.operators.limits import BucketRule
+from claravoz.operators.limits import BucketRule, micros
 
-_STATE = StructType([StructField("units", LongType()), StructField("last_us", LongType())])
-# Fixed value: seconds without events after which a bucket is dropped.
-CLEANUP_SECONDS = 3600
+_STATE = "units long, last_us long"
 
 
-class _Buckets(StatefulProcessor):
-    """Applies a rule to each key's events in order of time within a micro-batch."""
+def idle_seconds(rule: BucketRule) -> float:
+    """Idle time after which the state of a key may go.
 
-    def __init__(self, rule: BucketRule, key: str, tie: str, ttl_ms: int) -> None:
-        self.rule, self.key, self.tie, self.ttl_ms = rule, key, tie, ttl_ms
+    Without a cleanup interval it is the time an empty bucket takes to fill
+    up, since a bucket that is dropped then equals one that was kept.
+    """
+    if rule.cleanup_interval is not None:
+        return rule.cleanup_interval
+    return rule.max_tokens / rule.refill_rate
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", _STATE, self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rule = self.rule
-        events = pd.concat(list(rows)).sort_values(["_us", self.tie])
-        state = self.bucket.get() if self.bucket.exists() else None
-        units, last = (state[0], state[1]) if state else (rule.full, None)
+def _decide(rule: BucketRule, key: str, tie: str, idle_ms: int):
+    def decide(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        events = pd.concat(list(batches)).sort_values(["event_us", tie])
+        units, last = state.get if state.exists else (rule.full, None)
         allowed, retry, left = [], [], []
-        for us, need in zip(events["_us"].tolist(), events["_need"].tolist()):
+        for us, need in zip(events["event_us"].tolist(), events["event_need"].tolist()):
             if last is not None:
                 # an event that arrives late finds the bucket as it is
                 units = rule.refilled(units, max(us - last, 0))
-                last = max(us, last)
-            else:
-                last = us
+            last = us if last is None else max(us, last)
             missing = need * rule.token - units
             allowed.append(missing <= 0)
             retry.append(max(missing, 0) / (rule.refill * 1_000_000))
             if missing <= 0:
                 units = -missing
             left.append(units / rule.token)
-        self.bucket.update((units, last))
+        state.update((units, last))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({
-            self.key: events[self.key], "_us": events["_us"], self.tie: events[self.tie],
+            key: events[key], "event_us": events["event_us"], tie: events[tie],
             "allowed": allowed, "retry_after": retry, "tokens_left": left,
         })
 
-    def close(self) -> None:
-        pass
+    return decide
 
 
 def token_bucket_stream(events: DataFrame, key: str, ts: str, tie: str, rule: BucketRule,
@@ -61,19 +60,18 @@ def token_bucket_stream(events: DataFrame, key: str, ts: str, tie: str, rule: Bu
 
     Events of one key within a micro-batch are handled together, so bound the
     batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``); for
-    a log at rest use the batch operator, which splits large keys. Needs the
-    RocksDB state store provider.
+    a log at rest use the batch operator, which splits large keys.
     """
     slim = events.select(
-        key, tie, F.unix_micros(F.col(ts)).alias("_us"), F.lit(tokens_required).cast("long").alias("_need")
+        key, tie, micros(F.col(ts)).alias("event_us"), F.lit(tokens_required).cast("long").alias("event_need")
     )
     fields = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(key, "_us", tie).schema.fields
+        f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(key, "event_us", tie).schema.fields
     )
-    ttl_ms = int((rule.cleanup_interval or CLEANUP_SECONDS) * 1000)
-    decided = slim.groupBy(key).transformWithStateInPandas(
-        _Buckets(rule, key, tie, ttl_ms),
-        outputStructType=f"{fields}, allowed boolean, retry_after double, tokens_left double",
-        outputMode="Append", timeMode="ProcessingTime",
+    decided = slim.groupBy(key).applyInPandasWithState(
+        _decide(rule, key, tie, max(1, int(idle_seconds(rule) * 1000))),
+        f"{fields}, allowed boolean, retry_after double, tokens_left double",
+        _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout,
     )
-    return decided.select(key, F.timestamp_micros("_us").alias(ts), tie, "allowed", "retry_after", "tokens_left")
+    time = F.timestamp_micros("event_us").cast(events.schema[ts].dataType).alias(ts)
+    return decided.select(key, time, tie, "allowed", "retry_after", "tokens_left")

@@ -20,7 +20,7 @@ def windowed_rollup(log: DataFrame, ts: str, labels: Sequence[str], duration: st
     ``lateness`` are dropped) and on a table alike. ``slide`` makes windows overlap.
     """
     if log.isStreaming:
-        log = log.withWatermark(ts, lateness)
+        log = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
     span = F.window(ts, width, slide) if slide else F.window(ts, width)
     rolled = processing_rollup(log.withColumn("_w", span), ["_w", *labels], duration, records, buckets)
     return rolled.select(
