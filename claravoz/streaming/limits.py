@@ -14,18 +14,7 @@ from claravoz.operators.limits import BucketRule, micros
 _STATE = "units long, last_us long"
 
 
-def idle_seconds(rule: BucketRule) -> float:
-    """Idle time after which the state of a key may go.
-
-    Without a cleanup interval it is the time an empty bucket takes to fill
-    up, since a bucket that is dropped then equals one that was kept.
-    """
-    if rule.cleanup_interval is not None:
-        return rule.cleanup_interval
-    return rule.max_tokens / rule.refill_rate
-
-
-def _decide(rule: BucketRule, key: str, tie: str, idle_ms: int):
+def _decide(rule: BucketRule, key: str, tie: str):
     def decide(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -45,7 +34,8 @@ def _decide(rule: BucketRule, key: str, tie: str, idle_ms: int):
                 units = -missing
             left.append(units / rule.token)
         state.update((units, last))
-        state.setTimeoutDuration(idle_ms)
+        if rule.cleanup_interval is not None:
+            state.setTimeoutDuration(max(1, int(rule.cleanup_interval * 1000)))
         yield pd.DataFrame({
             key: events[key], "event_us": events["event_us"], tie: events[tie],
             "allowed": allowed, "retry_after": retry, "tokens_left": left,
@@ -60,7 +50,9 @@ def token_bucket_stream(events: DataFrame, key: str, ts: str, tie: str, rule: Bu
 
     Events of one key within a micro-batch are handled together, so bound the
     batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``); for
-    a log at rest use the batch operator, which splits large keys.
+    a log at rest use the batch operator, which splits large keys. State is two
+    numbers per key; with a ``cleanup_interval`` keys idle that long are dropped,
+    which takes a continuous trigger (with timeouts ``availableNow`` does not end).
     """
     slim = events.select(
         key, tie, micros(F.col(ts)).alias("event_us"), F.lit(tokens_required).cast("long").alias("event_need")
@@ -68,10 +60,12 @@ def token_bucket_stream(events: DataFrame, key: str, ts: str, tie: str, rule: Bu
     fields = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(key, "event_us", tie).schema.fields
     )
+    timeout = GroupStateTimeout.NoTimeout if rule.cleanup_interval is None \
+        else GroupStateTimeout.ProcessingTimeTimeout
     decided = slim.groupBy(key).applyInPandasWithState(
-        _decide(rule, key, tie, max(1, int(idle_seconds(rule) * 1000))),
+        _decide(rule, key, tie),
         f"{fields}, allowed boolean, retry_after double, tokens_left double",
-        _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout,
+        _STATE, "append", timeout,
     )
     time = F.timestamp_micros("event_us").cast(events.schema[ts].dataType).alias(ts)
     return decided.select(key, time, tie, "allowed", "retry_after", "tokens_left")

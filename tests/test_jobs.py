@@ -171,7 +171,7 @@ def run(df, out, state):
 
 
 def test_stream_limiter_equals_batch_across_batches(spark, tmp_path):
-    rule = limits.BucketRule(3, 0.5)
+    rule = limits.BucketRule(3, 0.3)
     events = spark.createDataFrame([(i, f"k{i % 3}", i * 700_000) for i in range(120)], "i long, k string, us long") \
         .select("i", "k", F.timestamp_micros("us").alias("ts"))
     src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
