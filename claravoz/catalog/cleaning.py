@@ -25,7 +25,7 @@ def _dirty(spark, d):
         .when(key % 11 == 0, F.concat(F.lit("="), "text"))
         .when(key % 13 == 0, F.concat(F.lit("  @cmd "), "text")).otherwise(F.col("text"))
     )
-    return table(spark, d, "documents").select("doc_id", value.alias("x"))
+    return table(spark, d, "documents", spread=True).select("doc_id", value.alias("x"))
 
 
 _DIRTY_SQL = f"WITH dirty AS (SELECT doc_id, {_DIRTY} AS x FROM documents)"
@@ -83,27 +83,27 @@ def date_survey_formats(spark, d):
 
 @query("html_escape", f"SELECT page_id, {sv.escape_sql('html')} AS y FROM pages")
 def html_escape(spark, d):
-    return table(spark, d, "pages").select("page_id", text.html_escape(F.col("html")).alias("y"))
+    return table(spark, d, "pages", spread=True).select("page_id", text.html_escape(F.col("html")).alias("y"))
 
 
 @query("tag_strip", "SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS y FROM pages")
 def tag_strip(spark, d):
-    return table(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("y"))
+    return table(spark, d, "pages", spread=True).select("page_id", text.strip_tags(F.col("html")).alias("y"))
 
 
 @query("injection_pattern_removal", f"SELECT page_id, {sv.patterns_sql('html')} AS y FROM pages")
 def injection_pattern_removal(spark, d):
-    return table(spark, d, "pages").select("page_id", text.drop_injection_patterns(F.col("html")).alias("y"))
+    return table(spark, d, "pages", spread=True).select("page_id", text.drop_injection_patterns(F.col("html")).alias("y"))
 
 
 @query("sanitize_pages", f"SELECT page_id, {sv.markup_sql('html')} AS y FROM pages")
 def sanitize_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", text.sanitize_markup(F.col("html")).alias("y"))
+    return table(spark, d, "pages", spread=True).select("page_id", text.sanitize_markup(F.col("html")).alias("y"))
 
 
 @query("sanitize_keep_unicode", f"SELECT doc_id, {sv.markup_sql('text', True)} AS y FROM documents")
 def sanitize_keep_unicode(spark, d):
-    return table(spark, d, "documents").select(
+    return table(spark, d, "documents", spread=True).select(
         "doc_id", text.sanitize_markup(F.col("text"), "keep_unicode").alias("y"))
 
 
@@ -160,7 +160,7 @@ def _classes_sql(x):
 
 @query("attack_class_labels", f"SELECT page_id, {_classes_sql('html')} AS attacks FROM pages")
 def attack_class_labels(spark, d):
-    return table(spark, d, "pages").select(
+    return table(spark, d, "pages", spread=True).select(
         "page_id", F.array_join(text.attack_classes(F.col("html")), ",").alias("attacks"))
 
 
@@ -314,7 +314,7 @@ def auto_clean(spark, d):
        SELECT 'html' AS "column", count(*) FILTER (regexp_matches(h, '&lt;script|&lt;iframe|&#')) AS blocked FROM c
        UNION ALL SELECT 'url', count(*) FILTER (regexp_matches(u, '&lt;script|&lt;iframe|&#')) FROM c""")
 def attack_filter(spark, d):
-    pages = table(spark, d, "pages")
+    pages = table(spark, d, "pages", spread=True)
     clean = pages.select(*(text.sanitize_markup(F.col(c)).alias(c) for c in ("html", "url")))
     return schema.blocked_attacks(clean)
 

@@ -85,7 +85,7 @@ _SLOTS_SQL = """tok AS (SELECT {id} AS id, unnest(list_filter(string_split_regex
        SELECT d.doc_id, 384 AS size, count(v) AS filled, round(coalesce(max(v), 0), 5) AS largest,
        round(coalesce(sum(v), 0), 3) AS total FROM documents d LEFT JOIN vec ON d.doc_id = vec.id GROUP BY d.doc_id""")
 def text_embedding(spark, d):
-    vectors = embedding.hashed_vectors(table(spark, d, "documents").select("doc_id", "text"), "text")
+    vectors = embedding.hashed_vectors(table(spark, d, "documents", spread=True).select("doc_id", "text"), "text")
     filled = F.filter("embedding", lambda x: x != 0)
     return vectors.select(
         "doc_id", F.size("embedding").alias("size"), F.size(filled).cast("long").alias("filled"),
@@ -113,7 +113,7 @@ def _prefixed(p):
        JOIN documents d ON d.doc_id = record_id WHERE position <= 10""")
 def semantic_search(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), "text", F.lit("docs").alias("task_id"))
+    docs = table(spark, d, "documents", spread=True).select(F.col("doc_id").alias("record_id"), "text", F.lit("docs").alias("task_id"))
     return jobs.semantic_search(asked, docs, task_id="docs")
 
 
@@ -121,7 +121,7 @@ def semantic_search(spark, d):
 
 
 def _trained(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents", spread=True).select("doc_id", "text")
     labelled = table(spark, d, "labels").join(docs, "doc_id").select("text", F.col("quality").alias("label"))
     return docs, sentiment.train(labelled)
 
@@ -161,7 +161,7 @@ def _length_scorer():
        FROM documents) SELECT doc_id, CASE WHEN p > 0.5 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS sentiment,
        round(greatest(p, 1 - p), 6) AS confidence FROM s""")
 def sentiment_plugged_scorer(spark, d):
-    scored = sentiment.score_texts(table(spark, d, "documents").select("doc_id", "text"), _length_scorer)
+    scored = sentiment.score_texts(table(spark, d, "documents", spread=True).select("doc_id", "text"), _length_scorer)
     return scored.select("doc_id", "sentiment", F.round("confidence", 6).alias("confidence"))
 
 
@@ -176,7 +176,7 @@ def _five_scorer():
 def sentiment_five_classes(spark, d):
     from claravoz.functions.scoring import FIVE_CLASSES
 
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents", spread=True).select("doc_id", "text")
     return sentiment.score_texts(docs, _five_scorer, labels=FIVE_CLASSES).select("doc_id", "sentiment")
 
 
@@ -286,7 +286,7 @@ def sliding_telemetry(spark, d):
 def stream_file_ingest(spark, d):
     folder = scratch_path(spark, "drop")
     good = F.concat_ws(",", "doc_id", "lang", F.concat(F.lit('" '), "source", F.lit('"')))
-    lines = table(spark, d, "documents").select(good.alias("value")).unionByName(
+    lines = table(spark, d, "documents", spread=True).select(good.alias("value")).unionByName(
         table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("value")))
     lines.write.text(folder)
     out = scratch_path(spark, "dropped")
@@ -323,6 +323,6 @@ def convert_job(spark, d):
 @query("results_export_job", """SELECT CAST(d.doc_id AS VARCHAR) AS record_id, d.lang, CASE WHEN l.quality = 1 THEN
        'POSITIVE' WHEN l.quality = 0 THEN 'NEGATIVE' END AS sentiment FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def results_export_job(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), "lang")
+    docs = table(spark, d, "documents", spread=True).select(F.col("doc_id").alias("record_id"), "lang")
     path = sinks.export(docs, scratch_path(spark, "export"), "csv", sentiments=_sentiments(spark, d))
     return spark.read.option("header", True).csv(path).select("record_id", "lang", "sentiment")

@@ -130,7 +130,7 @@ def column_stats(spark, d):
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
     "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"), ("l_returnflag", "l_linestatus")))
 def column_stats_lineitem(spark, d):
-    return quality.column_stats(table(spark, d, "lineitem"), columns_per_pass=6)
+    return quality.column_stats(table(spark, d, "lineitem", spread=True), columns_per_pass=6)
 
 
 _DESCRIBED = ("o_custkey", "o_totalprice", "o_orderstatus")
@@ -305,7 +305,7 @@ def date_format_census(spark, d):
     + sv.percent_sql(f"count(*) FILTER (list_contains(string_split(a, ','), '{c}'))", "count(*)")
     + " AS pct FROM f" for c in text.ATTACK_CLASSES))
 def attack_census(spark, d):
-    return feedback.attack_census(table(spark, d, "pages"), "html")
+    return feedback.attack_census(table(spark, d, "pages", spread=True), "html")
 
 
 @query("severity_score_and_level", f"""WITH g AS (SELECT o_custkey, count(*) AS total_comments,

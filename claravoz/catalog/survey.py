@@ -61,7 +61,7 @@ def _padded_sql(value: str, key: str, at: int) -> str:
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The survey-like view over orders, customer, nation and region."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customer = table(spark, sf_dir, "orders", spread=True), table(spark, sf_dir, "customer")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     joined = (
         orders.join(customer, orders.o_custkey == customer.c_custkey)

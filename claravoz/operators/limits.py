@@ -188,7 +188,7 @@ def _summarise(rule: BucketRule):
         pid = first_key = key = None
         first_us = last_us = 0
         one_key, seen = True, False
-        transfer = Transfer(rule)
+        transfer, units = Transfer(rule), None
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -198,14 +198,21 @@ def _summarise(rule: BucketRule):
                     seen, first_key, first_us, key = True, k, us, k
                 elif k != key:
                     # a new key begins here with a full bucket
-                    key, one_key, transfer = k, False, Transfer(rule)
-                    transfer.pieces = [(0, rule.full, 0)]
+                    key, one_key, units = k, False, rule.full
+                elif units is not None:
+                    units = rule.refilled(units, us - last_us)
                 else:
                     transfer.wait(us - last_us)
-                transfer.take(need * rule.token)
-                last_us = us
+                last_us, need = us, need * rule.token
+                if units is None:
+                    transfer.take(need)
+                    if len(transfer.pieces) == 1 and transfer.pieces[0][2] == 0:
+                        # the same for every arrival from here on
+                        units = transfer.pieces[0][1]
+                elif units >= need:
+                    units -= need
         if seen:
-            starts, values, slopes = zip(*transfer.pieces)
+            starts, values, slopes = zip(*(transfer.pieces if units is None else [(0, units, 0)]))
             yield pd.DataFrame({
                 "_pid": [pid], "first_key": [first_key], "first_us": [first_us],
                 "last_key": [key], "last_us": [last_us], "one_key": [one_key],

@@ -28,7 +28,9 @@ def ordered_partitions(df: DataFrame, keys: Sequence[str], order: Sequence[str])
     so a second evaluation of the plan could cut the rows elsewhere.
     """
     by = [*keys, *order]
-    placed = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    # a given number keeps adaptive execution from merging small ranges again
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
     row = F.monotonically_increasing_id()
     placed = placed.withColumns({
         "_pid": F.shiftright(row, _POSITION_BITS).cast("int"),

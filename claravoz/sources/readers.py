@@ -89,6 +89,28 @@ def cast_cells(df: DataFrame, schema: T.StructType) -> DataFrame:
     ))
 
 
+# Least bytes of source data a task gets when a small table is spread.
+SPREAD_BYTES = 256 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a table of few splits over the idle cores before costly expressions.
+
+    A file with one row group is one task, however costly the cleaning of its
+    rows. A table that already fills the cores with splits of full size is
+    returned unchanged, so large tables are never shuffled by this. Meant for
+    plain scans, whose size the planner knows.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = min(cores, size // SPREAD_BYTES)
+    if tasks < 2 or size >= cores * split:
+        return df
+    return df.repartition(tasks)
+
+
 def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, malformed) rows of a scan made with ``corrupt=True``.
 
