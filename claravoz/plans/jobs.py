@@ -45,22 +45,28 @@ def _status(spark: SparkSession, path: str, status: str) -> DataFrame:
 def ingest(spark: SparkSession, source: str, output: str, history: str, fmt: str = "csv",
            canonical: Mapping[str, Sequence[str]] = headers.CANONICAL, match: str = "tokens",
            options: Mapping[str, str] | None = None, profile: bool = True,
-           table_format: str = "parquet") -> IngestResult:
+           table_format: str = "parquet", profile_bytes: int = inventory.MAX_BYTES) -> IngestResult:
     """Profile, read as strings, map headers, write, audit.
 
     The source is read once for the data: good and malformed rows go to two
     partitions of the same write, and the audit reads the columnar result.
+    Files up to ``profile_bytes`` are profiled whole. The multi-line reader,
+    which cannot split a file, is used only when quotes hold line breaks.
     Schema, drift, audit and description are appended below ``history``.
     """
     options = dict(options or {})
     if profile:
-        checks = inventory.profile_files(spark, source)
+        checks = inventory.profile_files(spark, source, max_bytes=profile_bytes)
         # one row per file that failed, at most a handful of reasons shown
         failed = checks.where(~F.col("passed") & ~_only_uneven()).select("path", "errors").limit(20).collect()
         if failed:
             raise ValueError("; ".join(f"{r['path']}: {', '.join(r['errors'])}" for r in failed))
         if fmt == "csv" and "multiLine" not in options:
-            broken = checks.where("multi_line").limit(1).count() > 0
+            broken = not checks.where("multi_line").limit(1).isEmpty()
+            # files too large for the profile are few; their names go to a line scan
+            large = [r["path"] for r in checks.where(F.col("multi_line").isNull()).select("path").collect()]
+            if large and not broken:
+                broken = inventory.has_open_quotes(spark, large)
             options["multiLine"] = "true" if broken else "false"
     raw = readers.read_raw(spark, source, fmt, options, corrupt=True)
     version = spark.range(1).select(schema.dates.version_stamp()).first()[0]
@@ -75,7 +81,8 @@ def ingest(spark: SparkSession, source: str, output: str, history: str, fmt: str
     drift = schema.schema_drift(fields, previous) if previous is not None else None
     sinks.append_history(schema.schema_record(data, source, version), f"{history}/schemas")
 
-    sinks.write_table(with_status(renamed), output, [STATUS], table_format)
+    # two values, so every task writes at most two files and no shuffle is needed
+    sinks.write_table(with_status(renamed), output, [STATUS], table_format, balance=False)
     counts = {r[STATUS]: r["count"] for r in spark.read.parquet(output).groupBy(STATUS).count().collect()}
     good = _status(spark, output, "good")
     audit = quality.validate_audit(quality.audit_record(

@@ -163,7 +163,9 @@ def profile_files(spark: SparkSession, path: str, expect_header: bool = True, mi
 
     Rows are counted with the header, as lines outside quotes. All rows are
     compared with the header's length. Also says whether quotes hold line
-    breaks, i.e. whether the file needs the multi-line reader.
+    breaks, i.e. whether the file needs the multi-line reader. Files beyond
+    ``max_bytes`` are listed without these facts; their rows are judged by the
+    scan, which can split them.
     """
     files = file_inventory(spark, path).select("path", "extension", "size_bytes").join(
         file_contents(spark, path, max_bytes).select("path", "content"), "path", "left"
@@ -185,19 +187,19 @@ def profile_files(spark: SparkSession, path: str, expect_header: bool = True, mi
     header = F.transform(
         F.split("_first_record", cut), lambda h: F.regexp_replace(h, r'^\s*"|"\s*$', ""))
     profiled = facts.withColumns({
-        "rows": F.coalesce("_rows", "_json_rows", F.lit(0)),
+        "rows": F.coalesce("_rows", "_json_rows", F.when(F.col("_read"), F.lit(0))),
         "header": F.when(F.length("_first_record") > 0, header),
     })
     errors = F.array_compact(F.array(
-        size_problem(F.col("size_bytes"), max_bytes),
+        F.when(F.col("size_bytes") < MIN_BYTES, F.lit("file is empty")),
         F.when(F.col("format") == "unknown", F.lit("unsupported file format")),
         F.when((F.col("encoding") == "unknown") & (F.col("size_bytes") > 0) & F.col("_read"),
                F.lit("not valid UTF-8")),
         F.when(is_csv & (F.col("uneven_rows") > 0),
                F.format_string("%d rows differ from the header in length", F.col("uneven_rows"))),
         F.when(is_csv & (F.col("rows") < min_rows), F.lit("insufficient rows")),
-        F.when(is_csv & F.lit(expect_header) & F.col("header").isNull(), F.lit("header expected but not found")),
-        F.col("_json_problem"),
+        F.when(is_csv & F.col("_read") & F.lit(expect_header) & F.col("header").isNull(), F.lit("header expected but not found")),
+        F.when(F.col("_read"), F.col("_json_problem")),
     ))
     return profiled.withColumn("errors", errors).select(
         "path", "size_bytes", "encoding", "format", "delimiter", "header", "rows", "uneven_rows",
@@ -205,6 +207,15 @@ def profile_files(spark: SparkSession, path: str, expect_header: bool = True, mi
     )
 
 
+def has_open_quotes(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether a line of the files has an odd number of quotes, i.e. a quoted line break.
+
+    Reads lines, so files of any size are split over tasks; stops at the first one found.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(paths).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def json_problem(document: Column) -> Column:
     """Reason when a text is not one whole JSON document, else null."""
     return F.when(document.isNull() | F.try_parse_json(document).isNull(), F.lit("invalid JSON"))

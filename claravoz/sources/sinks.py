@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claravoz.functions import text
@@ -14,34 +15,42 @@ from claravoz.sources.readers import CORRUPT, split_malformed
 TARGET_MB = 128
 
 
-def rebalanced(df: DataFrame, target_mb: int = TARGET_MB) -> DataFrame:
-    """Even partitions of about ``target_mb``, sized at run time by adaptive execution.
-
-    Skewed partitions are split and small ones merged by their real sizes.
-    """
-    df.sparkSession.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", f"{target_mb}m")
-    return df.hint("rebalance")
+@contextmanager
+def _file_size(spark: SparkSession, target_mb: int) -> Iterator[None]:
+    """Partition size adaptive execution aims at during one write."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{target_mb}m")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: str = "overwrite",
                   target_mb: int = TARGET_MB, balance: bool = True) -> str:
-    """Parquet files of about ``target_mb`` each."""
-    out = rebalanced(df, target_mb) if balance else df
-    out.write.mode(mode).option("compression", compression).parquet(path)
+    """Parquet files of about ``target_mb`` each.
+
+    Balancing sizes partitions at run time, splitting large and merging small
+    ones; it costs a shuffle, so leave it out when the input is split evenly.
+    """
+    with _file_size(df.sparkSession, target_mb):
+        out = df.hint("rebalance") if balance else df
+        out.write.mode(mode).option("compression", compression).parquet(path)
     return path
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
-                mode: str = "overwrite", target_mb: int = TARGET_MB) -> str:
+                mode: str = "overwrite", target_mb: int = TARGET_MB, balance: bool = True) -> str:
     """Files of any installed format (``delta`` needs its jar), partitioned by columns.
 
     Rebalancing on the partition columns gathers each value into few files
-    and still splits a value that holds a large part of the table.
+    and still splits a value that holds a large part of the table. Without it
+    every task writes its own file per value, which is fine for few values.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", f"{target_mb}m")
-    out = df.hint("rebalance", *partition_by)
-    out.write.format(fmt).mode(mode).partitionBy(*partition_by).save(path)
+    with _file_size(df.sparkSession, target_mb):
+        out = df.hint("rebalance", *partition_by) if balance else df
+        out.write.format(fmt).mode(mode).partitionBy(*partition_by).save(path)
     return path
 
 

@@ -130,6 +130,8 @@ def test_ingest_twice_reports_drift(spark, tmp_path):
     assert {r["field"]: r["change"] for r in two.drift.collect()} == {"comment": "removed", "region": "added"}
     log = spark.read.json(f"{history}/new_headers")
     assert sorted(r["header"] for r in log.collect()) == ["comment", "region"]
+    again = jobs.ingest(spark, second, str(tmp_path / "o4"), history, profile_bytes=3)
+    assert again.good(spark).first()["region"] == "x\ny" and again.drift.count() == 0
     with pytest.raises(ValueError, match="empty"):
         jobs.ingest(spark, write(tmp_path / "c" / "f.csv", ""), str(tmp_path / "o3"), history)
 
