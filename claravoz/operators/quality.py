@@ -110,26 +110,58 @@ def _masks(cells: Sequence[Cell], tests: Mapping[str, CellTest]) -> tuple[list[C
 
 def _flag_total(mask: int, bit: int) -> Column:
     on = F.getbit(F.col(f"_mask{mask}"), F.lit(bit)).cast("long")
-    return F.coalesce(F.sum(F.col("_copies") * on), F.lit(0).cast("long"))
+    return F.sum(F.col("_copies") * on)
 
 
-def profile_totals(df: DataFrame, phases: Mapping[str, Sequence[Cell]],
-                   tests: Mapping[str, CellTest] = TEXT_FLAGS) -> DataFrame:
-    """Long table (phase, column, metric, total) for several views of the same rows.
+class Profile(NamedTuple):
+    """One row with all totals of all phases, and where to find them."""
 
-    Every phase is a list of columns over ``df``; all phases share the scan.
-    Table-wide metrics (rows, distinct_rows, content_hash) have a null column.
+    row: DataFrame
+    places: dict[str, list[_Place]]
+    widths: dict[str, int]
+
+    def rows(self, phase: str) -> Column:
+        """Number of rows."""
+        return F.col(f"{phase}_rows")
+
+    def distinct(self, phase: str) -> Column:
+        """Number of distinct rows."""
+        return F.col(f"{phase}_distinct")
+
+    def content_hash(self, phase: str) -> Column:
+        """Order-free hash of all rows."""
+        return F.col(f"{phase}_hash")
+
+    def flags(self, phase: str, metric: str) -> dict[str, Column]:
+        """Total of a flag per column."""
+        return {
+            p.column: F.col(f"{phase}_{p.mask}_{p.bit}") for p in self.places[phase] if p.metric == metric
+        }
+
+    def flag_sum(self, phase: str, metric: str) -> Column:
+        """Total of a flag over all columns."""
+        return sum(self.flags(phase, metric).values(), F.lit(0).cast("long"))
+
+    def local(self) -> Profile:
+        """The same with the row computed: one row, as wide as the schema."""
+        values = self.row.collect()
+        return self._replace(row=self.row.sparkSession.createDataFrame(values, self.row.schema))
+
+
+def profile(df: DataFrame, phases: Mapping[str, Sequence[Cell]],
+            tests: Mapping[str, CellTest] = TEXT_FLAGS) -> Profile:
+    """Totals for several views of the same rows, in one scan and one shuffle.
+
+    Every phase is a list of columns over ``df``.
     """
     # every cell is computed once, in its own projection, and used from there
     staged = df.select(*(
         c.value.alias(f"{phase}_{i}") for phase, cells in phases.items() for i, c in enumerate(cells)
     ))
-    packed = {
-        phase: (cells, *_masks(cells, tests)) for phase, cells in (
-            (phase, [Cell(c.name, F.col(f"{phase}_{i}"), c.data_type) for i, c in enumerate(cells)])
-            for phase, cells in phases.items()
-        )
-    }
+    packed = {}
+    for phase, cells in phases.items():
+        here = [Cell(c.name, F.col(f"{phase}_{i}"), c.data_type) for i, c in enumerate(cells)]
+        packed[phase] = (here, *_masks(here, tests))
     n_masks = max(len(masks) for _, masks, _ in packed.values())
     views = [
         F.struct(
@@ -145,146 +177,97 @@ def profile_totals(df: DataFrame, phases: Mapping[str, Sequence[Cell]],
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
     digits = F.conv(F.substring("_digest", 1, _HASH_DIGITS), 16, 10).cast("decimal(19,0)")
+    totals = {
+        "rows": F.sum("_copies"), "distinct": F.count(F.lit(1)),
+        "hash": F.sum((digits * F.col("_copies")).cast("decimal(38,0)")).cast("decimal(38,0)"),
+    }
     used = sorted({(p.mask, p.bit) for _, _, places in packed.values() for p in places})
-    totals = rows.groupBy("phase").agg(
-        F.sum("_copies").alias("_rows"),
-        F.count(F.lit(1)).alias("_distinct"),
-        F.sum((digits * F.col("_copies")).cast("decimal(38,0)")).alias("_hash"),
-        *(_flag_total(mask, bit).alias(f"_t{mask}_{bit}") for mask, bit in used),
-    )
-    # every phase keeps a row also when the table is empty
-    named = df.sparkSession.createDataFrame([(p,) for p in phases], "phase string")
-    totals = named.join(totals, "phase", "left")
-    long = []
-    for phase, (_, _, places) in packed.items():
-        entries = [
-            _entry(None, "rows", F.col("_rows")),
-            _entry(None, "distinct_rows", F.col("_distinct")),
-            _entry(None, "content_hash", F.col("_hash")),
-            *(_entry(p.column, p.metric, F.col(f"_t{p.mask}_{p.bit}")) for p in places),
-        ]
-        long.append(F.when(F.col("phase") == phase, F.array(*entries)))
-    return totals.select("phase", F.explode(F.coalesce(*long)).alias("e")).select("phase", "e.*")
-
-
-def _entry(column: str | None, metric: str, total: Column) -> Column:
+    totals |= {f"{mask}_{bit}": _flag_total(mask, bit) for mask, bit in used}
+    by_phase = rows.groupBy("phase").agg(*(total.alias(name) for name, total in totals.items()))
+    # one row per phase becomes one row; an empty table gives zeros
+    row = by_phase.agg(*(
+        F.coalesce(F.max(F.when(F.col("phase") == phase, F.col(name))), F.lit(0)).alias(f"{phase}_{name}")
+        for phase in phases for name in totals
+    ))
+    return Profile(row, {phase: places for phase, (_, _, places) in packed.items()},
+                   {phase: len(cells) for phase, cells in phases.items()})
+
+
+def _entry(phase: str, column: str | None, metric: str, value: Column) -> Column:
     return F.struct(
-        F.lit(column).cast("string").alias("column"),
-        F.lit(metric).alias("metric"),
-        F.coalesce(total, F.lit(0)).cast("decimal(38,0)").alias("total"),
+        F.lit(phase).alias("phase"), F.lit(column).cast("string").alias("column"),
+        F.lit(metric).alias("metric"), value.cast("double").alias("value"),
     )
 
 
-def _total(metric: str, table_wide: bool = False) -> Column:
-    wanted = F.col("metric") == metric
-    if table_wide:
-        wanted = wanted & F.col("column").isNull()
-    return F.coalesce(F.sum(F.when(wanted, F.col("total"))), F.lit(0)).cast("double")
+def report(found: Profile, improvements: bool = False) -> DataFrame:
+    """Quality report (phase, column, metric, value) of a profile.
 
-
-def report_from_totals(totals: DataFrame, widths: Mapping[str, int]) -> DataFrame:
-    """Quality report (phase, column, metric, value) from :func:`profile_totals`."""
-    width = F.coalesce(*(F.when(F.col("phase") == p, F.lit(float(w))) for p, w in widths.items()))
-    rows = totals.where((F.col("metric") == "rows") & F.col("column").isNull()).select(
-        "phase", F.col("total").cast("double").alias("n")
-    )
-    # one row per phase and column flag: bounded by the schema, not by the data
-    per_column = (
-        totals.where(F.col("metric").isin("null_count", "whitespace_count"))
-        .join(rows, "phase")
-        .select("phase", "column", F.explode(F.array(
-            F.struct(F.col("metric"), F.col("total").cast("double").alias("value")),
-            F.struct(
-                F.when(F.col("metric") == "null_count", F.lit("null_percentage"))
-                .otherwise(F.lit("whitespace_percentage")).alias("metric"),
-                scoring.percent(F.col("total"), F.col("n")).alias("value"),
-            ),
-        )).alias("e")).select("phase", "column", "e.*")
-    )
-    n, distinct = F.col("n"), F.col("d")
-    table = (
-        totals.groupBy("phase").agg(
-            _total("rows", True).alias("n"), _total("distinct_rows", True).alias("d"),
-            _total("null_count").alias("nulls"), _total("whitespace_count").alias("padded"),
-        ).withColumn("cells", n * width)
-        .select("phase", F.lit(None).cast("string").alias("column"), F.explode(F.array(
-            *(F.struct(F.lit(metric).alias("metric"), value.alias("value")) for metric, value in (
-                ("total_records", n),
-                ("total_cells", F.col("cells")),
-                ("total_nulls", F.col("nulls")),
-                ("null_percentage", scoring.percent(F.col("nulls"), F.col("cells"))),
-                ("whitespace_contamination", F.col("padded")),
-                ("whitespace_percentage", scoring.percent(F.col("padded"), n)),
-                ("duplicate_rows", n - distinct),
-                ("duplicate_percentage", scoring.percent(n - distinct, n)),
-            ))
-        )).alias("e")).select("phase", "column", "e.*")
-    )
-    return table.unionByName(per_column)
+    ``improvements`` adds what changed from phase ``before`` to ``after``:
+    nulls reduced and padded cells cleaned.
+    """
+    entries = []
+    for phase, width in found.widths.items():
+        n, distinct = found.rows(phase), found.distinct(phase)
+        nulls, padded = found.flag_sum(phase, "null_count"), found.flag_sum(phase, "whitespace_count")
+        entries += [_entry(phase, None, metric, value) for metric, value in (
+            ("total_records", n),
+            ("total_cells", n * width),
+            ("total_nulls", nulls),
+            ("null_percentage", scoring.percent(nulls, n * width)),
+            ("whitespace_contamination", padded),
+            ("whitespace_percentage", scoring.percent(padded, n)),
+            ("duplicate_rows", n - distinct),
+            ("duplicate_percentage", scoring.percent(n - distinct, n)),
+        )]
+        for metric, share in (("null_count", "null_percentage"), ("whitespace_count", "whitespace_percentage")):
+            for column, total in found.flags(phase, metric).items():
+                entries.append(_entry(phase, column, metric, total))
+                entries.append(_entry(phase, column, share, scoring.percent(total, n)))
+    if improvements:
+        for metric, flag in (("null_values_reduced", "null_count"), ("whitespace_cleaned", "whitespace_count")):
+            change = found.flag_sum("before", flag) - found.flag_sum("after", flag)
+            entries.append(_entry("improvements", None, metric, change))
+    return found.row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
 def quality_report(df: DataFrame, phase: str = "data") -> DataFrame:
     """Nulls, padding and duplicates of a table, overall and per column."""
-    cells = cells_of(df)
-    totals = profile_totals(df, {phase: cells})
-    return report_from_totals(totals, {phase: len(cells)})
-
-
-def with_improvements(report: DataFrame) -> DataFrame:
-    """Add what cleaning changed: nulls reduced and padded cells cleaned."""
-    def change(metric: str) -> Column:
-        wanted = (F.col("metric") == metric) & F.col("column").isNull()
-        before = F.sum(F.when(wanted & (F.col("phase") == "before"), F.col("value")))
-        after = F.sum(F.when(wanted & (F.col("phase") == "after"), F.col("value")))
-        return F.coalesce(before, F.lit(0.0)) - F.coalesce(after, F.lit(0.0))
-
-    gained = report.agg(
-        change("total_nulls").alias("nulls"), change("whitespace_contamination").alias("padded")
-    ).select(
-        F.lit("improvements").alias("phase"), F.lit(None).cast("string").alias("column"),
-        F.explode(F.array(
-            F.struct(F.lit("null_values_reduced").alias("metric"), F.col("nulls").alias("value")),
-            F.struct(F.lit("whitespace_cleaned").alias("metric"), F.col("padded").alias("value")),
-        )).alias("e"),
-    ).select("phase", "column", "e.*")
-    return report.unionByName(gained)
+    return report(profile(df, {phase: cells_of(df)}))
 
 
 def before_after_report(df: DataFrame, cleaned: Mapping[str, tuple[Column, T.DataType]]) -> DataFrame:
     """Report of ``df`` before and after replacing the given columns, in one scan."""
     before = cells_of(df)
     after = [Cell(c.name, *cleaned.get(c.name, (c.value, c.data_type))) for c in before]
-    totals = profile_totals(df, {"before": before, "after": after})
-    return with_improvements(
-        report_from_totals(totals, {"before": len(before), "after": len(after)})
-    )
+    return report(profile(df, {"before": before, "after": after}), improvements=True)
+
+
+def combined(before: Profile, after: Profile) -> Profile:
+    """Two computed profiles side by side in one row."""
+    values = [(*before.row.first(), *after.row.first())]
+    schema = T.StructType([*before.row.schema.fields, *after.row.schema.fields])
+    return Profile(before.row.sparkSession.createDataFrame(values, schema),
+                   before.places | after.places, before.widths | after.widths)
 
 
 def quality_issues(df: DataFrame) -> DataFrame:
     """Null fraction per column (4 digits), padded cells per row, duplicates, records."""
-    cells = cells_of(df)
-    totals = profile_totals(df, {"data": cells})
-    table = totals.agg(
-        _total("rows", True).alias("n"), _total("distinct_rows", True).alias("d"),
-        _total("whitespace_count").alias("padded"),
-        F.collect_list(F.when(F.col("metric") == "null_count", F.struct("column", "total"))).alias("nulls"),
-    )
-    n = F.col("n")
-    entries = F.concat(
-        F.transform("nulls", lambda x: F.struct(
-            F.lit("null_values").alias("issue"), x["column"].alias("column"),
-            scoring.ratio(x["total"], n).alias("value"))),
-        F.array(*(
-            F.struct(F.lit(issue).alias("issue"), F.lit(None).cast("string").alias("column"),
-                     value.alias("value"))
-            for issue, value in (
-                ("whitespace_contamination", F.when(n == 0, F.lit(0.0)).otherwise(F.col("padded") / n)),
-                ("duplicate_rows", n - F.col("d")),
-                ("total_records", n),
-            )
-        )),
-    )
-    return table.select(F.explode(entries).alias("e")).select("e.*")
+    found = profile(df, {"data": cells_of(df)})
+    n = found.rows("data")
+    padded = found.flag_sum("data", "whitespace_count")
+    entries = [
+        ("null_values", column, scoring.ratio(nulls, n))
+        for column, nulls in found.flags("data", "null_count").items()
+    ] + [
+        ("whitespace_contamination", None, F.when(n == 0, F.lit(0.0)).otherwise(padded / n)),
+        ("duplicate_rows", None, n - found.distinct("data")),
+        ("total_records", None, n),
+    ]
+    return found.row.select(F.explode(F.array(*(
+        F.struct(F.lit(issue).alias("issue"), F.lit(column).cast("string").alias("column"),
+                 value.cast("double").alias("value")) for issue, column, value in entries
+    ))).alias("e")).select("e.*")
 
 
 # --- column statistics ------------------------------------------------------------------

@@ -66,31 +66,24 @@ def _fixed_type(data_type: T.DataType) -> str | None:
     return data_type.simpleString()
 
 
-def detected_types(totals: DataFrame, schema: T.StructType, phase: str = "before",
+def detected_types(found: quality.Profile, schema: T.StructType, phase: str = "before",
                    share: float = DETECTION_SHARE) -> DataFrame:
-    """Types (column, type) from profile totals that include the detection flags."""
-    known = [(f.name, _fixed_type(f.dataType)) for f in schema.fields]
-    rows = totals.sparkSession.createDataFrame(known, "column string, fixed string")
-
-    def total(metric: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("metric") == metric, F.col("total"))), F.lit(0))
-
-    here = totals.where(F.col("phase") == phase)
-    n = here.where((F.col("metric") == "rows") & F.col("column").isNull()).select(
-        F.col("total").alias("n"), F.lit(1).alias("_one"))
-    counts = here.where(F.col("column").isNotNull()).groupBy("column").agg(
-        total("null_count").alias("nulls"), total("boolean_like").alias("booleans"),
-        total("date_like").alias("dates"), F.lit(1).alias("_one"),
-    )
-    # both sides are bounded by the number of columns
-    filled = F.col("n") - F.col("nulls")
-    kind = (
-        F.when(F.col("fixed").isNotNull(), F.col("fixed"))
-        .when((filled > 0) & (F.col("booleans") > share * filled), "boolean")
-        .when((filled > 0) & (F.col("dates") > share * filled), "date")
-        .otherwise("string")
-    )
-    return rows.join(counts.join(n, "_one"), "column", "left").select("column", kind.alias("type"))
+    """Types (column, type) from a profile that includes the detection flags."""
+    booleans, days = found.flags(phase, "boolean_like"), found.flags(phase, "date_like")
+    nulls = found.flags(phase, "null_count")
+    entries = []
+    for f in schema.fields:
+        fixed = _fixed_type(f.dataType)
+        if fixed is None:
+            filled = found.rows(phase) - nulls[f.name]
+            kind = (
+                F.when((filled > 0) & (booleans[f.name] > share * filled), "boolean")
+                .when((filled > 0) & (days[f.name] > share * filled), "date").otherwise("string")
+            )
+        else:
+            kind = F.lit(fixed)
+        entries.append(F.struct(F.lit(f.name).alias("column"), kind.alias("type")))
+    return found.row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
 def detect_schema(df: DataFrame, sample_rows: int | None = None,
@@ -101,8 +94,8 @@ def detect_schema(df: DataFrame, sample_rows: int | None = None,
     """
     if sample_rows is not None:
         df = df.limit(sample_rows)
-    totals = quality.profile_totals(df, {"before": quality.cells_of(df)}, quality.DETECTION_FLAGS)
-    return detected_types(totals, df.schema, "before", share)
+    found = quality.profile(df, {"before": quality.cells_of(df)}, quality.DETECTION_FLAGS)
+    return detected_types(found, df.schema, "before", share)
 
 
 def cleaning_columns(df: DataFrame, types: Mapping[str, str], sanitize: bool = True,

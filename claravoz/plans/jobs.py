@@ -132,16 +132,14 @@ def convert(spark: SparkSession, source: DataFrame, output: str, sanitize: bool
     One scan of the source gives the report before and the types, a second
     one writes; the report after reads the written table.
     """
-    cells = quality.cells_of(source)
-    # one row per metric and column
-    rows = quality.profile_totals(source, {"before": cells}, quality.DETECTION_FLAGS).collect()
-    totals = spark.createDataFrame(rows, "phase string, column string, metric string, total decimal(38,0)")
-    types = {r["column"]: r["type"] for r in
-             schema.detected_types(totals, source.schema, "before").collect()}
-    before = quality.report_from_totals(totals, {"before": len(cells)})
+    before = quality.profile(
+        source, {"before": quality.cells_of(source)}, quality.DETECTION_FLAGS).local()
+    # one row per column
+    types = {r["column"]: r["type"] for r in schema.detected_types(before, source.schema).collect()}
     sinks.write_parquet(schema.clean(source, types, sanitize, excel_safe, mode), output, "zstd", balance=False)
     written = spark.read.parquet(output)
-    report = quality.with_improvements(before.unionByName(quality.quality_report(written, "after")))
+    after = quality.profile(written, {"after": quality.cells_of(written)}).local()
+    report = quality.report(quality.combined(before, after), improvements=True)
     return ConvertResult(output, types, report, schema.blocked_attacks(written))
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from claravoz.operators import limits, quality, sentiment
+from claravoz.operators import limits, quality, schema, sentiment
 from claravoz.operators.sentiment import SentimentTransformer
 from claravoz.plans import jobs
 from claravoz.scratch import scratch_root
@@ -218,9 +218,10 @@ def test_file_stream_ingests_each_file_once(spark, tmp_path):
 
 def test_profile_is_one_scan_and_pruned(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus")
-    cells = quality.cells_of(orders)
-    plan = quality.profile_totals(orders, {"data": cells})._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan parquet") == 1 and "o_totalprice" not in plan
+    for report in (quality.quality_report(orders), schema.detect_schema(orders), quality.quality_issues(orders),
+                   quality.before_after_report(orders, schema.cleaning_columns(orders, {}))):
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "o_totalprice" not in plan
 
 
 def test_scratch_is_reused(spark):
