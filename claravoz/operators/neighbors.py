@@ -24,10 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claravoz.operators.ordering import BROADCAST_ROWS
+from claravoz.scratch import reliable_checkpoint
+
 # Distances are compared and returned rounded to this many digits, ties by id.
 DIGITS = 6
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
+_SALTS = 16
 _CHUNK_CELLS = 4_000_000
 
 
@@ -136,12 +140,21 @@ def _blocked_search(asked: DataFrame, stored: DataFrame, bucket: list[str], k: i
             F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name)
         )
 
-    sizes = blocks(asked, "_qn").join(blocks(stored, "_vn"), bucket)
+    # one row per bucket, stored so that its size is known
+    sizes = reliable_checkpoint(blocks(asked, "_qn").join(blocks(stored, "_vn"), bucket))
+    small = sizes.count() <= BROADCAST_ROWS
+    if not small:
+        sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
 
     def cells(df: DataFrame, own: str, own_n: str, other: str, other_n: str, key: str) -> DataFrame:
-        placed = df.join(sizes, bucket)
+        if small:
+            placed = df.join(F.broadcast(sizes), bucket)
+        else:
+            # the rows of a large bucket meet copies of its sizes in several tasks
+            salt = F.pmod(F.xxhash64(F.lit("salt"), key), F.lit(_SALTS)).cast("int")
+            placed = df.withColumn("_salt", salt).join(sizes, [*bucket, "_salt"])
         return placed.select(
-            *bucket, *df.columns[:2],
+            *bucket, *(c for c in df.columns if c not in bucket),
             F.pmod(F.xxhash64(key), F.col(own_n)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other),
         )

@@ -270,8 +270,10 @@ def test_exact_knn_equals_brute_force(spark, limit):
     assert got == brute_force(queries, vectors, 7)
 
 
-def test_approximate_knn_with_one_hot_bucket(spark):
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_approximate_knn_with_one_hot_bucket(spark, monkeypatch, broadcast_rows):
     """A third of the vectors are copies, so they share every bucket; cells stay bounded."""
+    monkeypatch.setattr(neighbors, "BROADCAST_ROWS", broadcast_rows)
     rng = np.random.RandomState(6)
     centres = rng.standard_normal((5, 16))
     vectors = [(i, (centres[i % 5] + 0.1 * rng.standard_normal(16)).tolist()) for i in range(400)]
