@@ -20,9 +20,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from claravoz.llm.tables import row_id, stored, text_of
+from claravoz.llm.tables import keep_rows, row_id, stored, text_key, text_of
 
 BLANKS = r"[\x20\x09-\x0D]+"
 _SAME = ("digest", "n_norm", "verify")
@@ -41,6 +40,7 @@ def digests(docs: DataFrame) -> DataFrame:
         F.spark_partition_id().alias("run"), row_id().alias("uid"), F.col("doc_id"),
         F.length(text).alias("n_points"), F.unhex(F.sha2(bare, 256)).alias("digest"),
         F.length(bare).alias("n_norm"), F.xxhash64(bare).alias("verify"),
+        *(c.alias(name) for name, c in text_key(docs).items()),
     )
 
 
@@ -53,7 +53,8 @@ def _best() -> Column:
 
 
 def find_copies(docs: DataFrame, bits: int = 4) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256,
+    and the columns of ``text_key``.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are not looked at. A null
     text is empty, and all empty texts are copies of each other. Of rows that tie
@@ -78,22 +79,13 @@ def find_copies(docs: DataFrame, bits: int = 4) -> DataFrame:
     return rows.join(won, ["run", *_SAME]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("uid") == F.col("best.uid")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"), "n_points",
+        F.lower(F.hex("digest")).alias("text_sha256"), *text_key(docs),
     )
 
 
 def keep_first(docs: DataFrame, bits: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows that repeat an id together with its text are told apart by a row number
-    within (id, digest); Spark limits each of these groups before it shuffles.
+    Of rows that repeat both id and text one stays, whichever.
     """
-    text = text_of(docs)
-    key = {"_kf_null": F.col("doc_id").isNull(), "_kf_id": F.coalesce(F.col("doc_id"), F.lit(0).cast(docs.schema["doc_id"].dataType))}
-    kept = find_copies(docs, bits).where("kept").select(
-        *(c.alias(n) for n, c in key.items()), F.unhex("text_sha256").alias("_kf_digest"), F.col("n_points").alias("_kf_n"))
-    by = ["_kf_null", "_kf_id", "_kf_digest", "_kf_n"]
-    keyed = docs.withColumns(
-        key | {"_kf_digest": F.unhex(F.sha2(normalised(text), 256)), "_kf_n": F.length(text)})
-    first = keyed.withColumn("_kf_row", F.row_number().over(Window.partitionBy(*by).orderBy("_kf_n"))).where("_kf_row = 1")
-    return first.join(kept, by, "left_semi").select(*docs.columns)
+    return keep_rows(docs, find_copies(docs, bits).where("kept"))

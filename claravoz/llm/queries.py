@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from claravoz.llm import byte_bpe, exact_dedup, language_id
+from claravoz.llm import byte_bpe, exact_dedup, language_id, simhash_trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document the copy that stays and the size of its group."""
-    return exact_dedup.find_copies(table(spark, sf_dir, "documents")).drop("n_points")
+    found = exact_dedup.find_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash_trie.find_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +41,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_simhash_trie": op8_simhash_trie,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
