@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claravoz.llm import byte_bpe, exact_dedup, language_id, simhash_trie
+from claravoz.llm import byte_bpe, exact_dedup, language_id, piece_counts, simhash_trie, unit_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that repeats text of an earlier one: removed spans, and the text that stays."""
+    found = unit_dedup.changed(table(spark, sf_dir, "documents"))
+    listed = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["keep_doc_id"]))
+    return found.select(
+        "doc_id", F.size("spans").cast("long").alias("n_removed"), F.array_join(listed, ",").alias("removed"),
+        F.array_sort(F.array_distinct("spans.keep_doc_id")).alias("kept_in"), "clean_text")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it exceeds 4,096 tokens."""
+    found = piece_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document the copy that stays and the size of its group."""
     found = exact_dedup.find_copies(table(spark, sf_dir, "documents"))
@@ -39,7 +54,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_unit_dedup": op2_unit_dedup,
     "op3_language_id": op3_language_id,
+    "op4_piece_counts": op4_piece_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_simhash_trie": op8_simhash_trie,
     "op9_byte_bpe": op9_byte_bpe,
