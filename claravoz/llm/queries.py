@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claravoz.llm import byte_bpe, exact_dedup, language_id, piece_counts, simhash_trie, unit_dedup
+from claravoz.llm import byte_bpe, decontamination, exact_dedup, language_id, piece_counts, simhash_trie, unit_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, word for word or with other names and figures."""
+    leaks = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "place", "tokens", "covered", "changed")
+
+
 def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that repeats text of an earlier one: removed spans, and the text that stays."""
     found = unit_dedup.changed(table(spark, sf_dir, "documents"))
@@ -54,6 +60,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_unit_dedup": op2_unit_dedup,
     "op3_language_id": op3_language_id,
     "op4_piece_counts": op4_piece_counts,
