@@ -5,10 +5,11 @@ the word before it. All counts are continuation counts: an expression counts onc
 for each distinct text of its class that has it, so a text that repeats itself
 says no more than another. Word pairs back off to words with absolute
 discounting, words back off to what both models share: the number of documents
-of the whole corpus that have the word. An expression that is too rare in both
-classes (in less than ``share`` of their texts) has no count of its own and is
-left to the backoff, where it is the same for both. This also bounds the models,
-by the distinct words of a text over ``share``, whatever the corpus.
+of the whole corpus that have the word. An expression whose counts do not tell
+the classes apart (log-likelihood ratio below ``evidence``: the rare ones, and
+most common ones) has no count of its own and is left to the backoff, where it is
+the same for both. The models are fitted on a bounded number of rows, so they
+are bounded too and can be broadcast.
 
 A text's score compares both log-likelihoods per expression, and per root of the
 number of expressions, since chance differences shrink so in long texts. A
@@ -34,6 +35,8 @@ from claravoz.llm.language_id import held_out
 from claravoz.llm.tables import stored, text_of
 
 DISCOUNT = 0.75
+#: Pull of the curve's weights to zero; it keeps them finite where the classes do not overlap.
+RIDGE = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 _PARTS, _PART = 3, 1
 
@@ -48,6 +51,7 @@ class Model:
 
     words: dict[str, float] = field(default_factory=dict)
     pairs: dict[tuple[str, str], float] = field(default_factory=dict)
+    other: float = 0.0
     curve: tuple[float, float, float] = (0.0, 0.0, -20.0)
 
     def compare(self, text: str) -> tuple[float, float]:
@@ -56,11 +60,15 @@ class Model:
         if not words:
             return 0.0, 0.0
         pairs, one, two = set(zip(words, words[1:])), self.words, self.pairs
-        total = one.get(words[0], 0.0)
+        n = len(pairs) + 1
+        total, known = 0.0, 0
+        if words[0] in one:
+            total, known = one[words[0]], 1
         for pair in pairs:
             if pair[1] in one:
                 total += two[pair] if pair in two else one[pair[1]]
-        n = len(pairs) + 1
+                known += 1
+        total += (n - known) * self.other
         return total / n, total / math.sqrt(n)
 
     def score(self, text: str) -> float:
@@ -126,7 +134,7 @@ def corpus_counts(docs: DataFrame, words: set[str]) -> dict[str, int]:
     return {r["word"]: r["n"] for r in found.collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, share: float = 0.02, most: int = 10_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, evidence: float = 15.0, most: int = 10_000) -> Model:
     """Models of both classes. ``labels`` has doc_id and toxic (0, 1; other values and
     nulls are left out; of several labels of an id the largest counts). Without
     toxic or without ordinary rows nothing is learned and every score is about 0."""
@@ -135,41 +143,44 @@ def fit(docs: DataFrame, labels: DataFrame, share: float = 0.02, most: int = 10_
     if not size.get(0) or not size.get(1):
         return Model()
     counts = stored(expression_counts(texts), "expressions")
-    enough = (F.col("ordinary") >= max(2, share * size[0])) | (F.col("toxic") >= max(2, share * size[1]))
-    kept = counts.where(F.col("before").isNull() & enough).select("word", "ordinary", "toxic")
+    share = size[1] / (size[0] + size[1])
+    both = F.col("ordinary") + F.col("toxic")
+    ratio = 2 * sum(F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / (both * p))).otherwise(0.0) for c, p in (("ordinary", 1 - share), ("toxic", share)))
+    single = counts.where(F.col("before").isNull())
+    everything = single.agg(F.sum("ordinary"), F.sum("toxic")).first()
+    kept = single.where(ratio >= evidence).select("word", "ordinary", "toxic")
     word_counts = {r["word"]: (r["ordinary"], r["toxic"]) for r in kept.collect()}
     if not word_counts:
         return Model()
-    pairs = counts.where(F.col("before").isNotNull()).join(F.broadcast(kept.select("word")), "word")
-    frequent = pairs.where(enough)
+    pairs = counts.where(F.col("before").isNotNull())
+    telling = pairs.where(ratio >= evidence).join(F.broadcast(kept.select("word")), "word")
     totals = pairs.groupBy("before").agg(F.sum("ordinary").alias("all_ordinary"), F.sum("toxic").alias("all_toxic"))
-    pair_rows = frequent.join(totals, "before").collect()
-    shared = corpus_counts(docs, set(word_counts))
-    model = Model(*ratios(word_counts, pair_rows, shared))
+    pair_rows = telling.join(totals, "before").collect()
+    model = ratios(word_counts, tuple(everything), pair_rows, corpus_counts(docs, set(word_counts)))
     model.curve = fit_curve(texts, model)
     return model
 
 
-def ratios(word_counts: dict, pair_rows: list, shared: dict[str, int]) -> tuple[dict, dict]:
-    """Log ratios of both models, for words and for pairs."""
-    everything = sum(shared.values())
+def ratios(word_counts: dict, everything: tuple, pair_rows: list, shared: dict[str, int]) -> Model:
+    """Log ratios of both models: for words, for pairs, and for all words without a count."""
+    documents = max(1, sum(shared.values()))
     chance: list[dict[str, float]] = []
-    for c in (0, 1):
-        total = max(1, sum(n[c] for n in word_counts.values()))
-        left = 1 - sum(max(n[c] - DISCOUNT, 0) for n in word_counts.values()) / total
-        chance.append({w: max(n[c] - DISCOUNT, 0) / total + left * shared.get(w, 1) / max(1, everything) for w, n in word_counts.items()})
-    used = Counter()
+    for c, total in enumerate(everything):
+        left = DISCOUNT * max(1, sum(n[c] > 0 for n in word_counts.values())) / total
+        chance.append({w: max(n[c] - DISCOUNT, 0) / total + left * shared.get(w, 1) / documents for w, n in word_counts.items()})
+    rest = [max(1e-9, 1 - sum(p.values())) for p in chance]
+    kinds: Counter = Counter()
     for r in pair_rows:
-        for c, n in enumerate((r["ordinary"], r["toxic"])):
-            used[c, r["before"]] += max(n - DISCOUNT, 0)
+        kinds.update((c, r["before"]) for c, name in enumerate(("ordinary", "toxic")) if r[name])
     pairs = {}
     for r in pair_rows:
         p = []
         for c, (n, total) in enumerate(((r["ordinary"], r["all_ordinary"]), (r["toxic"], r["all_toxic"]))):
             back = chance[c][r["word"]]
-            p.append(max(n - DISCOUNT, 0) / total + (1 - used[c, r["before"]] / total) * back if total else back)
+            left = kinds[c, r["before"]]
+            p.append(max(n - DISCOUNT, 0) / total + DISCOUNT * left / total * back if left else back)
         pairs[r["before"], r["word"]] = math.log(p[1] / p[0])
-    return {w: math.log(chance[1][w] / chance[0][w]) for w in word_counts}, pairs
+    return Model({w: math.log(chance[1][w] / chance[0][w]) for w in word_counts}, pairs, math.log(rest[1] / rest[0]))
 
 
 def fit_curve(texts: DataFrame, model: Model) -> tuple[float, float, float]:
@@ -192,19 +203,19 @@ def fit_curve(texts: DataFrame, model: Model) -> tuple[float, float, float]:
     w = np.zeros(3)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        slope = z.T @ (y - p) - 1e-2 * w
-        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(3), slope)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(3), z.T @ (y - p) - RIDGE * w)
+        w += step / max(1.0, float(np.abs(step).max()))  # short steps where the classes are far apart
     return float(w[0] / width[0]), float(w[1] / width[1]), float(w[2] - (w[:2] * middle / width).sum())
 
 
-def score(docs: DataFrame, labels: DataFrame, share: float = 0.02, most: int = 10_000, least: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, evidence: float = 15.0, most: int = 10_000, least: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from ``least`` on) for every row of ``docs``.
 
     A null or empty text gets the score of no evidence. Null and repeated ids keep
     their rows, a null id is neither held out nor labelled. Other columns than
     doc_id and text are not looked at. An empty table gives an empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, share, most))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, evidence, most))
 
     @F.arrow_udf("double")
     def toxic(texts: pa.Array) -> pa.Array:
