@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claravoz.llm import byte_bpe, decontamination, exact_dedup, language_id, piece_counts, simhash_trie, toxicity, unit_dedup
+from claravoz.llm import byte_bpe, decontamination, exact_dedup, language_id, pii, piece_counts, simhash_trie, toxicity, unit_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the terms that disclose it."""
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_trie.find_groups(table(spark, sf_dir, "documents"))
@@ -70,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op4_piece_counts": op4_piece_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_pii": op6_pii,
     "op8_simhash_trie": op8_simhash_trie,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
