@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claravoz.llm import byte_bpe, decontamination, exact_dedup, language_id, pii, piece_counts, simhash_trie, toxicity, unit_dedup
+from claravoz.llm import byte_bpe, decontamination, exact_dedup, language_id, licenses, pii, piece_counts, simhash_trie, toxicity, unit_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,19 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or that of the nearest directory above.
+
+    A document is the file ``source/lang/<id div 100>/<id>.txt``; one whose words are to a
+    third or more a licence notice speaks for its directory.
+    """
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")),
+                       F.expr("doc_id div 100"), F.concat(F.col("doc_id"), F.lit(".txt")))
+    found = licenses.scan(docs, path, is_licence=F.col("notice_share") >= 1 / 3)
+    return found.withColumn("licences", F.array_join("licences", ","))
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_trie.find_groups(table(spark, sf_dir, "documents"))
@@ -77,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op4_piece_counts": op4_piece_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pii": op6_pii,
+    "op7_licenses": op7_licenses,
     "op8_simhash_trie": op8_simhash_trie,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
