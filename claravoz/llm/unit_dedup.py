@@ -5,8 +5,9 @@ also cut before a capitalised word, as a passage may be pasted in the middle of
 a sentence). Units are normalised and hashed; digests are grouped over the whole
 corpus; the occurrence that is ranked first (smallest document, then place) stays
 and all others are removed. Neighbouring removed units form a span, which keeps
-the offsets of the original text. A unit of few words goes only as part of a span
-that has a longer one, for "The." repeats by chance.
+the offsets of the original text. Pieces of few words ("The.") repeat by chance,
+so they are no units: they belong to the unit before them, and go with it if the
+same pieces follow it in the place that stays.
 """
 
 from __future__ import annotations
@@ -46,16 +47,42 @@ def units(text: str, cut: re.Pattern) -> Iterator[tuple[int, int]]:
         yield start, len(text)
 
 
-def digest(unit: str) -> tuple[bytes, int]:
-    """Digest and number of words of a unit, lower-cased, with single blanks and
-    without punctuation at its ends."""
-    words = unit.strip(_ENDS).lower().split()
-    return xxhash.xxh3_128_digest(" ".join(words)), len(words)
+def normal(unit: str) -> str:
+    """The words of a unit in lower case, with single blanks and without punctuation at the ends."""
+    return " ".join(unit.strip(_ENDS).lower().split())
 
 
-def document_units(docs: DataFrame, unit: str) -> DataFrame:
-    """One row per document: uid, doc_id, its ``text_key``, and arrays of digests,
-    starts, ends and words of its units. Units without a word are left out."""
+def long_units(text: str, cut: re.Pattern, least_words: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(high, low, tail, start, end, tail_end) of the units of ``least_words`` words or more:
+    96 bits of digest, and digest (0: none) and end of the pieces between it and the next."""
+    out: list[tuple] = []
+    tail: list[str] = []
+
+    def close() -> None:
+        if out and tail:
+            out[-1] = (*out[-1][:2], xxhash.xxh3_64_intdigest("\n".join(tail)) - (1 << 63) or 1, *out[-1][3:])
+
+    for start, end in units(text, cut):
+        words = normal(text[start:end])
+        if words.count(" ") + 1 >= least_words:
+            close()
+            tail = []
+            digest = xxhash.xxh3_128_digest(words)
+            out.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:12], "big", signed=True), 0, start, end, end))
+        elif out and words:
+            tail.append(words)
+            out[-1] = (*out[-1][:5], end)
+    close()
+    return out
+
+
+_FIELDS = (("high", "long", pa.int64()), ("low", "int", pa.int32()), ("tail", "long", pa.int64()),
+           ("start", "int", pa.int32()), ("end", "int", pa.int32()), ("tail_end", "int", pa.int32()))
+
+
+def document_units(docs: DataFrame, unit: str, least_words: int) -> DataFrame:
+    """One row per document: uid, doc_id, its ``text_key``, and an array for each field of
+    its units."""
     cut = CUTS[unit]
     keys = text_key(docs)
     first = ["uid", "doc_id", *keys]
@@ -64,20 +91,16 @@ def document_units(docs: DataFrame, unit: str) -> DataFrame:
         for batch in batches:
             for a, b in blocks(batch, "text", 4_000_000):
                 part = batch.slice(a, b - a)
-                rows: tuple[list, list, list, list] = ([], [], [], [])
-                for text in part.column("text").to_pylist():
-                    found = [(*digest(text[s:e]), s, e) for s, e in units(text, cut)]
-                    found = [x for x in found if x[1]]
-                    for out, i in zip(rows, (0, 2, 3, 1)):
-                        out.append([x[i] for x in found])
+                found = [long_units(text, cut, least_words) for text in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in first), pa.array(rows[0], pa.list_(pa.binary())), *(pa.array(r, pa.list_(pa.int32())) for r in rows[1:])],
-                    names=[*first, "digests", "starts", "ends", "words"])
+                    [*(part.column(c) for c in first),
+                     *(pa.array([[u[i] for u in us] for us in found], pa.list_(kind)) for i, (_, _, kind) in enumerate(_FIELDS))],
+                    names=[*first, *(name for name, _, _ in _FIELDS)])
 
     text = text_of(docs)
     rows = docs.select(row_id().alias("uid"), "doc_id", *(c.alias(n) for n, c in keys.items()), text.alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{kinds}, digests array<binary>, starts array<int>, ends array<int>, words array<int>")
+    return rows.mapInArrow(run, f"{kinds}, " + ", ".join(f"{name} array<{kind}>" for name, kind, _ in _FIELDS))
 
 
 def repeated_spans(docs: DataFrame, unit: str = "phrase", least_words: int = 5) -> DataFrame:
@@ -88,21 +111,22 @@ def repeated_spans(docs: DataFrame, unit: str = "phrase", least_words: int = 5)
     Null texts have no units; null ids rank last; rows that repeat a document lose
     what the first of them has. An empty table gives an empty result.
     """
-    rows = stored(document_units(docs, unit), "units")
+    rows = stored(document_units(docs, unit, least_words), "units")
     keys = list(text_key(docs))
-    each = rows.select("uid", "doc_id", F.posexplode(F.arrays_zip("digests", "starts", "ends", "words")).alias("place", "unit")).select(
-        "uid", "doc_id", "place", F.col("unit.digests").alias("digest"), F.col("unit.starts").alias("start"),
-        F.col("unit.ends").alias("end"), F.col("unit.words").alias("n"))
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"), F.col("place").alias("place"))
-    repeated = each.groupBy("digest").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    later = each.join(repeated, "digest").where((F.col("uid") != F.col("best.uid")) | (F.col("place") != F.col("best.place")))
+    names = [name for name, _, _ in _FIELDS]
+    each = rows.select("uid", "doc_id", F.posexplode(F.arrays_zip(*names)).alias("place", "unit")).select(
+        "uid", "doc_id", "place", *(F.col(f"unit.{n}").alias(n) for n in names))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"),
+                    F.col("place").alias("place"), F.col("tail").alias("tail"))
+    repeated = each.groupBy("high", "low").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    later = each.join(repeated, ["high", "low"]).where((F.col("uid") != F.col("best.uid")) | (F.col("place") != F.col("best.place")))
+    whole = F.when(F.col("tail") == F.col("best.tail"), F.col("tail_end")).otherwise(F.col("end"))
     order = Window.partitionBy("uid").orderBy("place")
-    spans = (later.select("uid", "place", "start", "end", "n", F.col("best.doc_id").alias("keep"))
-             .withColumn("island", F.col("place") - F.row_number().over(order))
-             .groupBy("uid", "island").agg(
-                 F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("longest"),
-                 F.max_by("keep", "n").alias("keep_doc_id"))
-             .where(F.col("longest") >= least_words)
+    spans = (later.select("uid", "place", "start", whole.alias("end"), (whole == F.col("tail_end")).alias("closed"), F.col("best.doc_id").alias("keep"))
+             # a span goes on if nothing that stays lies between two units
+             .withColumn("breaks", F.when((F.lag("place").over(order) == F.col("place") - 1) & F.lag("closed").over(order), 0).otherwise(1))
+             .withColumn("island", F.sum("breaks").over(order))
+             .groupBy("uid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("keep", "place").alias("keep_doc_id"))
              .groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "keep_doc_id"))).alias("spans")))
     named = rows.select("uid", "doc_id", *keys).withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("uid")))
     return named.join(spans, "uid")
@@ -119,15 +143,20 @@ def without(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
 
 
 def _joined(docs: DataFrame, how: str, unit: str, least_words: int) -> DataFrame:
+    """``docs`` with ``_key_spans``; the texts are shuffled once. Of rows that repeat id and
+    text all but the first lose the same, so a key has two lists of spans at most."""
     keys = text_key(docs)
-    spans = repeated_spans(docs, unit, least_words).select(*keys, F.col("copy").alias("_key_copy"), F.col("spans").alias("_key_spans"))
-    keyed = docs.withColumns(keys).withColumn("_key_copy", F.row_number().over(Window.partitionBy(*keys).orderBy("_key_size")))
-    return keyed.join(spans, [*keys, "_key_copy"], how)
+    spans = repeated_spans(docs, unit, least_words).groupBy(*keys).agg(
+        F.max(F.when(F.col("copy") == 1, F.col("spans"))).alias("_key_first"),
+        F.max(F.when(F.col("copy") > 1, F.col("spans"))).alias("_key_rest"))
+    numbered = docs.withColumns(keys).withColumn("_key_copy", F.row_number().over(Window.partitionBy(*keys).orderBy("_key_size")))
+    both = numbered.join(spans, list(keys), how)
+    return both.withColumn("_key_spans", F.when(F.col("_key_copy") == 1, F.col("_key_first")).otherwise(F.col("_key_rest")))
 
 
 def changed(docs: DataFrame, unit: str = "phrase", least_words: int = 5) -> DataFrame:
     """doc_id, spans and clean_text of the documents that lose text."""
-    both = _joined(docs, "inner", unit, least_words)
+    both = _joined(docs, "inner", unit, least_words).where(F.col("_key_spans").isNotNull())
     return both.select("doc_id", F.col("_key_spans").alias("spans"), without("text", "_key_spans.start", "_key_spans.end").alias("clean_text"))
 
 
