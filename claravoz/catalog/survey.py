@@ -223,7 +223,7 @@ def markup_sql(x: str, keep_unicode: bool = False) -> str:
     if not keep_unicode:
         x = f"regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g')"
     x = f"regexp_replace({x}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')"
-    return strip_sql(f"substr({x}, 1, 50000)")
+    return strip_sql(x)
 
 
 def formula_sql(x: str) -> str:

@@ -198,8 +198,8 @@ def drop_unsafe_characters(c: Column, keep_unicode: bool = False) -> Column:
     return F.regexp_replace(c, unsafe, "")
 
 
-def sanitize_markup(c: Column, mode: str = "strict", max_length: int | None = 50_000) -> Column:
-    """Escape, remove injection patterns and unsafe characters, cap, strip.
+def sanitize_markup(c: Column, mode: str = "strict", max_length: int | None = None) -> Column:
+    """Escape, remove injection patterns and unsafe characters, strip; cut to ``max_length`` if given.
 
     The result equals escaping first and then removing all eleven patterns.
     Escaped text holds no ``<`` and no numeric entity but the apostrophe's, so
@@ -236,7 +236,7 @@ def has_dangerous_formula(c: Column) -> Column:
 
 
 def sanitize_text(c: Column, excel_safe: bool = False, mode: str = "strict",
-                  max_length: int | None = 50_000) -> Column:
+                  max_length: int | None = None) -> Column:
     """Markup sanitising, then formula escaping when ``excel_safe``."""
     clean = sanitize_markup(c, mode, max_length)
     return escape_formula(clean) if excel_safe else clean
