@@ -165,6 +165,7 @@ def two_valued_sql(x: str) -> str:
 
 _D, _M = "(0?[1-9]|[12][0-9]|3[01])", "(0?[1-9]|1[0-2])"
 _T = r"\s+(2[0-3]|[01]?[0-9]):[0-5]?[0-9]:[0-5]?[0-9]"
+# Date shapes by name.
 _SHAPES = {
     "Y-m-d": (rf"[0-9]{{4}}-{_M}-{_D}", "%Y-%m-%d"), "Y/m/d": (rf"[0-9]{{4}}/{_M}/{_D}", "%Y/%m/%d"),
     "d/m/Y": (rf"{_D}/{_M}/[0-9]{{4}}", "%d/%m/%Y"), "m/d/Y": (rf"{_M}/{_D}/[0-9]{{4}}", "%m/%d/%Y"),
@@ -198,6 +199,7 @@ def _drop(x: str, pattern: str) -> str:
     return f"regexp_replace({x}, '{pattern}', '', 'gis')"
 
 
+# The injection patterns, as SQL.
 _PATTERNS = (
     r"<script[^>]*>.*?</script>", r"javascript:", r"on[\p{L}\p{N}_]+\s*=", r"<iframe[^>]*>", r"<embed[^>]*>",
     r"<object[^>]*>", r"vbscript:", r"data:text/html", r"<svg[^>]*on[\p{L}\p{N}_]+", r"&#[0-9]+;",
@@ -218,7 +220,7 @@ def patterns_sql(x: str) -> str:
 
 
 def markup_sql(x: str, keep_unicode: bool = False) -> str:
-    """The layers one by one: escape, all patterns, characters, cap, strip."""
+    """The layers one by one: escape, all patterns, characters, strip."""
     x = patterns_sql(escape_sql(x))
     if not keep_unicode:
         x = f"regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g')"

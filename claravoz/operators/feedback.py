@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claravoz.functions import dates, scoring, text
-from claravoz.operators.ordering import with_previous
 
 # Survey labels counted by the severity score.
 DETRACTOR = "Detractor"
@@ -27,13 +26,14 @@ def _severity_columns(total: Column, detractors: Column, high: Column, medium: C
 
 
 def severity_by(df: DataFrame, by: Sequence[str], group: str = "NPS_GRUPO",
-                churn: str = "churn_risk") -> DataFrame:
-    """Counts, shares, severity score and level for each combination of ``by``."""
+                churn: str = "churn_risk", more: Sequence[Column] = ()) -> DataFrame:
+    """Counts, shares, severity score and level for each combination of ``by``; ``more``
+    are further aggregates of the same pass."""
     counted = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_comments"),
         F.count_if(F.col(group) == DETRACTOR).alias("detractors"),
         F.count_if(F.col(churn) == HIGH_CHURN).alias("high_churn"),
-        F.count_if(F.col(churn) == MEDIUM_CHURN).alias("medium_churn"),
+        F.count_if(F.col(churn) == MEDIUM_CHURN).alias("medium_churn"), *more,
     )
     return counted.withColumns(_severity_columns(
         F.col("total_comments"), F.col("detractors"), F.col("high_churn"), F.col("medium_churn")
@@ -97,8 +97,10 @@ def pain_point_distribution(df: DataFrame, pain_point: str = "pain_points") -> D
     counted = (
         df.where(name != "").groupBy(name.alias("pain_point")).agg(F.count(F.lit(1)).alias("n"))
     )
-    total = F.sum("n").over(Window.partitionBy())
-    return counted.select("pain_point", "n", scoring.percent(F.col("n"), total).alias("pct"))
+    # the total is one row, so the join moves no names
+    total = counted.agg(F.sum("n").alias("_total"), F.lit(1).alias("_one"))
+    return counted.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select(
+        "pain_point", "n", scoring.percent(F.col("n"), F.col("_total")).alias("pct"))
 
 
 def spelling_census(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -143,14 +145,14 @@ def sentiment_distribution(df: DataFrame, sentiment: str = "sentiment") -> DataF
 def task_statistics(records: DataFrame, sentiments: DataFrame) -> DataFrame:
     """Per task: records, positive and negative results, average confidence.
 
-    Results are reduced to one row per record before the join, records to one
-    row per task after it.
+    Of several results of a record the most confident counts, and of equally
+    confident ones the last by label. Records are one row each.
     """
-    joined = records.select("task_id", "record_id").join(
-        sentiments.select("record_id", "sentiment", "confidence"), "record_id", "left"
-    )
+    one = sentiments.groupBy("record_id").agg(F.max(F.struct("confidence", "sentiment")).alias("_r")).select(
+        "record_id", "_r.sentiment", "_r.confidence")
+    joined = records.select("task_id", "record_id").distinct().join(one, "record_id", "left")
     return joined.groupBy("task_id").agg(
-        F.count_distinct("record_id").alias("total_records"),
+        F.count("record_id").alias("total_records"),
         F.count_if(F.col("sentiment") == "POSITIVE").alias("positive"),
         F.count_if(F.col("sentiment") == "NEGATIVE").alias("negative"),
         F.avg("confidence").alias("average_confidence"),
@@ -162,8 +164,9 @@ def severity_trend(df: DataFrame, date: str, by: str = "plan", period: str = "mo
     """Severity per product and period, the change from the period before, and whether it got worse."""
     periods = df.withColumn("period", F.date_trunc(period, F.col(date)).cast("date"))
     severity = severity_by(periods, [by, "period"], group, churn)
-    # one row per product and period reaches the lookup
-    trend = with_previous(severity, [by], ["period"], {"previous_score": "severity_score"})
+    # one row per product and period reaches the window
+    before = F.lag("severity_score").over(Window.partitionBy(by).orderBy("period"))
+    trend = severity.withColumn("previous_score", before)
     change = F.col("severity_score") - F.col("previous_score")
     return trend.select(
         by, "period", "total_comments", "severity_score", "previous_score",
@@ -186,11 +189,9 @@ def threshold_alerts(df: DataFrame, date: str, threshold: float = 40.0, by: str
 
 def issues_by_region(df: DataFrame, region: str = "region", group: str = "NPS_GRUPO",
                      churn: str = "churn_risk", pain_point: str = "pain_points") -> DataFrame:
-    """Severity and number of named issues per region."""
-    issue = text.strip(F.col(pain_point)) != ""
-    issues = df.groupBy(region).agg(F.count_if(issue).alias("issues"))
-    severity = severity_by(df, [region], group, churn)
-    return severity.join(issues, region).select(
+    """Severity and number of named issues per region, rows without a region as one."""
+    issues = F.count_if(text.strip(F.col(pain_point)) != "").alias("issues")
+    return severity_by(df, [region], group, churn, [issues]).select(
         region, "total_comments", "issues", "severity_score", "severity_level"
     )
 

@@ -199,6 +199,21 @@ def map_columns(df: DataFrame, canonical: Mapping[str, Sequence[str]] = CANONICA
     return df.toDF(*mapped), report
 
 
+def merged(reports: Sequence[MappingReport]) -> MappingReport:
+    """One report of several tables; a header that several have counts once."""
+    seen, rows = set(), []
+    for report in reports:
+        for row in zip(report.original_columns, report.normalized_columns, report.mapped_columns):
+            if row[0] not in seen:
+                seen.add(row[0])
+                rows.append(row)
+    mapping = {k: v for r in reversed(reports) for k, v in r.mapping.items()}
+    return MappingReport(
+        [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], mapping,
+        list(dict.fromkeys(h for r in reports for h in r.unmapped_columns)),
+        list(dict.fromkeys(h for r in reports for h in r.collisions if h not in mapping)))
+
+
 def mapping_report(spark, report: MappingReport) -> DataFrame:
     """The report as rows (original, normalized, mapped, status)."""
     rows = []

@@ -385,6 +385,7 @@ def validate_audit(audits: DataFrame) -> DataFrame:
     cells = F.col("rows") * F.col("columns")
     nulls = F.aggregate(F.map_values("nulls"), F.lit(0).cast("long"), lambda acc, x: acc + x)
     share = F.when(cells > 0, nulls / cells * 100).otherwise(F.lit(0.0))
+    # fixed values: the three messages and the limit of 50 percent
     unmapped = F.coalesce(F.col("unmapped_count"), F.lit(0))
     return audits.withColumns({
         "null_percentage": share,

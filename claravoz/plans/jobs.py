@@ -45,36 +45,44 @@ def _status(spark: SparkSession, path: str, status: str) -> DataFrame:
 def ingest(spark: SparkSession, source: str, output: str, history: str, fmt: str = "csv",
            canonical: Mapping[str, Sequence[str]] = headers.CANONICAL, match: str = "tokens",
            options: Mapping[str, str] | None = None, profile: bool = True,
-           table_format: str = "parquet", profile_bytes: int = inventory.MAX_BYTES) -> IngestResult:
+           table_format: str = "parquet", profile_bytes: int | None = None,
+           partition_by: Sequence[str] = ()) -> IngestResult:
     """Profile, read as strings, map headers, write, audit.
 
-    The source is read once for the data: good and malformed rows go to two
-    partitions of the same write, and the audit reads the columnar result.
-    Files up to ``profile_bytes`` are profiled whole. The multi-line reader,
-    which cannot split a file, is used only when quotes hold line breaks.
+    Files with the same header, delimiter, encoding and line layout are scanned
+    together, each such group with its own options; headers are mapped group by
+    group and the rows united by name, so neither another order of columns nor
+    another separator puts a value under a wrong name. Good and malformed rows go
+    to two partitions of the same write, and the audit reads the columnar result.
+    The multi-line reader, which cannot split a file, is used only for files whose
+    quotes hold line breaks or that hold one JSON document. A profile holds a file
+    as one row; files over ``profile_bytes``, if given, are not profiled but scanned
+    with the options. ``partition_by`` names further partition columns, as mapped.
     Schema, drift, audit and description are appended below ``history``.
     """
     options = dict(options or {})
     if profile:
         checks = inventory.profile_files(spark, source, max_bytes=profile_bytes)
-        # one row per file that failed, at most a handful of reasons shown
-        failed = checks.where(~F.col("passed") & ~_only_uneven()).select("path", "errors").limit(20).collect()
-        if failed:
-            raise ValueError("; ".join(f"{r['path']}: {', '.join(r['errors'])}" for r in failed))
-        if fmt == "csv" and "multiLine" not in options:
-            broken = not checks.where("multi_line").limit(1).isEmpty()
-            # files too large for the profile are few; their names go to a line scan
-            large = [r["path"] for r in checks.where(F.col("multi_line").isNull()).select("path").collect()]
-            if large and not broken:
-                broken = inventory.has_open_quotes(spark, large)
-            options["multiLine"] = "true" if broken else "false"
-    raw = readers.read_raw(spark, source, fmt, options, corrupt=True)
+        bad = checks.where(~F.col("passed") & ~_only_uneven()).select("path", "errors")
+        shown = bad.limit(20).collect()
+        if shown:
+            names = "; ".join(f"{r['path']}: {', '.join(r['errors'])}" for r in shown)
+            more = bad.count() - len(shown)
+            raise ValueError(names + (f"; and {more} more, see inventory.profile_files" if more else ""))
     version = spark.range(1).select(schema.dates.version_stamp()).first()[0]
-    data = raw.drop(readers.CORRUPT)
-    mapped, report = headers.map_columns(data, canonical, match=match)
-    renamed = raw.select(*(
-        F.col(f"`{old}`").alias(new) for old, new in zip(data.columns, mapped.columns)
-    ), readers.CORRUPT)
+    scans = _scans(spark, source, fmt, options, checks) if profile and fmt in ("csv", "json") else [
+        readers.read_raw(spark, source, fmt, options, corrupt=True)]
+    parts, originals, reports = [], [], []
+    for raw in scans:
+        data = raw.drop(readers.CORRUPT)
+        named, one = headers.map_columns(data, canonical, match=match)
+        parts.append(raw.select(*(
+            F.col(f"`{old}`").alias(new) for old, new in zip(data.columns, named.columns)), readers.CORRUPT))
+        originals.append(data)
+        reports.append(one)
+    renamed, data, report = _united(parts), _united(originals), headers.merged(reports)
+    renamed = renamed.select(*(f"`{c}`" for c in renamed.columns if c != readers.CORRUPT), readers.CORRUPT)
+    mapped = renamed.drop(readers.CORRUPT)
 
     previous = _latest_fields(spark, f"{history}/fields")
     fields = schema.field_table(mapped)
@@ -82,7 +90,7 @@ def ingest(spark: SparkSession, source: str, output: str, history: str, fmt: str
     sinks.append_history(schema.schema_record(data, source, version), f"{history}/schemas")
 
     # two values, so every task writes at most two files and no shuffle is needed
-    sinks.write_table(with_status(renamed), output, [STATUS], table_format, balance=False)
+    sinks.write_table(with_status(renamed), output, [STATUS, *partition_by], table_format, balance=False)
     counts = {r[STATUS]: r["count"] for r in spark.read.parquet(output).groupBy(STATUS).count().collect()}
     good = _status(spark, output, "good")
     audit = quality.validate_audit(quality.audit_record(
@@ -99,6 +107,38 @@ def ingest(spark: SparkSession, source: str, output: str, history: str, fmt: str
                         report, audits, drift)
 
 
+def _united(frames: list[DataFrame]) -> DataFrame:
+    whole = frames[0]
+    for other in frames[1:]:
+        whole = whole.unionByName(other, allowMissingColumns=True)
+    return whole
+
+
+def _scans(spark: SparkSession, source: str, fmt: str, options: Mapping[str, str], checks: DataFrame) -> list[DataFrame]:
+    """One raw scan for each layout of the profiled files; given options win over what was found.
+
+    Layouts are few; the names of their files reach the driver, where Spark lists them, too.
+    """
+    layout = ["header", "delimiter", "encoding", "multi_line"]
+    found = checks.groupBy(*layout).agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy(
+        F.element_at("paths", 1)).collect()
+    scans = []
+    for group in found:
+        own = dict(options)
+        paths = source if len(found) == 1 else group["paths"]
+        wide = group["encoding"] == "utf-16"
+        multi_line = group["multi_line"]
+        if multi_line is None and fmt == "csv":  # too large for the profile
+            multi_line = inventory.has_open_quotes(spark, group["paths"])
+        own.setdefault("multiLine", "true" if multi_line or wide else "false")
+        if wide:
+            own.setdefault("encoding", "UTF-16")
+        if fmt == "csv" and group["delimiter"] and not {"sep", "delimiter"} & set(own):
+            own["sep"] = group["delimiter"]
+        scans.append(readers.read_raw(spark, paths, fmt, own, corrupt=True))
+    return scans
+
+
 def _only_uneven():
     """Uneven rows are quarantined by the scan, so they do not stop an ingest."""
     return (F.size("errors") == 1) & F.get("errors", F.lit(0)).rlike("differ from the header")

@@ -41,11 +41,11 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def file_contents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, extension, length, content) of the files within the size limit."""
+def file_contents(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(path, extension, length, content) of all files, or of those within a size limit."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .where(F.col("length") <= max_bytes)
+        (files if max_bytes is None else files.where(F.col("length") <= max_bytes))
         .withColumn("extension", F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)))
         .select("path", "extension", "length", "content")
     )
@@ -67,7 +67,7 @@ def content_kind(content: Column) -> Column:
     return (
         F.when(lead == "50415231", "parquet").when(lead == "504B0304", "zip")
         .when(lead == "D0CF11E0", "ole")
-        .when(F.is_valid_utf8(content.cast("string")) & ~F.hex(F.substring(content, 1, 1024)).rlike("^(..)*?00"),
+        .when(F.is_valid_utf8(content.cast("string")) & ~content.cast("string").contains("\0"),
               "text")
         .otherwise("binary")
     )
@@ -111,8 +111,10 @@ def validate_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES,
 
 
 def _readable(content: Column) -> Column:
-    """Content as text; bytes that are not UTF-8 become replacement characters."""
-    return F.make_valid_utf8(content.cast("string"))
+    """Content as text: UTF-16 by its byte order mark, else UTF-8; bytes that are not
+    valid become replacement characters."""
+    wide = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
+    return F.when(wide, F.decode(content, "UTF-16")).otherwise(F.make_valid_utf8(content.cast("string")))
 
 
 def _bare_lines(content: Column) -> Column:
@@ -158,7 +160,7 @@ def _line_shapes(files: DataFrame) -> DataFrame:
 
 
 def profile_files(spark: SparkSession, path: str, expect_header: bool = True, min_rows: int = 1,
-                  max_bytes: int = MAX_BYTES) -> DataFrame:
+                  max_bytes: int | None = None) -> DataFrame:
     """Per file: encoding, format, delimiter, header, row count, errors, passed.
 
     Rows are counted with the header, as lines outside quotes. All rows are
@@ -178,8 +180,10 @@ def profile_files(spark: SparkSession, path: str, expect_header: bool = True, mi
         F.col("content").isNotNull().alias("_read"),
         F.when(is_csv, "csv").when(is_json, "json").otherwise("unknown").alias("format"),
         F.when(is_csv, F.regexp_extract("_text", r'^(?:"[^"]*+"|[^"\r\n]++)*+', 0)).alias("_first_record"),
-        F.when(is_csv, broken).alias("multi_line"),
+        F.when(is_csv, broken).when(is_json, json_lines_problem(F.col("_text")).isNotNull()
+                                    | (json_rows(F.col("_text")) > 0)).alias("multi_line"),
         F.when(is_json, json_problem(F.col("_text"))).alias("_json_problem"),
+        F.when(is_json, json_lines_problem(F.col("_text"))).alias("_lines_problem"),
         F.when(is_json, json_rows(F.col("_text"))).alias("_json_rows"),
     ).join(_line_shapes(files), "path", "left")
     is_csv = F.col("format") == "csv"
@@ -199,7 +203,8 @@ def profile_files(spark: SparkSession, path: str, expect_header: bool = True, mi
                F.format_string("%d rows differ from the header in length", F.col("uneven_rows"))),
         F.when(is_csv & (F.col("rows") < min_rows), F.lit("insufficient rows")),
         F.when(is_csv & F.col("_read") & F.lit(expect_header) & F.col("header").isNull(), F.lit("header expected but not found")),
-        F.when(F.col("_read"), F.col("_json_problem")),
+        # one document, or one document a line
+        F.when(F.col("_read") & F.col("_lines_problem").isNotNull(), F.col("_json_problem")),
     ))
     return profiled.withColumn("errors", errors).select(
         "path", "size_bytes", "encoding", "format", "delimiter", "header", "rows", "uneven_rows",
@@ -217,8 +222,22 @@ def has_open_quotes(spark: SparkSession, paths: list[str]) -> bool:
 
 
 def json_problem(document: Column) -> Column:
-    """Reason when a text is not one whole JSON document, else null."""
-    return F.when(document.isNull() | F.try_parse_json(document).isNull(), F.lit("invalid JSON"))
+    """Reason when a text is not one whole JSON document, else null.
+
+    The parser stops after the first value, so the text is read as the only element
+    of a list: more values, or anything else behind the first, break that.
+    """
+    listed = F.concat(F.lit("["), document, F.lit("]"))
+    return F.when(
+        document.isNull() | F.try_parse_json(document).isNull() | F.try_parse_json(listed).isNull()
+        | (F.coalesce(F.json_array_length(listed), F.lit(0)) != 1), F.lit("invalid JSON"))
+
+
+def json_lines_problem(document: Column) -> Column:
+    """Reason when some line of a text that is not blank is not a JSON document, else null."""
+    lines = F.filter(F.split(document, r"\r?\n"), lambda line: F.trim(line) != "")
+    bad = F.exists(lines, lambda line: json_problem(line).isNotNull())
+    return F.when(document.isNull() | bad | (F.size(lines) == 0), F.lit("invalid JSON"))
 
 
 def json_rows(document: Column) -> Column:
@@ -227,8 +246,8 @@ def json_rows(document: Column) -> Column:
 
 
 def malicious_preview(spark: SparkSession, path: str, preview_chars: int | None = None,
-                      max_bytes: int = 50 * 1024 * 1024) -> DataFrame:
-    """CSV files whose text matches a script or formula pattern.
+                      max_bytes: int | None = None) -> DataFrame:
+    """CSV files whose text matches a script or formula pattern; all files unless a limit is given.
 
     The whole text is searched unless ``preview_chars`` limits it to its beginning.
     """

@@ -38,14 +38,15 @@ def json_fields(spark: SparkSession, path: str, multi_line: bool = False) -> lis
     return [c for c in inferred.columns if c != CORRUPT]
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str = "csv", options: Mapping[str, str] | None = None,
+def read_raw(spark: SparkSession, path: str | list[str], fmt: str = "csv", options: Mapping[str, str] | None = None,
              columns: list[str] | None = None, corrupt: bool = False,
-             ignore_corrupt_files: bool = True) -> DataFrame:
+             ignore_corrupt_files: bool = False, schema: str | None = None) -> DataFrame:
     """Raw scan: every CSV and JSON column a string.
 
     ``corrupt`` adds the column with the text of records that do not fit.
     ``multiLine`` files cannot be split; pass ``{"multiLine": "false"}`` for
-    large files without line breaks inside quotes. Unreadable files are skipped.
+    large files without line breaks inside quotes. An unreadable file is an error unless
+    ``ignore_corrupt_files`` skips it.
     """
     reader = spark.read.option("ignoreCorruptFiles", ignore_corrupt_files)
     fmt = fmt.lower()
@@ -64,7 +65,7 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "csv", options: Mapping[
             reader.options(**chosen).schema(text_schema(names, corrupt))
             .option("columnNameOfCorruptRecord", CORRUPT).json(path)
         )
-    return reader.format(fmt).options(**(options or {})).load(path)
+    return (reader.schema(schema) if schema else reader).format(fmt).options(**(options or {})).load(path)
 
 
 def read_typed(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,14 +14,24 @@ from claravoz.operators.ordering import number_rows
 # Default and largest page.
 PAGE_DEFAULT = 100
 PAGE_MAX = 10_000
-SCAN_DEFAULT = 1_000
 
 
-def to_records(df: DataFrame, task_id: str, order: Sequence[str]) -> DataFrame:
-    """Rows as (task_id, record_index, data): payloads numbered from 0 in ``order``."""
+def to_records(df: DataFrame, task_id: str, order: Sequence[str], first: int = 0) -> DataFrame:
+    """Rows as (task_id, record_index, data): payloads numbered from ``first`` in ``order``."""
     packed = df.select(*order, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("data"))
     numbered = number_rows(packed, order)
-    return numbered.select(F.lit(task_id).alias("task_id"), "record_index", "data")
+    return numbered.select(F.lit(task_id).alias("task_id"), (F.col("record_index") + first).alias("record_index"), "data")
+
+
+def next_index(spark: SparkSession, path: str, task_id: str) -> int:
+    """Index that the next record of a task gets; 0 for a store or task that is not there yet."""
+    try:
+        known = spark.read.parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return 0
+    return known.where(F.col("task_id") == task_id).agg(F.coalesce(F.max("record_index") + 1, F.lit(0))).first()[0]
 
 
 def write_records(records: DataFrame, path: str) -> str:
@@ -31,13 +42,18 @@ def write_records(records: DataFrame, path: str) -> str:
 
 
 def load_parquet(spark: SparkSession, source: str, task_id: str, order: Sequence[str], path: str) -> int:
-    """Load a Parquet table into the store; returns how many records the task has then."""
-    write_records(to_records(spark.read.parquet(source), task_id, order), path)
+    """Load a Parquet table into the store; returns how many records the task has then.
+
+    A task that is loaded again goes on where it ended, so its indexes stay dense.
+    One load of a task at a time.
+    """
+    first = next_index(spark, path, task_id)
+    write_records(to_records(spark.read.parquet(source), task_id, order, first), path)
     return spark.read.parquet(path).where(F.col("task_id") == task_id).count()
 
 
-def read_records(spark: SparkSession, path: str, task_id: str, limit: int | None = SCAN_DEFAULT) -> DataFrame:
-    """Records of a task (partition pruned), in index order up to ``limit``."""
+def read_records(spark: SparkSession, path: str, task_id: str, limit: int | None = None) -> DataFrame:
+    """Records of a task (partition pruned); the first ``limit`` by index if given."""
     found = spark.read.parquet(path).where(F.col("task_id") == task_id)
     if limit is not None:
         # indexes are dense, so the limit is a pushed-down filter, not a sort

@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from claravoz.operators import quality
 from claravoz.sources.readers import CORRUPT, CSV_OPTIONS, text_schema
-from claravoz.sources.sinks import append_history
 
 STATUS = "row_status"
 
@@ -52,9 +51,9 @@ def ingest_stream(spark: SparkSession, folder: str, columns: list[str], output:
             good = session.read.parquet(output).where(
                 (F.col("batch_id") == batch_id) & (F.col(STATUS) == "good")
             ).drop("batch_id", STATUS, CORRUPT)
-            append_history(
-                quality.validate_audit(quality.audit_record(good, str(batch_id), folder, output)), audit_path
-            )
+            # a batch that runs again replaces its own audit
+            quality.validate_audit(quality.audit_record(good, str(batch_id), folder, output)) \
+                .write.mode("overwrite").option("ignoreNullFields", "false").json(f"{audit_path}/batch_id={batch_id}")
 
     stream = file_stream(spark, folder, columns, options, files_per_trigger)
     return (

@@ -108,7 +108,7 @@ def test_store_pages_and_exports(spark, tmp_path):
         sinks.export(data.limit(0), str(tmp_path / "none"), "csv")
     with pytest.raises(ValueError):
         sinks.export(data, str(tmp_path / "none"), "xlsx")
-    pruned = records.read_records(spark, store, "t1")._jdf.queryExecution().executedPlan().toString()
+    pruned = records.read_records(spark, store, "t1", 1000)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(task_id" in pruned and "LessThan(record_index,1000)" in pruned
 
 
@@ -136,10 +136,57 @@ def test_ingest_twice_reports_drift(spark, tmp_path):
         jobs.ingest(spark, write(tmp_path / "c" / "f.csv", ""), str(tmp_path / "o3"), history)
 
 
+def test_ingest_of_files_with_different_layouts(spark, tmp_path):
+    """Another order of columns, another separator, quoted line breaks and another encoding."""
+    folder = tmp_path / "mixed"
+    write(folder / "a.csv", "user,score\nu1,1\nu2,2\n")
+    write(folder / "b.csv", "score,user\n3,u3\n")
+    write(folder / "c.csv", "user;score;note\nu4;4;x,y\n")
+    write(folder / "d.csv", 'user,score,note\nu5,5,"two\nlines"\n')
+    write(folder / "e.csv", "user,score\nu6é,6\n".encode("utf-16"))
+    out = jobs.ingest(spark, str(folder), str(tmp_path / "o"), str(tmp_path / "h"), canonical={"unused": ["unused"]})
+    assert (out.rows, out.malformed) == (6, 0)
+    rows = sorted((r["user"], r["score"], r["note"]) for r in out.good(spark).collect())
+    assert rows == [("u1", "1", None), ("u2", "2", None), ("u3", "3", None), ("u4", "4", "x,y"), ("u5", "5", "two\nlines"), ("u6é", "6", None)]
+    parted = jobs.ingest(spark, str(folder), str(tmp_path / "o2"), str(tmp_path / "h2"), canonical={"unused": ["unused"]}, partition_by=["user"])
+    assert parted.good(spark).where("user = 'u3'").first()["score"] == "3"
+    written = spark.read.parquet(parted.output).where("user = 'u3'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(user" in written
+
+
+def test_ingest_of_json_layouts(spark, tmp_path):
+    folder = tmp_path / "json"
+    write(folder / "list.json", '[{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]')
+    write(folder / "lines.json", '{"b": "z", "a": 3}\n{"a": 4}\n')
+    out = jobs.ingest(spark, str(folder), str(tmp_path / "o"), str(tmp_path / "h"), fmt="json", canonical={"unused": ["unused"]})
+    assert sorted((r["a"], r["b"]) for r in out.good(spark).collect()) == [("1", "x"), ("2", "y"), ("3", "z"), ("4", None)]
+    bad = tmp_path / "bad"
+    write(bad / "rest.json", '{"a": 1} rubbish')
+    with pytest.raises(ValueError, match="invalid JSON"):
+        jobs.ingest(spark, str(bad), str(tmp_path / "o2"), str(tmp_path / "h2"), fmt="json")
+
+
+def test_json_document_has_nothing_behind_it(spark):
+    texts = ['{"a": 1}', '{"a": 1}\n{"a": 2}', '{"a": 1} x', "[1] [2]", "[1, 2]", " 5 ", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["p"] is None for r in df.select("i", inventory.json_problem(F.col("t")).alias("p")).orderBy("i").collect()]
+    assert got == [True, False, False, False, True, True, False, False]
+
+
+def test_second_load_goes_on(spark, tmp_path):
+    source, store = str(tmp_path / "s"), str(tmp_path / "store")
+    spark.range(7).write.parquet(source)
+    assert records.load_parquet(spark, source, "t", ["id"], store) == 7
+    assert records.load_parquet(spark, source, "t", ["id"], store) == 14
+    found = records.read_records(spark, store, "t")
+    assert sorted(r["record_index"] for r in found.collect()) == list(range(14))
+    assert records.page(found, 5, 5).count() == 5
+
+
 def test_convert(spark, tmp_path):
     df = spark.createDataFrame(
-        [(" Basic ", 9, "si", "<iframe src=javascript:alert('XSS')>", "15/01/2024"),
-         ("Basic", 9, "no", "@SUM(A1:A10)", "2024-01-16"), ("Basic", 9, "quizás", "ok", "x")] * 2
+        [(" Basic ", 9, "si", "<iframe src=vbscript:go('b')>", "15/01/2024"),
+         ("Basic", 9, "no", "@HOY(B2)", "2024-01-16"), ("Basic", 9, "quizás", "ok", "x")] * 2
         + [("Basic", 1, "1", None, "2024-02-01")] * 14,
         "plan string, score int, outage_flag string, comentario string, fecha string")
     result = jobs.convert(spark, df, str(tmp_path / "out"))
@@ -147,7 +194,7 @@ def test_convert(spark, tmp_path):
     rows = spark.read.parquet(result.output)
     assert dict(rows.dtypes)["outage_flag"] == "boolean"
     comments = {r["comentario"] for r in rows.collect()}
-    assert comments == {"&lt;iframe src=alert(XSS)&gt;", "'@SUM(A1:A10)", "ok", None}
+    assert comments == {"&lt;iframe src=go(b)&gt;", "'@HOY(B2)", "ok", None}
     report = {(r["phase"], r["metric"]): r["value"] for r in result.quality.where("column IS NULL").collect()}
     assert report[("improvements", "whitespace_cleaned")] == 2.0
     assert report[("after", "duplicate_rows")] == 20 - 4
