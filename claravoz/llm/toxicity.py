@@ -90,9 +90,9 @@ def training_texts(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return stored(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "training")
 
 
-def expression_counts(texts: DataFrame) -> DataFrame:
-    """(before, word, ordinary, toxic): texts of each class with the word (``before`` is
-    null) or the pair of words."""
+def _counted(texts: DataFrame, expressions) -> DataFrame:
+    """(before, word, ordinary, toxic): for every key (before, word) that ``expressions`` gives
+    for a text's words, the sum of its values over the texts of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -108,8 +108,7 @@ def expression_counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-                words = words_of(text.as_py())
-                seen[toxic].update({(None, w) for w in words} | set(zip(words, words[1:])))
+                seen[toxic].update(expressions(words_of(text.as_py())))
                 if len(seen[0]) + len(seen[1]) > 400_000:
                     yield flush()
         yield flush()
@@ -119,6 +118,25 @@ def expression_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
+def word_counts_of(texts: DataFrame) -> DataFrame:
+    """(word, ordinary, toxic): texts of each class with the word."""
+    return _counted(texts, lambda words: {(None, w) for w in words}).select("word", "ordinary", "toxic")
+
+
+def pair_counts_of(texts: DataFrame, kept: set[str]) -> DataFrame:
+    """(before, word, ordinary, toxic): texts of each class with a pair that ends in one of
+    ``kept``; where ``word`` is null, all pairs that begin with ``before``."""
+    wanted = texts.sparkSession.sparkContext.broadcast(frozenset(kept))
+
+    def expressions(words: list[str]) -> Counter:
+        pairs = set(zip(words, words[1:]))
+        out = Counter((a, None) for a, _ in pairs)
+        out.update(p for p in pairs if p[1] in wanted.value)
+        return out
+
+    return _counted(texts, expressions)
+
+
 def corpus_counts(docs: DataFrame, words: set[str]) -> dict[str, int]:
     """Documents of the whole corpus that have each of ``words``."""
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(words))
@@ -142,20 +160,17 @@ def fit(docs: DataFrame, labels: DataFrame, evidence: float = 15.0, most: int =
     size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return Model()
-    counts = stored(expression_counts(texts), "expressions")
     share = size[1] / (size[0] + size[1])
     both = F.col("ordinary") + F.col("toxic")
     ratio = 2 * sum(F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / (both * p))).otherwise(0.0) for c, p in (("ordinary", 1 - share), ("toxic", share)))
-    single = counts.where(F.col("before").isNull())
+    single = stored(word_counts_of(texts), "words")
     everything = single.agg(F.sum("ordinary"), F.sum("toxic")).first()
-    kept = single.where(ratio >= evidence).select("word", "ordinary", "toxic")
-    word_counts = {r["word"]: (r["ordinary"], r["toxic"]) for r in kept.collect()}
+    word_counts = {r["word"]: (r["ordinary"], r["toxic"]) for r in single.where(ratio >= evidence).collect()}
     if not word_counts:
         return Model()
-    pairs = counts.where(F.col("before").isNotNull())
-    telling = pairs.where(ratio >= evidence).join(F.broadcast(kept.select("word")), "word")
-    totals = pairs.groupBy("before").agg(F.sum("ordinary").alias("all_ordinary"), F.sum("toxic").alias("all_toxic"))
-    pair_rows = telling.join(totals, "before").collect()
+    pairs = stored(pair_counts_of(texts, set(word_counts)), "pairs")
+    totals = pairs.where(F.col("word").isNull()).select("before", F.col("ordinary").alias("all_ordinary"), F.col("toxic").alias("all_toxic"))
+    pair_rows = pairs.where(F.col("word").isNotNull() & (ratio >= evidence)).join(totals, "before").collect()
     model = ratios(word_counts, tuple(everything), pair_rows, corpus_counts(docs, set(word_counts)))
     model.curve = fit_curve(texts, model)
     return model
