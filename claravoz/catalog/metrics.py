@@ -87,7 +87,7 @@ def quality_issues(spark, d):
     f" {sv.percent_sql(f'count(*) FILTER ({chr(34)}{c}{chr(34)} <> {sv.strip_sql(chr(34) + c + chr(34))})', 'count(*)')}"
     f" AS pct FROM s" for c in _FIELDS))
 def whitespace_by_field(spark, d):
-    report = quality.quality_report(_dirty_survey(spark, d)).where(F.col("column").isNotNull())
+    report = quality.quality_report(_dirty_survey(spark, d), duplicates=False).where(F.col("column").isNotNull())
     return report.groupBy("column").agg(
         F.max(F.when(F.col("metric") == "whitespace_count", F.col("value"))).cast("long").alias("affected"),
         F.max(F.when(F.col("metric") == "whitespace_percentage", F.col("value"))).alias("pct"),

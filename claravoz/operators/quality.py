@@ -1,10 +1,10 @@
 """Data-quality metrics of a table in one scan.
 
-Null, blank, padding and type-detection flags of a row depend only on the
-row, so each row is reduced to a SHA-256 digest plus the flags packed into
-long masks. Grouping by these with a count gives duplicate rows, all flag
-totals and the content hash from one scan and one shuffle of narrow rows;
-copies of a row combine before the shuffle, however many there are.
+Null, blank, padding and type-detection flags are plain sums: every task adds
+them up and one row per task moves. Only when duplicate rows or the content hash
+are asked for is each row reduced to a binary digest and its flags packed into
+long masks; grouping by these with a count gives everything from one scan and
+one shuffle of narrow rows, and copies of a row combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -149,10 +149,11 @@ class Profile(NamedTuple):
 
 
 def profile(df: DataFrame, phases: Mapping[str, Sequence[Cell]],
-            tests: Mapping[str, CellTest] = TEXT_FLAGS) -> Profile:
+            tests: Mapping[str, CellTest] = TEXT_FLAGS, duplicates: bool = True) -> Profile:
     """Totals for several views of the same rows, in one scan and one shuffle.
 
-    Every phase is a list of columns over ``df``.
+    Every phase is a list of columns over ``df``. Without ``duplicates`` no row is
+    digested or shuffled, and ``distinct`` and ``content_hash`` are not there.
     """
     # every cell is computed once, in its own projection, and used from there
     staged = df.select(*(
@@ -165,22 +166,24 @@ def profile(df: DataFrame, phases: Mapping[str, Sequence[Cell]],
     n_masks = max(len(masks) for _, masks, _ in packed.values())
     views = [
         F.struct(
-            F.lit(phase).alias("phase"), row_digest(cells).alias("_digest"),
+            F.lit(phase).alias("phase"), *([F.unhex(row_digest(cells)).alias("_digest")] if duplicates else []),
             *((masks[i] if i < len(masks) else F.lit(0).cast("long")).alias(f"_mask{i}")
               for i in range(n_masks)),
         ) for phase, (cells, masks, _) in packed.items()
     ]
     view = views[0] if len(views) == 1 else F.explode(F.array(*views))
-    rows = (
-        staged.select(view.alias("v")).select("v.*")
-        .groupBy("phase", "_digest", *(f"_mask{i}" for i in range(n_masks)))
-        .agg(F.count(F.lit(1)).alias("_copies"))
-    )
-    digits = F.conv(F.substring("_digest", 1, _HASH_DIGITS), 16, 10).cast("decimal(19,0)")
-    totals = {
-        "rows": F.sum("_copies"), "distinct": F.count(F.lit(1)),
-        "hash": F.sum((digits * F.col("_copies")).cast("decimal(38,0)")).cast("decimal(38,0)"),
-    }
+    rows = staged.select(view.alias("v")).select("v.*")
+    totals = {"rows": F.sum("_copies")}
+    if duplicates:
+        rows = rows.groupBy("phase", "_digest", *(f"_mask{i}" for i in range(n_masks))) \
+            .agg(F.count(F.lit(1)).alias("_copies"))
+        digits = F.conv(F.substring(F.hex("_digest"), 1, _HASH_DIGITS), 16, 10).cast("decimal(19,0)")
+        totals |= {
+            "distinct": F.count(F.lit(1)),
+            "hash": F.sum((digits * F.col("_copies")).cast("decimal(38,0)")).cast("decimal(38,0)"),
+        }
+    else:
+        rows = rows.withColumn("_copies", F.lit(1).cast("long"))
     used = sorted({(p.mask, p.bit) for _, _, places in packed.values() for p in places})
     totals |= {f"{mask}_{bit}": _flag_total(mask, bit) for mask, bit in used}
     by_phase = rows.groupBy("phase").agg(*(total.alias(name) for name, total in totals.items()))
@@ -208,7 +211,8 @@ def report(found: Profile, improvements: bool = False) -> DataFrame:
     """
     entries = []
     for phase, width in found.widths.items():
-        n, distinct = found.rows(phase), found.distinct(phase)
+        n = found.rows(phase)
+        distinct = found.distinct(phase) if f"{phase}_distinct" in found.row.columns else None
         nulls, padded = found.flag_sum(phase, "null_count"), found.flag_sum(phase, "whitespace_count")
         entries += [_entry(phase, None, metric, value) for metric, value in (
             ("total_records", n),
@@ -217,8 +221,8 @@ def report(found: Profile, improvements: bool = False) -> DataFrame:
             ("null_percentage", scoring.percent(nulls, n * width)),
             ("whitespace_contamination", padded),
             ("whitespace_percentage", scoring.percent(padded, n)),
-            ("duplicate_rows", n - distinct),
-            ("duplicate_percentage", scoring.percent(n - distinct, n)),
+            *(() if distinct is None else (
+                ("duplicate_rows", n - distinct), ("duplicate_percentage", scoring.percent(n - distinct, n)))),
         )]
         for metric, share in (("null_count", "null_percentage"), ("whitespace_count", "whitespace_percentage")):
             for column, total in found.flags(phase, metric).items():
@@ -231,9 +235,9 @@ def report(found: Profile, improvements: bool = False) -> DataFrame:
     return found.row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def quality_report(df: DataFrame, phase: str = "data") -> DataFrame:
-    """Nulls, padding and duplicates of a table, overall and per column."""
-    return report(profile(df, {phase: cells_of(df)}))
+def quality_report(df: DataFrame, phase: str = "data", duplicates: bool = True) -> DataFrame:
+    """Nulls, padding and, if asked for, duplicates of a table, overall and per column."""
+    return report(profile(df, {phase: cells_of(df)}, duplicates=duplicates))
 
 
 def before_after_report(df: DataFrame, cleaned: Mapping[str, tuple[Column, T.DataType]]) -> DataFrame:

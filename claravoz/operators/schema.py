@@ -94,7 +94,7 @@ def detect_schema(df: DataFrame, sample_rows: int | None = None,
     """
     if sample_rows is not None:
         df = df.limit(sample_rows)
-    found = quality.profile(df, {"before": quality.cells_of(df)}, quality.DETECTION_FLAGS)
+    found = quality.profile(df, {"before": quality.cells_of(df)}, quality.DETECTION_FLAGS, duplicates=False)
     return detected_types(found, df.schema, "before", share)
 
 

@@ -345,3 +345,10 @@ def test_alerts_on_crossing(spark):
     assert got == [("2024-01-08", "raised"), ("2024-01-22", "cleared")]
 
 
+
+
+def test_detection_shuffles_no_rows(spark):
+    df = spark.createDataFrame([(f"2024-01-{i % 28 + 1:02d}", "si", f"t{i}") for i in range(50)], "d string, b string, t string")
+    plan = schema.detect_schema(df)._jdf.queryExecution().executedPlan().toString()
+    assert "_digest" not in plan and "sha2" not in plan
+    assert {r["column"]: r["type"] for r in schema.detect_schema(df).collect()} == {"d": "date", "b": "boolean", "t": "string"}
