@@ -27,7 +27,7 @@ from claravoz.llm.tables import text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces a worker remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Pieces that the library gets in one text.
 JOINED = 2_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -131,18 +131,16 @@ class Codec:
         """The bytes that the ids stand for, as one array."""
         return self.bytes[ragged(self.starts[ids], self.lengths[ids])]
 
-    def offsets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last-but-one code point that each id touches, within one text.
-
-        An id that holds part of a character touches the whole character.
-        """
-        data = self.decode(ids)
-        points = np.cumsum((data & 0xC0) != 0x80)  # number of the character of each byte, from 1
+    def offsets(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First code point that each id touches and the one after its last, counted in its
+        own text. An id that holds part of a character touches the whole character."""
+        points = np.cumsum((self.decode(ids) & 0xC0) != 0x80, dtype=np.int32)  # number of each byte's character, from 1
         size = self.lengths[ids]
         end = np.cumsum(size)
-        if not len(ids):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return points[end - size] - 1, points[end - 1]
+        first, last = points[end - size] - 1, points[end - 1]
+        before = np.append(0, last)[np.cumsum(counts) - counts]  # characters of the texts before
+        before = np.repeat(before, counts).astype(np.int32)
+        return first - before, last - before
 
 
 def _halves(token: bytes, rank: int, ids: dict[bytes, int]) -> tuple[bytes, bytes]:
@@ -180,7 +178,7 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def blocks(table: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def blocks(table: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with about ``most`` bytes of text each, one row at least."""
     sizes = np.asarray(pc.binary_length(table.column(column)).fill_null(0))
     start, total = 0, 0
@@ -217,19 +215,15 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             for start, end in blocks(batch, "text"):
                 part = batch.slice(start, end - start)
                 ids, counts = own.encode(part.column("text").to_pylist())
-                rows: list[list] = [[] for _ in fields[1:]]
-                at = 0
-                for n in counts.tolist():
-                    of = ids[at:at + n]
-                    at += n
-                    rows[0].append(n)
-                    rows[1].append(hashlib.sha256(of.astype("<u4").tobytes()).hexdigest())
-                    rows[2].append(hashlib.sha256(own.decode(of).tobytes()).hexdigest())
-                    if tokens:
-                        for out, values in zip(rows[3:], (of.astype(np.int32), *own.offsets(of))):
-                            out.append(values)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(r, type=f.type) for r, f in zip(rows, list(schema)[1:]))], schema=schema)
+                ends = np.cumsum(counts)
+                cuts = list(zip((ends - counts).tolist(), ends.tolist()))
+                columns = [part.column("doc_id"), pa.array(counts),
+                           pa.array([hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in cuts]),
+                           pa.array([hashlib.sha256(own.decode(ids[a:b]).tobytes()).hexdigest() for a, b in cuts])]
+                if tokens:
+                    at = pa.array(np.append(0, ends).astype(np.int32))
+                    columns += [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (ids, *own.offsets(ids, counts))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     ddl += ", ids array<int>, char_start array<int>, char_end array<int>" if tokens else ""

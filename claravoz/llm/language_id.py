@@ -30,6 +30,8 @@ from claravoz.llm.tables import text_of
 
 HASHES = 3
 UNDECIDED = "und"
+#: Bytes of text whose trigrams are held at once, some 100 bytes for each of text.
+AT_ONCE = 1_000_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -123,7 +125,7 @@ def count_trigrams(labelled: DataFrame) -> DataFrame:
             known.clear()
 
         for batch in batches:
-            for start, end in blocks(batch, "text"):
+            for start, end in blocks(batch, "text", AT_ONCE):
                 part = batch.slice(start, end - start)
                 langs, texts = np.array(part.column("lang").to_pylist()), part.column("text").to_pylist()
                 for lang in dict.fromkeys(langs.tolist()):
@@ -190,7 +192,7 @@ def predict(docs: DataFrame, filters: Filters) -> tuple[Column, Column]:
         langs: list[str] = []
         scores: list[float] = []
         one = pa.RecordBatch.from_arrays([texts], names=["text"])
-        for start, end in blocks(one, "text", 2_000_000):
+        for start, end in blocks(one, "text", AT_ONCE):
             a, b = shared.value.predict(texts.slice(start, end - start).to_pylist())
             langs += a
             scores += b

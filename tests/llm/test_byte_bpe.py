@@ -50,12 +50,24 @@ def test_forgetting_changes_nothing(codec, reference, monkeypatch):
 
 
 def test_offsets_cover_split_characters(codec):
-    text = "aé😀 語x"
-    ids, _ = codec.encode([text])
-    starts, ends = codec.offsets(ids)
-    assert starts[0] == 0 and ends[-1] == len(text)
-    assert all(a < b for a, b in zip(starts, ends)) and (np.diff(starts) >= 0).all()
-    assert all(b >= a for a, b in zip(starts[1:], ends[:-1])) and max(np.diff(ends)) <= len(text)
+    texts = ["aé😀 語x", "", "次の文 and more", "", "😀"]
+    ids, counts = codec.encode(texts)
+    starts, ends = codec.offsets(ids, counts)
+    at = 0
+    for text, n in zip(texts, counts):
+        data = text.encode()
+        place = 0
+        for i in range(at, at + n):
+            stop = place + int(codec.lengths[ids[i]])
+            # the characters that have a byte among those of the id
+            touched = [k for k in range(len(text)) if len(text[:k].encode()) < stop and len(text[:k + 1].encode()) > place]
+            assert (starts[i], ends[i]) == (touched[0], touched[-1] + 1)
+            place = stop
+        assert place == len(data)
+        at += n
+    assert any(codec.lengths[i] < 3 for i in ids[:6])  # some character is split
+    none = codec.offsets(*codec.encode(["", ""]))
+    assert [len(x) for x in none] == [0, 0]
 
 
 def test_documents(spark, odd, odd_rows, none, reference):

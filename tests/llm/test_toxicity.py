@@ -39,9 +39,12 @@ def test_held_out_labels_are_not_learned(spark):
 
 def test_backoff_counts_cover_the_whole_corpus(spark):
     docs, labels = corpus(spark)
-    texts = [r["text"] for r in docs.collect()]
-    want = {w: sum(w in toxicity.words_of(t) for t in texts) for w in [*BAD, "the", "absent"]}
-    assert toxicity.corpus_counts(docs, set(want)) == {w: n for w, n in want.items() if n}
+    texts = [set(toxicity.words_of(r["text"])) for r in docs.collect()]
+    want = {w: sum(w in t for t in texts) for t in texts for w in t}
+    assert {r["word"]: r["n"] for r in toxicity.corpus_words(docs).collect()} == want
+    total = sum(want.values())
+    assert toxicity.shared_chance(docs, {"the", "gronk"}) == {w: want[w] / total for w in ("the", "gronk")}
+    assert 0 < toxicity.shared_chance(docs, {"absent"})["absent"] < 1 / total
 
 
 def test_counts_are_of_distinct_texts(spark):
