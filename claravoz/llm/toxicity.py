@@ -4,8 +4,8 @@ Two models, of toxic and of ordinary text, give the probability of a word after
 the word before it. All counts are continuation counts: an expression counts once
 for each distinct text of its class that has it, so a text that repeats itself
 says no more than another. Word pairs back off to words with absolute
-discounting, words back off to what both models share: the number of documents
-of the whole corpus that have the word. An expression whose counts do not tell
+discounting, words back off to what both models share: how many documents of the
+whole corpus have the word, counted for every word there is. An expression whose counts do not tell
 the classes apart (log-likelihood ratio below ``evidence``: the rare ones, and
 most common ones) has no count of its own and is left to the backoff, where it is
 the same for both. The models are fitted on a bounded number of rows, so they
@@ -137,19 +137,36 @@ def pair_counts_of(texts: DataFrame, kept: set[str]) -> DataFrame:
     return _counted(texts, expressions)
 
 
-def corpus_counts(docs: DataFrame, words: set[str]) -> dict[str, int]:
-    """Documents of the whole corpus that have each of ``words``."""
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+def corpus_words(docs: DataFrame) -> DataFrame:
+    """(word, n): every word of the whole corpus and the documents that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return out
+
         for batch in batches:
             for text in batch.column("text"):
-                seen.update(wanted.value.intersection(words_of(text.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+                seen.update(set(words_of(text.as_py())))
+                if len(seen) > 400_000:
+                    yield flush()
+        yield flush()
+
+    counted = docs.select(text_of(docs).alias("text")).mapInArrow(run, "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    found = docs.select(text_of(docs).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in found.collect()}
+def shared_chance(docs: DataFrame, kept: set[str]) -> dict[str, float]:
+    """The backoff of both models: chance of each kept word by its documents in the whole
+    corpus, discounted, with an equal share of the discount for every word there is."""
+    found = stored(corpus_words(docs), "vocabulary")
+    total, kinds = found.agg(F.sum("n"), F.count(F.lit(1))).first()
+    wanted = found.sparkSession.createDataFrame([(w,) for w in sorted(kept)], "word string")
+    counts = {r["word"]: r["n"] for r in found.join(F.broadcast(wanted), "word").collect()}
+    return {w: (max(counts.get(w, 0) - DISCOUNT, 0) + DISCOUNT) / max(1, total or 0) if kinds else 1.0 for w in kept}
 
 
 def fit(docs: DataFrame, labels: DataFrame, evidence: float = 15.0, most: int = 10_000) -> Model:
@@ -171,18 +188,17 @@ def fit(docs: DataFrame, labels: DataFrame, evidence: float = 15.0, most: int =
     pairs = stored(pair_counts_of(texts, set(word_counts)), "pairs")
     totals = pairs.where(F.col("word").isNull()).select("before", F.col("ordinary").alias("all_ordinary"), F.col("toxic").alias("all_toxic"))
     pair_rows = pairs.where(F.col("word").isNotNull() & (ratio >= evidence)).join(totals, "before").collect()
-    model = ratios(word_counts, tuple(everything), pair_rows, corpus_counts(docs, set(word_counts)))
+    model = ratios(word_counts, tuple(everything), pair_rows, shared_chance(docs, set(word_counts)))
     model.curve = fit_curve(texts, model)
     return model
 
 
-def ratios(word_counts: dict, everything: tuple, pair_rows: list, shared: dict[str, int]) -> Model:
+def ratios(word_counts: dict, everything: tuple, pair_rows: list, shared: dict[str, float]) -> Model:
     """Log ratios of both models: for words, for pairs, and for all words without a count."""
-    documents = max(1, sum(shared.values()))
     chance: list[dict[str, float]] = []
     for c, total in enumerate(everything):
         left = DISCOUNT * max(1, sum(n[c] > 0 for n in word_counts.values())) / total
-        chance.append({w: max(n[c] - DISCOUNT, 0) / total + left * shared.get(w, 1) / documents for w, n in word_counts.items()})
+        chance.append({w: max(n[c] - DISCOUNT, 0) / total + left * shared[w] for w, n in word_counts.items()})
     rest = [max(1e-9, 1 - sum(p.values())) for p in chance]
     kinds: Counter = Counter()
     for r in pair_rows:
