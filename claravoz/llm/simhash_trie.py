@@ -32,7 +32,7 @@ from claravoz.llm.tables import join_by_run, keep_rows, row_id, stored, text_key
 
 SEED = 42
 #: Bits per level, and pairs of fingerprints that a node pair may compare at once.
-STEP, COMPARED = 4, 64
+STEP, COMPARED = 4, 16
 _AT_ONCE = 1 << 16
 
 
@@ -118,9 +118,9 @@ def linked(prints: DataFrame, k: int = 4) -> DataFrame:
         few = (F.col("na") * F.col("nb") <= COMPARED) | F.lit(depth == 64)
         low = leaves.select("trie", _prefix(depth).alias("a"), F.col("fp").alias("x"))
         high = leaves.select("trie", _prefix(depth).alias("b"), F.col("fp").alias("y"))
-        near = (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= k) & ((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-        found.append(pairs.where(few).select("trie", "a", "b").join(low, ["trie", "a"]).join(high, ["trie", "b"])
-                     .where(near).select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")))
+        near = (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= k) & (~F.col("same") | (F.col("x") < F.col("y")))
+        found.append(pairs.where(few).select("trie", "a", "b", (F.col("a") == F.col("b")).alias("same"))
+                     .join(low, ["trie", "a"]).drop("a").join(high, ["trie", "b"]).where(near).select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")))
         more = pairs.where(~few)
         if more.isEmpty():
             break
