@@ -27,7 +27,7 @@ from claravoz.llm.tables import text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces a worker remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Pieces that the library gets in one text.
 JOINED = 2_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -178,7 +178,7 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def blocks(table: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def blocks(table: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with about ``most`` bytes of text each, one row at least."""
     sizes = np.asarray(pc.binary_length(table.column(column)).fill_null(0))
     start, total = 0, 0
