@@ -66,3 +66,25 @@ def test_rows_and_columns_stay(odd, odd_rows, none):
     assert unit_dedup.clean(none).count() == 0 and unit_dedup.changed(none).count() == 0
     repeated = sorted(r["text"] for r in clean.where("doc_id = 5").collect())
     assert repeated[0].strip() == "" and repeated[1].strip() == ""  # document 1 has their text
+
+
+def test_passage_of_short_pieces_goes(spark):
+    german = ("Die Sitzung der Kommission für Haushalt und Finanzen begann am Montag im Rathaus der Stadt. Der Vorsitzende begrüßte die Gäste "
+              "aus Politik und Wirtschaft, den Leiter des Amtes und die Vertreter der Presse.")
+    assert max(len(german[a:b].split()) for a, b in unit_dedup.units(german, unit_dedup.CUTS["phrase"])) < 5
+    chinese = "今天的会议讨论了明年的财政预算和城市交通建设的详细规划。"
+    for passage in (german, chinese):
+        docs = make(spark, [(1, f"{prose(50, 20)} {passage} {prose(51, 20)}"), (2, f"{prose(52, 20)}\n{passage}\n{prose(53, 20)}")])
+        row, = unit_dedup.changed(docs).collect()
+        left = set(unit_dedup.normal(passage).split()) & set(unit_dedup.normal(row["clean_text"]).split())
+        assert row["doc_id"] == 2 and [s["keep_doc_id"] for s in row["spans"]] == [1] and not left
+
+
+def test_short_lines_go_and_what_stays_is_whole(spark):
+    menu = "Home\nNews\nSports\nWeather\nOpinion\nContact Us\nSubscribe Now\nHelp"
+    docs = make(spark, [(1, f"{menu}\n{prose(60, 30)}\nAll rights reserved."), (2, f"{prose(61, 30)}\nAll rights reserved.\n{prose(62, 20)}\n{menu}"),
+                        (3, "Ja " * 100), (4, f"{prose(63, 20)}\nThe End.\n{prose(64, 20)}"), (5, f"{prose(65, 20)}\nThe End.")])
+    got = {r["doc_id"]: r for r in unit_dedup.changed(docs).collect()}
+    assert set(got) == {2, 3} and len(got[2]["spans"]) == 2  # short lines under 12 characters repeat by chance
+    assert got[2]["clean_text"].split() == f"{prose(61, 30)} {prose(62, 20)}".split()
+    assert len(got[3]["clean_text"].split()) == 25 and got[3]["clean_text"].startswith("Ja Ja")
