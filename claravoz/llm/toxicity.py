@@ -9,7 +9,9 @@ whole corpus have the word, counted for every word there is. An expression whose
 the classes apart (log-likelihood ratio below ``evidence``: the rare ones, and
 most common ones) has no count of its own and is left to the backoff, where it is
 the same for both. The models are fitted on a bounded number of rows, so they
-are bounded too and can be broadcast.
+are bounded too and can be broadcast. Where a class has more rows than the bound,
+the evidence and the curve weight each class by the inverse of the rate at which it
+was drawn, so they see the classes as they are among all labelled rows.
 
 A text's score compares both log-likelihoods per expression, and per root of the
 number of expressions, since chance differences shrink so in long texts. A
@@ -77,17 +79,19 @@ class Model:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def training_texts(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, tuple[float, float]]:
     """(text, toxic): distinct texts of at most ``most`` labelled rows of each class, the
     first in the order of a hash of their ids; held-out ids are left out. A text
     with both labels is toxic. The chosen ids are broadcast: 16 bytes times ``2 * most``.
-    """
+    And labelled rows for each one drawn, of ordinary and of toxic rows."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", _PARTS, _PART)) \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows_of = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("toxic = 1").orderBy(*order).limit(most).union(known.where("toxic = 0").orderBy(*order).limit(most))
     rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return stored(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "training")
+    texts = stored(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "training")
+    return texts, tuple(max(1.0, rows_of.get(c, 0) / most) for c in (0, 1))
 
 
 def _counted(texts: DataFrame, expressions) -> DataFrame:
@@ -173,13 +177,15 @@ def fit(docs: DataFrame, labels: DataFrame, evidence: float = 15.0, most: int =
     """Models of both classes. ``labels`` has doc_id and toxic (0, 1; other values and
     nulls are left out; of several labels of an id the largest counts). Without
     toxic or without ordinary rows nothing is learned and every score is about 0."""
-    texts = training_texts(docs, labels, most)
+    texts, weight = training_texts(docs, labels, most)
     size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return Model()
-    share = size[1] / (size[0] + size[1])
-    both = F.col("ordinary") + F.col("toxic")
-    ratio = 2 * sum(F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / (both * p))).otherwise(0.0) for c, p in (("ordinary", 1 - share), ("toxic", share)))
+    of_class = [size[c] * weight[c] for c in (0, 1)]
+    # counts as if both classes were drawn at the lower of the two rates
+    seen = {name: F.col(name) * (weight[c] / max(weight)) for c, name in enumerate(("ordinary", "toxic"))}
+    both = seen["ordinary"] + seen["toxic"]
+    ratio = 2 * sum(F.when(n > 0, n * F.ln(n / (both * (of_class[c] / sum(of_class))))).otherwise(0.0) for c, n in enumerate(seen.values()))
     single = stored(word_counts_of(texts), "words")
     everything = single.agg(F.sum("ordinary"), F.sum("toxic")).first()
     word_counts = {r["word"]: (r["ordinary"], r["toxic"]) for r in single.where(ratio >= evidence).collect()}
@@ -189,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, evidence: float = 15.0, most: int =
     totals = pairs.where(F.col("word").isNull()).select("before", F.col("ordinary").alias("all_ordinary"), F.col("toxic").alias("all_toxic"))
     pair_rows = pairs.where(F.col("word").isNotNull() & (ratio >= evidence)).join(totals, "before").collect()
     model = ratios(word_counts, tuple(everything), pair_rows, shared_chance(docs, set(word_counts)))
-    model.curve = fit_curve(texts, model)
+    model.curve = fit_curve(texts, model, weight)
     return model
 
 
@@ -214,9 +220,10 @@ def ratios(word_counts: dict, everything: tuple, pair_rows: list, shared: dict[s
     return Model({w: math.log(chance[1][w] / chance[0][w]) for w in word_counts}, pairs, math.log(rest[1] / rest[0]))
 
 
-def fit_curve(texts: DataFrame, model: Model) -> tuple[float, float, float]:
+def fit_curve(texts: DataFrame, model: Model, weight: tuple[float, float] = (1.0, 1.0)) -> tuple[float, float, float]:
     """Weights of the two comparisons and the constant, by Newton's method on the
-    training texts' comparisons (three numbers for each of a bounded number of rows)."""
+    training texts' comparisons (three numbers for each of a bounded number of rows);
+    a text counts by the ``weight`` of its class, over their mean."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,12 +236,15 @@ def fit_curve(texts: DataFrame, model: Model) -> tuple[float, float, float]:
     rows = texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "a double, b double, toxic int").toArrow()
     x = np.column_stack([np.asarray(rows.column("a")), np.asarray(rows.column("b"))])
     y = np.asarray(rows.column("toxic")).astype(float)
-    middle, width = x.mean(0), x.std(0) + 1e-9
+    v = np.where(y == 1, weight[1], weight[0])
+    v /= v.mean()
+    middle = (v[:, None] * x).mean(0)
+    width = np.sqrt((v[:, None] * (x - middle) ** 2).mean(0)) + 1e-9
     z = np.column_stack([(x - middle) / width, np.ones(len(x))])
     w = np.zeros(3)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(3), z.T @ (y - p) - RIDGE * w)
+        step = np.linalg.solve((z * (v * p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(3), z.T @ (v * (y - p)) - RIDGE * w)
         w += step / max(1.0, float(np.abs(step).max()))  # short steps where the classes are far apart
     return float(w[0] / width[0]), float(w[1] / width[1]), float(w[2] - (w[:2] * middle / width).sum())
 

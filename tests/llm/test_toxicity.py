@@ -31,6 +31,17 @@ def test_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows.values())
 
 
+def test_scores_agree_above_and_below_the_bound(spark):
+    """Bad words in ordinary texts too, so that the share of the classes decides close cases."""
+    docs, labels = corpus(spark, 900)
+    mixed = docs.withColumn("text", F.when(F.col("doc_id") % 6 == 1, F.concat("text", F.lit(" gronk vorb"))).otherwise(F.col("text")))
+    whole, bounded = (toxicity.score(mixed, labels, most=most).collect() for most in (10_000, 110))
+    scores = {r["doc_id"]: r["score"] for r in whole}
+    gap = [r["score"] - scores[r["doc_id"]] for r in bounded]
+    assert toxicity.training_texts(mixed, labels, 110)[1][0] > 4
+    assert abs(sum(gap)) / len(gap) < 0.02 and sum(abs(g) for g in gap) / len(gap) < 0.04
+
+
 def test_held_out_labels_are_not_learned(spark):
     docs, labels = corpus(spark)
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id", 3, 1), 1 - F.col("toxic")).otherwise(F.col("toxic")))
