@@ -11,6 +11,9 @@ Windows that match in one place shift together: they have one difference between
 their places in document and item. Along such a diagonal the slots must be
 consistent: one benchmark value always stands for one document value of its type,
 and the other way round. Then the tokens that the windows cover are counted.
+
+A third view has the tokens as they are. It finds what was copied word for word also
+where most tokens are numbers, or where other slots of the diagonal are inconsistent.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ WORD, NAME, NUMBER = 0, 1, 2
 _UNIT = 4
 _NUMBER_CODE, _UNIT_CODE, _NAME_CODE = np.uint64(0x51ED270B1), np.uint64(0x2545F4914), np.uint64(0x369DEA0F3)
 _PRIME = np.uint64(0x100000001B3)
-PLAIN, NAMED = 0, 1
+PLAIN, NAMED, VERBATIM = 0, 1, 2
 _FILTER_BITS = 23
 
 
@@ -101,7 +104,8 @@ def windows(texts: list[str], sizes: list[int], words: Vocabulary, held: np.ndar
     ``held`` (a bitmap of hashes; None: everything) may contain.
 
     At most half of a window's tokens may be placeholders. The second view only has
-    windows with a name in them. ``slots`` lists place, type and value.
+    windows with a name in them, the third has all windows and no slots. ``slots``
+    lists place, type and value.
     """
     found = [TOKEN.findall(t) for t in texts]
     counts = np.fromiter(map(len, found), np.int64, len(found))
@@ -118,13 +122,13 @@ def windows(texts: list[str], sizes: list[int], words: Vocabulary, held: np.ndar
         n = len(tokens) - size + 1
         whole = of[:n] == of[size - 1:]
         names_in = None
-        for view, codes, slots in ((PLAIN, plain, slot), (NAMED, named, any_slot)):
+        for view, codes, slots in ((PLAIN, plain, slot), (NAMED, named, any_slot), (VERBATIM, hashes, np.zeros(len(tokens), bool))):
             filled = np.append(0, np.cumsum(slots))
             filled = filled[size:] - filled[:-size]
             good = whole & (2 * filled <= size)
             if view == PLAIN:
                 names_in = filled
-            else:
+            elif view == NAMED:
                 good &= filled > names_in
             h = window_hashes(codes, size)
             if held is not None:
@@ -189,8 +193,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: int
     covered, changed (any slot has another value), and ``text_key`` of the document.
 
     An item counts as found if windows on one diagonal, with consistent slots, cover
-    ``share`` of its tokens or ``enough`` tokens. Items with fewer than ``least``
-    tokens have no window and are never found. Null texts have no tokens; null and
+    ``share`` of its tokens or ``enough`` tokens, or if it is there word for word as a
+    whole or with ``enough`` tokens on a diagonal, whatever other slots say. Items with
+    fewer than ``least`` tokens have no window and are never found. Null texts have no tokens; null and
     repeated ids are carried as they are; an empty table gives an empty result.
     """
     bench = stored(template_windows(benchmark, ["item_id"], list(range(least, size + 1)), short=True), "benchmark")
@@ -214,7 +219,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: int
     one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["value"])))) == n_pairs) & (
         F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item_value"])))) == n_pairs)
     judged = along.where(one_to_one).withColumn("match", covered).withColumn("covered", F.col("match.n")).where(
-        (F.col("covered") >= share * F.col("tokens")) | (F.col("covered") >= enough))
+        (F.col("covered") >= F.when(F.col("view") == VERBATIM, 1.0).otherwise(share) * F.col("tokens")) | (F.col("covered") >= enough))
     first = F.element_at("at", 1)["item_place"]
     best = F.struct(
         "covered", (-F.col("shift")).alias("back"), (F.col("shift") + first).alias("place"), (F.col("match.end") - first).alias("tokens"),

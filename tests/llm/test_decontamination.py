@@ -80,6 +80,19 @@ def test_matches_brute_force(spark, odd_rows):
     assert {(str(r["doc_id"]), r["item_id"]) for r in found} == brute(rows, items)
 
 
+def test_word_for_word_copies_are_found(spark):
+    """Mostly numbers, and a long copy with one inconsistent slot."""
+    sums, words = "What is 12 + 7 * 3 - 4?", prose(70, 54).split()
+    table = " ".join(str(100 + 7 * i) for i in range(12))
+    long, apart, merged = (" ".join([*words[:20], x, *words[20:26], y, *words[26:]]) for x, y in (("12", "12"), ("12", "15"), ("12", "12")))
+    other = merged.replace("12", "3", 1).replace("12", "5")
+    docs = make(spark, [(1, f"{prose(71, 30)} {sums} {prose(72, 30)}"), (2, f"{prose(73, 20)}\n{table}\n{prose(74, 20)}"), (3, apart),
+                        (4, other.replace(" 3 ", " 4 ").replace(" 5 ", " 4 ")), (5, "What is 13 + 7 * 3 - 4?")])
+    found = d.find_leaks(docs, bench(spark, sums, table, long, other)).collect()
+    assert {(1, 0), (2, 1), (3, 2), (4, 3)} <= {(r["doc_id"], r["item_id"]) for r in found}
+    assert 5 not in {r["doc_id"] for r in found}
+
+
 def test_stage(spark, odd, odd_rows, none):
     clean = d.without_leaks(odd, bench(spark, prose(2, 60)))
     assert clean.columns == odd.columns
