@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claravoz.llm import byte_bpe, decontamination, exact_dedup, language_id, licenses, pii, piece_counts, simhash_trie, toxicity, unit_dedup
+from claravoz.llm import byte_bpe, decontamination, exact_dedup, language_id, licenses, periodic_runs, pii, piece_counts, simhash_trie, toxicity, unit_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id and text; every tenth text, by the CRC of its id, ends in loops of its own words.
+
+    A null id has the CRC of the empty text.
+    """
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = docs.select("doc_id", "text", crc.alias("_crc"), F.when(crc % 10 == 0, words).alias("_words"))
+    sized = cut.select("*", F.size("_words").alias("_n"), F.expr("_crc div 10").alias("_g"))
+    at = sized.select("*", F.expr("CASE WHEN _n > 0 THEN CAST(_g % _n AS INT) END").alias("_a")).select(
+        "*", F.expr("CAST(1 + (_n - _a) div (3 + _g % 8) AS INT)").alias("_p"))
+    turned = F.expr("array_join(transform(sequence(0, _n - 1), i -> _words[IF(i < _a, i, _a + (i - _a) % _p)]), ' ')")
+    return at.select("doc_id", F.when(F.col("_a").isNotNull(), turned).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of the documents looped first."""
+    found = periodic_runs.find_runs(looped(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), longest.alias("_most"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256")).select(
+        "doc_id", "n_runs", (-F.col("_most.back")).alias("start"), F.col("_most.length").alias("length"), (-F.col("_most.less")).alias("period"),
+        F.expr("1000 * _most.length div -_most.less").alias("exponent_milli"), "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_unit_dedup": op2_unit_dedup,
@@ -94,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_trie": op8_simhash_trie,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
