@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claravoz.llm import byte_bpe, decontamination, exact_dedup, language_id, licenses, periodic_runs, pii, piece_counts, simhash_trie, toxicity, unit_dedup
+from claravoz.llm import byte_bpe, decontamination, exact_dedup, language_id, licenses, periodic_runs, pii, piece_counts, simhash_trie, toxicity, unit_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +110,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * _most.length div -_most.less").alias("exponent_milli"), "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type and payload of every page's record in an archive without repeated payloads."""
+    found = warc.archive_and_resolve(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_unit_dedup": op2_unit_dedup,
@@ -122,6 +128,7 @@ QUERIES: dict[str, Query] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_warc": op13_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -136,4 +143,16 @@ ORACLES: dict[str, str] = {
             FROM bare
             WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST))
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked""",
+    "op13_warc": r"""
+        WITH payloads AS (
+            SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest,
+                   row_number() OVER w AS place, first_value(page_id) OVER w AS original
+            FROM pages
+            WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST))
+        SELECT page_id, strlen(payload) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(digest, 1 + 5 * (k // 4), 5))::BIGINT) >> (15 - 5 * (k % 4))::BIGINT) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
+               CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN place > 1 THEN original END AS refers_to
+        FROM payloads""",
 }
