@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claravoz.llm import byte_bpe, decontamination, exact_dedup, language_id, licenses, periodic_runs, pii, piece_counts, simhash_trie, toxicity, unit_dedup, warc
+from claravoz.llm import alignment, byte_bpe, decontamination, exact_dedup, language_id, licenses, periodic_runs, pii, piece_counts, simhash_trie, toxicity, unit_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens under two tokenizers, and the links' support in the corpus."""
+    found = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return alignment.score(found.select("doc_id", "n_a", "n_b", "n_groups", digest, "links", "times"))
+
+
 def looped(docs: DataFrame) -> DataFrame:
     """doc_id and text; every tenth text, by the CRC of its id, ends in loops of its own words.
 
@@ -127,6 +134,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_trie": op8_simhash_trie,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_warc": op13_warc,
 }

@@ -16,6 +16,8 @@ SHAPES = {
     "op6_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}, "op7_licenses": {"doc_id", "path", "licence"},
     "op8_simhash_trie": {"doc_id", "fingerprint", "component_id"}, "op9_byte_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op10_toxicity": {"doc_id", "held_out", "score", "predicted"},
+    "op11_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
+    "op12_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
 }
 
 
