@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 from claravoz.llm.tables import text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces a worker remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 250_000
+#: Bytes of pieces, and of what is known of them, that a worker remembers; beyond, it forgets
+#: all and starts anew. A piece counts its text and ``OVERHEAD``, so long ones fill it soon.
+REMEMBERED = 24_000_000
+OVERHEAD = 180
+#: Bytes of text that a task works on at once, with and without arrays of tokens.
+BLOCK, BLOCK_BARE = 256_000, 1_000_000
 #: Pieces that the library gets in one text.
 JOINED = 2_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -68,18 +72,19 @@ class Codec:
             pre_tokenizers.Split(Regex(pattern), "isolated"),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
         ])
-        self.lengths = np.zeros(max(by_id) + 1, np.int64)
+        self.lengths = np.zeros(max(by_id) + 1, np.int32)
         for rank, token in by_id.items():
             self.lengths[rank] = len(token)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
         self.bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(len(self.lengths))), np.uint8)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
+        self.held = 0
 
     def learn(self, keys: list[str]) -> None:
         """Encode the pieces that are new. A stem and the full stops or commas
@@ -107,13 +112,14 @@ class Codec:
 
     def _add(self, keys: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         self.known.update(zip(keys, range(len(self.size), len(self.size) + len(keys))))
-        self.at = np.concatenate([self.at, np.cumsum(size) - size + len(self.flat)])
-        self.size = np.concatenate([self.size, size])
+        self.at = np.concatenate([self.at, (np.cumsum(size) - size + len(self.flat)).astype(np.int32)])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
         self.flat = np.concatenate([self.flat, flat])
+        self.held += sum(map(len, keys)) + OVERHEAD * len(keys) + 4 * len(flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and how many belong to each text."""
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.forget()
         keys, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -121,7 +127,7 @@ class Codec:
             counts[i] = len(cut)
             keys += cut
         self.learn(keys)
-        of = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        of = np.fromiter(map(self.known.__getitem__, keys), np.int32, len(keys))
         size = self.size[of]
         ids = self.flat[ragged(self.at[of], size)]
         ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)]
@@ -155,7 +161,9 @@ def _halves(token: bytes, rank: int, ids: dict[bytes, int]) -> tuple[bytes, byte
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indexes of the runs that begin at ``starts`` and are ``sizes`` long."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.arange(ends[-1] if len(ends) else 0)
+    out += np.repeat(starts - ends + sizes, sizes)
+    return out
 
 
 def pieces_of(text: str) -> list[str]:
@@ -212,7 +220,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for start, end in blocks(batch, "text"):
+            for start, end in blocks(batch, "text", BLOCK if tokens else BLOCK_BARE):
                 part = batch.slice(start, end - start)
                 ids, counts = own.encode(part.column("text").to_pylist())
                 ends = np.cumsum(counts)
