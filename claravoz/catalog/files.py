@@ -298,6 +298,58 @@ def file_profile(spark, d):
         "uneven_rows", "multi_line", "passed")
 
 
+def _mixed(spark, d):
+    """CSV files of customers by nation in several layouts: semicolons, rows of other lengths, quoted
+    line breaks, Latin-1."""
+    root, customer = scratch_path(spark, "mixed"), table(spark, d, "customer")
+    columns = customer.repartition("c_nationkey").select("c_nationkey", "c_custkey", "c_name", "c_mktsegment")
+    columns.write.options(header=True, sep=";").partitionBy("c_nationkey").csv(f"{root}/kind=semicolon")
+    line = F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, "extra"))
+    header = customer.select("c_nationkey").distinct().select("c_nationkey", F.lit(-1).cast("long").alias("n"), F.lit("key,name,segment").alias("value"))
+    ragged = columns.select("c_nationkey", F.col("c_custkey").cast("long").alias("n"), line.alias("value")).unionByName(header)
+    ragged.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "n").select("c_nationkey", "value") \
+        .write.partitionBy("c_nationkey").text(f"{root}/kind=ragged")
+    columns.withColumn("c_name", F.concat("c_name", F.lit(",\n"), "c_mktsegment")).write.options(header=True, quoteAll=True) \
+        .partitionBy("c_nationkey").csv(f"{root}/kind=breaks")
+    columns.withColumn("c_name", F.concat(F.lit("ñ"), "c_name")).write.options(header=True, encoding="ISO-8859-1") \
+        .partitionBy("c_nationkey").csv(f"{root}/kind=latin")
+    return root
+
+
+_MIXED_SQL = """n AS (SELECT c_nationkey, CAST(count(*) + 1 AS INTEGER) AS rows,
+    CAST(count(*) FILTER (c_custkey % 7 = 0) AS INTEGER) AS uneven FROM customer GROUP BY c_nationkey),
+    k AS (SELECT * FROM (VALUES ('semicolon', ';', 'utf-8', false), ('ragged', ',', 'utf-8', false), ('breaks', ',', 'utf-8', true),
+    ('latin', ',', 'iso-8859-1', false)) AS v(kind, delimiter, encoding, multi_line))"""
+
+
+@query("file_profile_mixed", f"""WITH {_MIXED_SQL}, m AS (SELECT *, CASE WHEN kind = 'ragged' THEN uneven ELSE 0 END AS uneven_rows FROM n, k)
+       SELECT kind, c_nationkey, rows, delimiter, encoding, uneven_rows, multi_line,
+       CASE WHEN uneven_rows > 0 THEN uneven_rows || ' rows differ from the header in length' ELSE '' END AS errors,
+       uneven_rows = 0 AS passed FROM m""")
+def file_profile_mixed(spark, d):
+    """Profile by ranges of 2,000 bytes, so that quotes, rows and characters cross them."""
+    found = inventory.profile_files(spark, _mixed(spark, d), single_byte=True, range_bytes=2_000)
+    return found.select(F.regexp_extract("path", "kind=([a-z]+)", 1).alias("kind"), _nation().alias("c_nationkey"), "rows", "delimiter", "encoding",
+                        "uneven_rows", "multi_line", F.array_join("errors", ";").alias("errors"), "passed")
+
+
+@query("file_validation_mixed", f"""WITH {_MIXED_SQL} SELECT kind, c_nationkey,
+       CASE WHEN kind = 'latin' THEN 'content does not match extension' ELSE '' END AS errors FROM n, k""")
+def file_validation_mixed(spark, d):
+    found = inventory.validate_files(spark, _mixed(spark, d))
+    return found.select(F.regexp_extract("path", "kind=([a-z]+)", 1).alias("kind"), _nation().alias("c_nationkey"),
+                        F.array_join("errors", ";").alias("errors"))
+
+
+@query("csv_range_scan", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents")
+def csv_range_scan(spark, d):
+    """Multi-line records read by many tasks, each from its range of bytes."""
+    path = scratch_path(spark, "documents-csv")
+    table(spark, d, "documents").select("doc_id", "lang", "text").write.options(
+        header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    return readers.read_ranges(spark, path, range_bytes=1 << 16).drop(readers.CORRUPT)
+
+
 @query("file_validation", "SELECT c_nationkey, 'csv' AS extension, true AS passed FROM customer GROUP BY c_nationkey")
 def file_validation(spark, d):
     return inventory.validate_files(spark, _per_nation(spark, d)).select(

@@ -12,7 +12,7 @@ from claravoz.operators import feedback, headers, quality, schema
 from claravoz.operators.embedding import hashed_vectors
 from claravoz.operators.neighbors import semantic_search
 from claravoz.operators.sentiment import score_with_model
-from claravoz.sources import inventory, readers, records, sinks
+from claravoz.sources import csv_ranges, inventory, readers, records, sinks
 from claravoz.streaming.files import STATUS, with_status
 
 
@@ -49,29 +49,36 @@ def ingest(spark: SparkSession, source: str, output: str, history: str, fmt: str
            partition_by: Sequence[str] = ()) -> IngestResult:
     """Profile, read as strings, map headers, write, audit.
 
-    Files with the same header, delimiter, encoding and line layout are scanned
-    together, each such group with its own options; headers are mapped group by
-    group and the rows united by name, so neither another order of columns nor
-    another separator puts a value under a wrong name. Good and malformed rows go
-    to two partitions of the same write, and the audit reads the columnar result.
-    The multi-line reader, which cannot split a file, is used only for files whose
-    quotes hold line breaks or that hold one JSON document. A profile holds a file
-    as one row; files over ``profile_bytes``, if given, are not profiled but scanned
-    with the options. ``partition_by`` names further partition columns, as mapped.
-    Schema, drift, audit and description are appended below ``history``.
+    Files are read in ranges of bytes by as many tasks as they need, multi-line files and JSON
+    documents included; Spark parses their records. Files with the same header and
+    delimiter are one scan; headers are mapped scan by scan and the rows united by name,
+    so neither another order of columns nor another separator puts a value under a
+    wrong name. No file name reaches the driver, only layouts. Encodings are UTF-8,
+    UTF-16 by its mark, Windows-1252 and Latin-1. Good and malformed rows go to two
+    partitions of the same write, and the audit reads the columnar result. With parser
+    options other than a separator, other formats, or without ``profile``, ``source`` is
+    one scan of Spark's own reader, whose files share one layout. ``profile_bytes`` is
+    accepted for older callers; a profile has no size limit. ``partition_by`` names further
+    partition columns, as mapped. Schema, drift, audit and description are appended below
+    ``history``.
     """
     options = dict(options or {})
+    found, separator = None, options.get("sep") or options.get("delimiter")
     if profile:
-        checks = inventory.profile_files(spark, source, max_bytes=profile_bytes)
-        bad = checks.where(~F.col("passed") & ~_only_uneven()).select("path", "errors")
+        found = inventory.profile(spark, source, delimiter=separator if separator in csv_ranges.DELIMITERS else None)
+        bad = found.files.where(~F.col("passed") & ~_only_uneven()).select("path", "errors")
         shown = bad.limit(20).collect()
         if shown:
             names = "; ".join(f"{r['path']}: {', '.join(r['errors'])}" for r in shown)
             more = bad.count() - len(shown)
             raise ValueError(names + (f"; and {more} more, see inventory.profile_files" if more else ""))
     version = spark.range(1).select(schema.dates.version_stamp()).first()[0]
-    scans = _scans(spark, source, fmt, options, checks) if profile and fmt in ("csv", "json") else [
-        readers.read_raw(spark, source, fmt, options, corrupt=True)]
+    if found and fmt == "csv" and set(options) <= {"sep", "delimiter"} and separator in (None, *csv_ranges.DELIMITERS):
+        scans = readers.csv_scans(found)
+    elif found and fmt == "json" and not options:
+        scans = [readers.json_scan(found)]
+    else:
+        scans = [readers.read_raw(spark, source, fmt, options, corrupt=True)]
     parts, originals, reports = [], [], []
     for raw in scans:
         data = raw.drop(readers.CORRUPT)
@@ -80,7 +87,7 @@ def ingest(spark: SparkSession, source: str, output: str, history: str, fmt: str
             F.col(f"`{old}`").alias(new) for old, new in zip(data.columns, named.columns)), readers.CORRUPT))
         originals.append(data)
         reports.append(one)
-    renamed, data, report = _united(parts), _united(originals), headers.merged(reports)
+    renamed, data, report = readers.united(parts), readers.united(originals), headers.merged(reports)
     renamed = renamed.select(*(f"`{c}`" for c in renamed.columns if c != readers.CORRUPT), readers.CORRUPT)
     mapped = renamed.drop(readers.CORRUPT)
 
@@ -107,38 +114,6 @@ def ingest(spark: SparkSession, source: str, output: str, history: str, fmt: str
                         report, audits, drift)
 
 
-def _united(frames: list[DataFrame]) -> DataFrame:
-    whole = frames[0]
-    for other in frames[1:]:
-        whole = whole.unionByName(other, allowMissingColumns=True)
-    return whole
-
-
-def _scans(spark: SparkSession, source: str, fmt: str, options: Mapping[str, str], checks: DataFrame) -> list[DataFrame]:
-    """One raw scan for each layout of the profiled files; given options win over what was found.
-
-    Layouts are few; the names of their files reach the driver, where Spark lists them, too.
-    """
-    layout = ["header", "delimiter", "encoding", "multi_line"]
-    found = checks.groupBy(*layout).agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy(
-        F.element_at("paths", 1)).collect()
-    scans = []
-    for group in found:
-        own = dict(options)
-        paths = source if len(found) == 1 else group["paths"]
-        wide = group["encoding"] == "utf-16"
-        multi_line = group["multi_line"]
-        if multi_line is None and fmt == "csv":  # too large for the profile
-            multi_line = inventory.has_open_quotes(spark, group["paths"])
-        own.setdefault("multiLine", "true" if multi_line or wide else "false")
-        if wide:
-            own.setdefault("encoding", "UTF-16")
-        if fmt == "csv" and group["delimiter"] and not {"sep", "delimiter"} & set(own):
-            own["sep"] = group["delimiter"]
-        scans.append(readers.read_raw(spark, paths, fmt, own, corrupt=True))
-    return scans
-
-
 def _only_uneven():
     """Uneven rows are quarantined by the scan, so they do not stop an ingest."""
     return (F.size("errors") == 1) & F.get("errors", F.lit(0)).rlike("differ from the header")

@@ -1,39 +1,39 @@
 """Checks on input files, as one job over many files.
 
-The inventory holds one row per file. Names, sizes and extensions come from
-the listing alone; content is read only for files within the size limit, by
-a filter the source applies before opening a file.
+The inventory holds one row per file, listed by tasks. Contents are read in ranges of bytes
+(``sources.ranges``), so a file of any size is dealt over tasks; what a range cannot
+know about itself, such as whether it begins inside quotes, is settled by composing what
+the ranges report.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claravoz.functions import text
+from claravoz.scratch import scratch_path
+from claravoz.sources import csv_ranges, json_ranges
+from claravoz.sources.csv_ranges import DELIMITERS
+from claravoz.sources.ranges import RANGE_BYTES, UNDEFINED, Source, cut, list_files, read_ranges, valid_utf8, wide_encoding
 
 # Accepted extensions and sizes.
 EXTENSIONS = ("csv", "xlsx", "xls", "parquet", "json", "txt")
 PROFILED = ("csv", "txt", "json")
 MIN_BYTES = 1
 MAX_BYTES = 100 * 1024 * 1024
-# Separators considered, in order of preference.
-DELIMITERS = (",", ";", "\t", "|")
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, file_name, extension, size_bytes, size_mb) of every file below ``path``.
 
-    A scan leaves out files without a byte; these are added from the listing.
+    Folders are listed by tasks; files without a byte are there, too.
     """
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    seen = scan.select("path", "length")
-    # file names only, which Spark's own listing keeps on the driver too
-    listed = spark.createDataFrame([(p,) for p in scan.inputFiles()], "uri string").select(
-        F.regexp_replace(
-            F.url_decode(F.regexp_replace("uri", r"\+", "%2B")), r"^file:/{2,3}", "file:/").alias("path"))
-    empty = listed.join(seen, "path", "left_anti").withColumn("length", F.lit(0).cast("long"))
-    return seen.unionByName(empty).select(
+    return list_files(spark, path).select(
         "path", F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("extension"),
         F.col("length").alias("size_bytes"),
@@ -41,14 +41,37 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def file_contents(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """(path, extension, length, content) of all files, or of those within a size limit."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return (
-        (files if max_bytes is None else files.where(F.col("length") <= max_bytes))
-        .withColumn("extension", F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)))
-        .select("path", "extension", "length", "content")
-    )
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` in the scratch folder, for what is read more than once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_HEADERS = pa.list_(pa.struct([("delimiter", pa.string()), ("at", pa.int64()), ("fields", pa.list_(pa.string()))]))
+_FACTS = pa.schema([
+    ("path", pa.string()), ("start", pa.int64()), ("lead", pa.binary()), ("utf8", pa.bool_()), ("nul", pa.bool_()), ("undefined", pa.bool_()),
+    ("control", pa.bool_()), ("shapes", csv_ranges.SHAPES), ("headers", _HEADERS), ("json", json_ranges.SUMMARY)])
+_FACTS_DDL = ("path string, start long, lead binary, utf8 boolean, nul boolean, undefined boolean, control boolean, "
+              f"shapes {csv_ranges.SHAPES_DDL}, headers array<struct<delimiter: string, at: long, fields: array<string>>>, json {json_ranges.SUMMARY_DDL}")
+
+
+def _range_facts(source: Source, item: dict) -> Iterator[dict]:
+    """What a task finds in a range, by the format that the file's name promises."""
+    start, stop = item["start"], item["stop"]
+    data = source.read(start, stop)
+    wide = wide_encoding(source)
+    utf8 = bool(wide) or valid_utf8(source, start, stop, data)
+    row = {"path": item["path"], "start": start, "lead": data[:4] if start == 0 else None, "utf8": utf8, "nul": b"\0" in data and not wide,
+           "undefined": not utf8 and any(bytes((b,)) in data for b in UNDEFINED),
+           "control": not utf8 and any(bytes((b,)) in data for b in range(0x80, 0xA0)), "shapes": None, "headers": None, "json": None}
+    if item["extension"] in ("csv", "txt"):
+        row["shapes"] = csv_ranges.shapes(source, start, stop, wide)
+        if start == 0:
+            row["headers"] = [h for d in DELIMITERS if (h := csv_ranges.header_of(source, d, wide))]
+    elif item["extension"] == "json":
+        row["json"] = json_ranges.summary(source, start, stop, wide)
+    yield row
 
 
 def size_problem(size: Column, max_bytes: int = MAX_BYTES) -> Column:
@@ -61,34 +84,32 @@ def extension_problem(extension: Column, allowed: tuple[str, ...] = EXTENSIONS)
     return F.when(~extension.isin(*allowed), F.lit("file type not allowed"))
 
 
-def content_kind(content: Column) -> Column:
-    """Kind of a file by its leading bytes: parquet, zip (xlsx), ole (xls), text or binary."""
-    lead = F.hex(F.substring(content, 1, 4))
-    return (
-        F.when(lead == "50415231", "parquet").when(lead == "504B0304", "zip")
-        .when(lead == "D0CF11E0", "ole")
-        .when(F.is_valid_utf8(content.cast("string")) & ~content.cast("string").contains("\0"),
-              "text")
-        .otherwise("binary")
-    )
+def leading_kind(lead: Column) -> Column:
+    """Kind of a file by its first bytes: parquet, zip (xlsx), ole (xls), else null."""
+    lead = F.hex(F.substring(lead, 1, 4))
+    return F.when(lead == "50415231", "parquet").when(lead == "504B0304", "zip").when(lead == "D0CF11E0", "ole")
 
 
-def content_problem(content: Column, extension: Column) -> Column:
-    """Reason when the leading bytes contradict the extension, else null."""
-    expected = (
+def expected_kind(extension: Column) -> Column:
+    """Kind that an extension promises."""
+    return (
         F.when(extension == "parquet", "parquet").when(extension == "xlsx", "zip")
         .when(extension == "xls", "ole").otherwise("text")
     )
-    return F.when(content_kind(content) != expected, F.lit("content does not match extension"))
 
 
-def encoding(content: Column) -> Column:
-    """utf-8-sig, utf-16 or utf-8 by byte order mark and validity, else unknown."""
-    lead = F.hex(F.substring(content, 1, 3))
-    return (
-        F.when(lead == "EFBBBF", "utf-8-sig").when(lead.rlike("^(FFFE|FEFF)"), "utf-16")
-        .when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise("unknown")
-    )
+def encoding(lead: Column, utf8: Column, nul: Column, undefined: Column, control: Column, single_byte: bool = False) -> Column:
+    """utf-8-sig, utf-16 or utf-8 by byte order mark and validity.
+
+    With ``single_byte`` text that is not UTF-8 is windows-1252 if it has bytes 80 to 9F that
+    are characters there, iso-8859-1 if it has none; zero bytes and bytes without a
+    character make it unknown, as all such text is otherwise.
+    """
+    mark = F.hex(F.substring(lead, 1, 3))
+    found = F.when(mark == "EFBBBF", "utf-8-sig").when(mark.rlike("^(FFFE|FEFF)"), "utf-16").when(utf8, "utf-8")
+    if single_byte:
+        found = found.when(~nul & ~undefined, F.when(control, "windows-1252").otherwise("iso-8859-1"))
+    return found.otherwise("unknown")
 
 
 def validate_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES,
@@ -100,100 +121,103 @@ def validate_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES,
         extension_problem(F.col("extension")),
     ]
     if check_content:
-        seen = file_contents(spark, path, max_bytes).select(
-            "path", F.when(F.col("length") > 0, content_problem(F.col("content"), F.col("extension")))
-            .alias("_content"))
+        kind = expected_kind(F.col("extension"))
+        listed = files.select("path", F.lit("").alias("extension"), F.when(kind == "text", F.col("size_bytes")).otherwise(
+            F.least("size_bytes", F.lit(4))).alias("length"), kind.alias("_kind"))
+        facts = read_ranges(cut(listed), _range_facts, _FACTS_DDL, _FACTS)
+        seen = facts.groupBy("path").agg(
+            leading_kind(F.max("lead")).alias("_leading"), (F.bool_and("utf8") & ~F.bool_or("nul")).alias("_text"))
         files = files.join(seen, "path", "left")
-        reasons.append(F.col("_content"))
+        found = F.coalesce("_leading", F.when(F.col("_text"), "text").otherwise("binary"))
+        reasons.append(F.when((F.col("size_bytes") > 0) & (found != kind), F.lit("content does not match extension")))
     found = F.concat(F.array_compact(F.array(*reasons)), text.file_name_problems(F.col("file_name")))
     return files.withColumn("errors", found).withColumn("passed", F.size("errors") == 0) \
         .select("path", "file_name", "extension", "size_bytes", "errors", "passed")
 
 
-def _readable(content: Column) -> Column:
-    """Content as text: UTF-16 by its byte order mark, else UTF-8; bytes that are not
-    valid become replacement characters."""
-    wide = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
-    return F.when(wide, F.decode(content, "UTF-16")).otherwise(F.make_valid_utf8(content.cast("string")))
-
+def csv_layout(facts: DataFrame, delimiter: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, entries) of CSV files by their ranges' facts.
 
-def _bare_lines(content: Column) -> Column:
-    """Lines with quoted parts replaced, so separators and line ends inside quotes do not count."""
-    bare = F.regexp_replace(content, r'"[^"]*+"', "q")
-    bare = F.regexp_replace(bare, r"^\x{FEFF}|(?:\r?\n|\r)+\z", "")
-    return F.split(bare, r"\r?\n|\r")
-
-
-def _line_shapes(files: DataFrame) -> DataFrame:
-    """Per CSV file: rows, delimiter, and how many rows differ from the first in length.
-
-    Lines are reduced to their separator counts, and equal counts of a file
-    combine before the shuffle.
+    Files: path, delimiter, rows, header, header_at, uneven_rows, multi_line, open_quote. Entries: path,
+    start, delimiter, entry (1 if a range begins inside quotes). A given ``delimiter`` is
+    not looked for.
     """
-    lines = files.where(F.col("extension").isin("csv", "txt") & (F.length("_text") > 0)).select(
-        "path", F.posexplode(_bare_lines(F.col("_text"))).alias("_pos", "_line"))
-    names = [f"_c{i}" for i in range(len(DELIMITERS))]
-    counted = lines.select("path", "_pos", *(
-        (F.length("_line") - F.length(F.replace("_line", F.lit(d), F.lit("")))).alias(n)
-        for d, n in zip(DELIMITERS, names)
-    ))
-    shapes = counted.groupBy("path", *names).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
-    files_seen = shapes.groupBy("path").agg(
-        F.sum("_n").cast("int").alias("_rows"),
-        F.min_by(F.struct(*names), "_first").alias("_head"),
-        *(F.min(n).alias(f"{n}_low") for n in names), *(F.max(n).alias(f"{n}_high") for n in names),
-    )
-    # the separator found equally often in every line, most often first; else the most frequent, else a comma
-    best = F.array_max(F.array(*(
-        F.struct(
-            F.when(F.col(f"{n}_low") == F.col(f"{n}_high"), F.col(f"{n}_low")).otherwise(F.lit(0)).alias("even"),
-            F.col(f"{n}_high").alias("most"), F.lit(-i).alias("order"), F.lit(d).alias("delimiter"),
-        ) for i, (d, n) in enumerate(zip(DELIMITERS, names))
-    )))
-    chosen = files_seen.select("path", "_rows", "_head", best.alias("_best")).withColumn(
-        "delimiter", F.when(F.col("_best.most") > 0, F.col("_best.delimiter")).otherwise(F.lit(",")))
-    differs = F.lit(False)
-    for d, n in zip(DELIMITERS, names):
-        differs = differs | ((F.col("delimiter") == d) & (F.col(n) != F.col(f"_head.{n}")))
-    return chosen.join(shapes, "path").groupBy("path", "_rows", "delimiter").agg(
-        F.coalesce(F.sum(F.when(differs, F.col("_n"))), F.lit(0)).cast("int").alias("uneven_rows"))
-
-
-def profile_files(spark: SparkSession, path: str, expect_header: bool = True, min_rows: int = 1,
-                  max_bytes: int | None = None) -> DataFrame:
-    """Per file: encoding, format, delimiter, header, row count, errors, passed.
-
-    Rows are counted with the header, as lines outside quotes. All rows are
-    compared with the header's length. Also says whether quotes hold line
-    breaks, i.e. whether the file needs the multi-line reader. Files beyond
-    ``max_bytes`` are listed without these facts; their rows are judged by the
-    scan, which can split them.
+    tables = facts.where("shapes IS NOT NULL")
+    known = _written(csv_ranges.true_shapes(tables), "shapes")
+    lengths = _written(csv_ranges.row_lengths(known), "lengths")
+    chosen = csv_ranges.chosen_delimiters(lengths if delimiter is None else lengths.where(F.col("delimiter") == delimiter))
+    headers = tables.where("headers IS NOT NULL").select("path", F.inline("headers")).withColumnsRenamed({"fields": "header", "at": "header_at"})
+    picked = chosen.join(headers, ["path", "delimiter"], "left")
+    uneven = F.when(F.col("cuts") != F.size("header") - 1, F.col("n")).otherwise(0)
+    counted = picked.join(lengths, ["path", "delimiter"]).groupBy("path", "delimiter", "rows", "header", "header_at").agg(
+        F.sum(uneven).cast("int").alias("uneven_rows"))
+    quotes = known.groupBy("path", "delimiter").agg(
+        F.bool_or("now.breaks").alias("multi_line"), (F.max_by("now.exit", "start") == 1).alias("open_quote"))
+    files = counted.withColumn("rows", F.col("rows").cast("int")).join(quotes, ["path", "delimiter"])
+    return files, known.select("path", "start", "delimiter", "entry").join(files.select("path", "delimiter"), ["path", "delimiter"])
+
+
+def json_layout(facts: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, ranges) of JSON files: path, lines, several, opening, balanced; and the ranges with all
+    that ``json_ranges.values`` asks for."""
+    entries, files = json_ranges.layouts(facts.where("json IS NOT NULL"))
+    files = _written(files, "layouts")
+    return files, ranges.join(_written(entries, "entries"), ["path", "start"]).join(files, "path")
+
+
+def json_facts(files: DataFrame, values: DataFrame) -> DataFrame:
+    """(path, json_problem, json_rows, json_multi_line): whether each file is one document, or one a line.
+
+    Every value at the top is parsed on its own. Rows are the elements of a list.
     """
-    files = file_inventory(spark, path).select("path", "extension", "size_bytes").join(
-        file_contents(spark, path, max_bytes).select("path", "content"), "path", "left"
-    ).withColumn("_text", _readable(F.col("content")))
-    is_csv = F.col("extension").isin("csv", "txt")
-    is_json = F.col("extension") == "json"
-    broken = F.exists(F.regexp_extract_all("_text", F.lit(r'"([^"]*+)"')), lambda quoted: quoted.rlike(r"[\r\n]"))
-    facts = files.select(
-        "path", "size_bytes", encoding(F.col("content")).alias("encoding"),
-        F.col("content").isNotNull().alias("_read"),
-        F.when(is_csv, "csv").when(is_json, "json").otherwise("unknown").alias("format"),
-        F.when(is_csv, F.regexp_extract("_text", r'^(?:"[^"]*+"|[^"\r\n]++)*+', 0)).alias("_first_record"),
-        F.when(is_csv, broken).when(is_json, json_lines_problem(F.col("_text")).isNotNull()
-                                    | (json_rows(F.col("_text")) > 0)).alias("multi_line"),
-        F.when(is_json, json_problem(F.col("_text"))).alias("_json_problem"),
-        F.when(is_json, json_lines_problem(F.col("_text"))).alias("_lines_problem"),
-        F.when(is_json, json_rows(F.col("_text"))).alias("_json_rows"),
-    ).join(_line_shapes(files), "path", "left")
+    blank = F.trim("record", F.lit(" \t\r\n")) == ""
+    member = F.concat(F.lit("{"), F.col("record"), F.lit("}"))
+    bad = (F.col("kind") == "bad") | blank | json_problem(F.when(F.col("kind") == "member", member).otherwise(F.col("record"))).isNotNull()
+    seen = values.groupBy("path").agg(
+        F.count(F.lit(1)).alias("_n"), F.bool_or(bad).alias("_bad"), F.sum(F.when(F.col("kind") == "element", 1).otherwise(0)).alias("_elements"),
+        F.bool_and(F.col("kind").isin("element", "member") & blank).alias("_hollow"))
+    empty = (F.col("_n") == 1) & F.col("_hollow")
+    right = F.col("_n").isNotNull() & (F.col("lines") & ~F.col("_bad") | ~F.col("lines") & F.col("balanced") & (empty | ~F.col("_bad")))
+    rows = F.when(right & ~F.col("lines") & ~empty, F.col("_elements")).otherwise(0).cast("int")
+    return files.join(seen, "path", "left").select(
+        "path", F.when(~right, F.lit("invalid JSON")).alias("json_problem"), rows.alias("json_rows"),
+        (~F.col("lines") & (F.col("several") | (rows > 0) | ~right)).alias("json_multi_line"))
+
+
+@dataclass(frozen=True)
+class Profile:
+    """The profile of files, and the ranges that a second pass reads their rows from."""
+
+    files: DataFrame
+    csv_ranges: DataFrame
+    json_ranges: DataFrame
+
+
+def profile(spark: SparkSession, path: str, expect_header: bool = True, min_rows: int = 1,
+            max_bytes: int | None = None, single_byte: bool = True, delimiter: str | None = None,
+            range_bytes: int = RANGE_BYTES) -> Profile:
+    """Profile the files below ``path`` by ranges of bytes, each read once; JSON values are
+    read once more. Files of any size are dealt over tasks, and no file is a row."""
+    files = file_inventory(spark, path).select("path", "extension", "size_bytes")
+    wanted = files if max_bytes is None else files.where(F.col("size_bytes") <= max_bytes)
+    ranges = _written(cut(wanted.select("path", "extension", F.col("size_bytes").alias("length")), range_bytes), "ranges")
+    facts = _written(read_ranges(ranges, _range_facts, _FACTS_DDL, _FACTS), "facts")
+    found = facts.groupBy("path").agg(
+        F.max("lead").alias("lead"), F.bool_and("utf8").alias("utf8"), *(F.bool_or(c).alias(c) for c in ("nul", "undefined", "control")))
+    coded = _written(found.select("path", encoding(*map(F.col, ("lead", "utf8", "nul", "undefined", "control")), single_byte).alias("encoding")), "encodings")
+    tables, entries = csv_layout(facts, delimiter)
+    ranges = ranges.join(coded, "path")
+    documents, parts = json_layout(facts, ranges)
+    judged = json_facts(documents, json_ranges.values(parts))
+    is_csv, is_json = F.col("extension").isin("csv", "txt"), F.col("extension") == "json"
+    read = F.lit(True) if max_bytes is None else F.col("size_bytes") <= max_bytes
+    joined = files.join(coded, "path", "left").join(tables, "path", "left").join(judged, "path", "left")
+    profiled = joined.select(
+        "path", "size_bytes", F.when(F.col("size_bytes") == 0, "utf-8").otherwise(F.coalesce("encoding", F.lit("unknown"))).alias("encoding"),
+        read.alias("_read"), F.when(is_csv, "csv").when(is_json, "json").otherwise("unknown").alias("format"), "delimiter", "header", "header_at",
+        F.coalesce("rows", F.when(is_json, F.col("json_rows")), F.when(read, 0)).cast("int").alias("rows"), "uneven_rows",
+        F.coalesce("multi_line", "json_multi_line", F.when(read & (is_csv | is_json), F.lit(False))).alias("multi_line"), "open_quote", "json_problem")
     is_csv = F.col("format") == "csv"
-    cut = F.concat(F.lit("["), F.col("delimiter"), F.lit('](?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'))
-    header = F.transform(
-        F.split("_first_record", cut), lambda h: F.regexp_replace(h, r'^\s*"|"\s*$', ""))
-    profiled = facts.withColumns({
-        "rows": F.coalesce("_rows", "_json_rows", F.when(F.col("_read"), F.lit(0))),
-        "header": F.when(F.length("_first_record") > 0, header),
-    })
     errors = F.array_compact(F.array(
         F.when(F.col("size_bytes") < MIN_BYTES, F.lit("file is empty")),
         F.when(F.col("format") == "unknown", F.lit("unsupported file format")),
@@ -201,24 +225,30 @@ def profile_files(spark: SparkSession, path: str, expect_header: bool = True, mi
                F.lit("not valid UTF-8")),
         F.when(is_csv & (F.col("uneven_rows") > 0),
                F.format_string("%d rows differ from the header in length", F.col("uneven_rows"))),
+        F.when(F.col("open_quote"), F.lit("quote is not closed")),
         F.when(is_csv & (F.col("rows") < min_rows), F.lit("insufficient rows")),
         F.when(is_csv & F.col("_read") & F.lit(expect_header) & F.col("header").isNull(), F.lit("header expected but not found")),
         # one document, or one document a line
-        F.when(F.col("_read") & F.col("_lines_problem").isNotNull(), F.col("_json_problem")),
+        F.col("json_problem"),
     ))
-    return profiled.withColumn("errors", errors).select(
-        "path", "size_bytes", "encoding", "format", "delimiter", "header", "rows", "uneven_rows",
-        "multi_line", "errors", (F.size("errors") == 0).alias("passed"),
-    )
+    every = profiled.withColumn("errors", errors).withColumn("passed", F.size("errors") == 0)
+    layout = every.select("path", "delimiter", "header", "header_at")
+    return Profile(_written(every.drop("_read", "open_quote", "json_problem"), "profile"),
+                   ranges.join(entries, ["path", "start"]).join(layout, ["path", "delimiter"]), parts)
 
 
-def has_open_quotes(spark: SparkSession, paths: list[str]) -> bool:
-    """Whether a line of the files has an odd number of quotes, i.e. a quoted line break.
+def profile_files(spark: SparkSession, path: str, expect_header: bool = True, min_rows: int = 1,
+                  max_bytes: int | None = None, single_byte: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Per file: encoding, format, delimiter, header, row count, errors, passed.
 
-    Reads lines, so files of any size are split over tasks; stops at the first one found.
+    Rows are counted with the header; a line end inside quotes ends none, and blank
+    lines are none. All rows are compared with the header's length. Also says whether
+    quotes hold line breaks. Files beyond ``max_bytes`` are listed without these facts.
+    ``single_byte`` accepts text in Windows-1252 and Latin-1, too.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(paths).where(quotes % 2 == 1).limit(1).isEmpty()
+    return profile(spark, path, expect_header, min_rows, max_bytes, single_byte, range_bytes=range_bytes).files.select(
+        "path", "size_bytes", "encoding", "format", "delimiter", "header", "rows", "uneven_rows",
+        "multi_line", "errors", "passed")
 
 
 def json_problem(document: Column) -> Column:
@@ -233,29 +263,40 @@ def json_problem(document: Column) -> Column:
         | (F.coalesce(F.json_array_length(listed), F.lit(0)) != 1), F.lit("invalid JSON"))
 
 
-def json_lines_problem(document: Column) -> Column:
-    """Reason when some line of a text that is not blank is not a JSON document, else null."""
-    lines = F.filter(F.split(document, r"\r?\n"), lambda line: F.trim(line) != "")
-    bad = F.exists(lines, lambda line: json_problem(line).isNotNull())
-    return F.when(document.isNull() | bad | (F.size(lines) == 0), F.lit("invalid JSON"))
-
-
 def json_rows(document: Column) -> Column:
     """Number of elements when the document is a list, else zero."""
     return F.coalesce(F.json_array_length(document), F.lit(0))
 
 
+_TEXT = pa.schema([("path", pa.string()), ("record", pa.string())])
+
+
+def _beginnings(source: Source, item: dict) -> Iterator[dict]:
+    """The first characters of a file."""
+    data, wide = source.read(0, 4 * (item["chars"] + 1)), wide_encoding(source)
+    yield {"path": item["path"], "record": data.decode("utf-16" if wide else "utf-8", "replace")[:item["chars"]]}
+
+
 def malicious_preview(spark: SparkSession, path: str, preview_chars: int | None = None,
                       max_bytes: int | None = None) -> DataFrame:
-    """CSV files whose text matches a script or formula pattern; all files unless a limit is given.
+    """CSV files with a record that matches a script pattern, or that begin like a formula; all
+    files unless a limit is given.
 
-    The whole text is searched unless ``preview_chars`` limits it to its beginning.
+    Whole files are searched record by record, unless ``preview_chars`` limits the search
+    to their beginning.
     """
-    content = _readable(F.col("content"))
+    pattern = "(?i)" + "|".join(text.COMMENT_PATTERNS)
+    files = file_inventory(spark, path).where("extension = 'csv' AND size_bytes > 0").select("path", "extension", F.col("size_bytes").alias("length"))
+    files = files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+    formula = r"^[=@+\-]"
     if preview_chars is not None:
-        content = F.substring(content, 1, preview_chars)
-    patterns = "|".join(text.COMMENT_PATTERNS)
-    return (
-        file_contents(spark, path, max_bytes).where(F.col("extension") == "csv")
-        .select("path", (content.rlike("(?i)" + patterns) | content.rlike(r"^[=@+\-]")).alias("malicious"))
-    )
+        first = read_ranges(files.select("path", F.lit(preview_chars).alias("chars")).repartition("path"), _beginnings, "path string, record string", _TEXT)
+        return first.select("path", (F.col("record").rlike(pattern) | F.col("record").rlike(formula)).alias("malicious"))
+    ranges = _written(cut(files), "ranges")
+    facts = _written(read_ranges(ranges, _range_facts, _FACTS_DDL, _FACTS), "facts")
+    _, entries = csv_layout(facts)
+    found = csv_ranges.records(ranges.withColumn("encoding", F.lit("utf-8")).join(entries, ["path", "start"]))
+    seen = found.groupBy("path").agg(
+        F.bool_or(F.col("record").rlike(pattern)).alias("_script"),
+        F.min_by(F.col("record").rlike(formula), "offset").alias("_formula"))
+    return files.select("path").join(seen, "path", "left").select("path", F.coalesce(F.col("_script") | F.col("_formula"), F.lit(False)).alias("malicious"))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claravoz.sources import csv_ranges, inventory, json_ranges
+from claravoz.sources.ranges import RANGE_BYTES
+
 CORRUPT = "_corrupt_record"
 # How raw CSV is read unless the caller says otherwise.
 CSV_OPTIONS = {
@@ -26,6 +29,17 @@ def text_schema(columns: list[str], corrupt: bool = True) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in names])
 
 
+def text_ddl(columns: list[str]) -> str:
+    """``text_schema`` as text."""
+    return ", ".join("`" + c.replace("`", "``") + "` string" for c in [*columns, CORRUPT])
+
+
+def safe_names(header: list[str]) -> list[str]:
+    """Column names of a header, none empty and none twice, as Spark's reader makes them."""
+    lower = [h.lower() for h in header]
+    return [f"_c{i}" if not h else f"{h}{i}" if lower.count(h.lower()) > 1 else h for i, h in enumerate(header)]
+
+
 def csv_header(spark: SparkSession, path: str, options: Mapping[str, str] | None = None) -> list[str]:
     """Column names of a CSV; only the first line is read."""
     chosen = {**CSV_OPTIONS, **(options or {}), "inferSchema": "false"}
@@ -68,6 +82,43 @@ def read_raw(spark: SparkSession, path: str | list[str], fmt: str = "csv", optio
     return (reader.schema(schema) if schema else reader).format(fmt).options(**(options or {})).load(path)
 
 
+def csv_scans(found: inventory.Profile) -> list[DataFrame]:
+    """One scan for each header and delimiter; layouts are few, their files stay in tables."""
+    layouts = found.files.where("format = 'csv'").groupBy("header", "delimiter").agg(F.min("path").alias("_first")).orderBy("_first").collect()
+    scans = []
+    for layout in layouts:
+        header = F.array(*map(F.lit, layout["header"]))
+        own = found.csv_ranges.where((F.col("delimiter") == layout["delimiter"]) & (F.col("header") == header))
+        options = {**CSV_OPTIONS, "sep": layout["delimiter"], "columnNameOfCorruptRecord": CORRUPT}
+        row = F.from_csv("record", text_ddl(safe_names(layout["header"])), options)
+        scans.append(csv_ranges.records(own, skip_header=True).select(row.alias("row")).select("row.*"))
+    return scans
+
+
+def json_scan(found: inventory.Profile) -> DataFrame:
+    """Documents, lines and elements of lists as rows; every field a string, fields by name."""
+    values = json_ranges.values(found.json_ranges, whole_objects=True).where("record IS NOT NULL AND trim(record) != ''").select("record")
+    names = sorted(r["field"] for r in values.select(F.explode(F.json_object_keys("record")).alias("field")).distinct().collect())
+    row = F.from_json("record", text_schema(names), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return values.select(row.alias("row")).select("row.*")
+
+
+def united(frames: list[DataFrame]) -> DataFrame:
+    """Rows of frames with different columns, by name."""
+    whole = frames[0]
+    for other in frames[1:]:
+        whole = whole.unionByName(other, allowMissingColumns=True)
+    return whole
+
+
+def read_ranges(spark: SparkSession, path: str, fmt: str = "csv", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Raw scan of CSV or JSON files whose bytes are dealt over tasks, multi-line records and
+    whole documents included; every column a string, with the column for records that do
+    not fit. Header, delimiter and encoding are those that the profile finds."""
+    found = inventory.profile(spark, path, range_bytes=range_bytes)
+    return united(csv_scans(found)) if fmt == "csv" else json_scan(found)
+
+
 def read_typed(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Scan for cleaning: Parquet, or CSV with types inferred.
 
