@@ -21,8 +21,10 @@ are looked up in a broadcast table, all others joined by pair.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,11 @@ BYTES = "byte_bpe_50k.json"
 #: Bytes of text that a task works on at once; a longer text is alone.
 BLOCK = 500_000
 #: Bytes of pieces and of what is known of them that a worker remembers between blocks.
-REMEMBERED = 24_000_000
+REMEMBERED = 60_000_000
+#: Pieces that a library gets in one text.
+JOINED = 500
+#: A space next to other white space, or white space at an end.
+_ODD = re.compile(r" \s|[^\S ] |\A\s|\s\Z")
 #: An id pair as one number: A's id times this, plus B's id.
 PAIR = 1 << 32
 #: Links that a task scores at once; a longer document is alone.
@@ -111,13 +117,15 @@ class Aligner:
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = processor(path_b)
         value = {c: b for b, c in enumerate(byte_characters())}
-        self.bytes_a = [b""] * self.a.get_vocab_size()
+        bytes_a = [b""] * self.a.get_vocab_size()
         for token, number in self.a.get_vocab().items():
-            self.bytes_a[number] = bytes(value[c] for c in token) if all(c in value for c in token) else token.encode()
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-                        for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
-        self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
-        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+            bytes_a[number] = bytes(value[c] for c in token) if all(c in value for c in token) else token.encode()
+        bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
+                   for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
+        self.size_a, self.size_b = (np.array([len(x) for x in every], np.int64) for every in (bytes_a, bytes_b))
+        self.text_a, self.text_b = (np.frombuffer(b"".join(every), np.uint8) for every in (bytes_a, bytes_b))
+        # ids as text with what comes behind them: A's within and at the end of a group, B's within, at the end, and last
+        self.names = [f"{i}{end}" for ids, ends in ((len(bytes_a), ",|"), (len(bytes_b), (",", ";", ""))) for end in ends for i in range(ids)]
         self.forget()
 
     def forget(self) -> None:
@@ -129,20 +137,77 @@ class Aligner:
         self.size = np.zeros(0, np.int64)
         self.held = 0
 
+    def encoded(self, keys: list[str]) -> tuple[Tokens, Tokens, np.ndarray]:
+        """The tokens of A and of B of pieces, and whether their bytes are the piece's. A piece whose
+        bytes a tokenizer changes has no tokens."""
+        whole = [" " + k for k in keys]
+        want = np.frombuffer("".join(whole).encode(), np.uint8)
+        sizes = np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in whole), np.int64, len(whole))
+        out, good = [], np.ones(len(keys), bool)
+        for rows, size, text in ((self._rows_a(keys), self.size_a, self.text_a), (self._rows_b(keys), self.size_b, self.text_b)):
+            joined = np.repeat(np.arange(len(rows)), [n for n, _ in rows])  # the row that a piece is in
+            ids = np.fromiter(chain.from_iterable(r for _, r in rows), np.int64)
+            of = np.repeat(np.arange(len(rows)), [len(r) for _, r in rows])
+            spelled = np.bincount(of, size[ids], len(rows)).astype(np.int64)
+            wanted = np.bincount(joined, sizes, len(rows)).astype(np.int64)
+            bad = spelled != wanted
+            begins = np.cumsum(size) - size
+            fits = ~bad[of]
+            got = text[ragged(begins[ids[fits]], size[ids[fits]])]
+            differs = np.flatnonzero(got != want[np.repeat(~bad[joined], sizes)])
+            bad[np.repeat(of[fits], size[ids[fits]])[differs]] = True
+            ids, fits = ids[~bad[of]], ~bad[joined]
+            ends, cuts = np.cumsum(size[ids]), np.cumsum(sizes[fits])
+            upto = np.searchsorted(ends, cuts) + 1
+            if len(cuts):
+                bad[joined[fits][ends[np.minimum(upto, len(ends)) - 1] != cuts]] = True  # a token lies across two pieces
+            out.append((ids, np.diff(upto, prepend=0), fits))
+            good &= ~bad[joined]
+        parts = []
+        for (ids, counts, fits), size in zip(out, (self.size_a, self.size_b)):
+            keep = np.repeat(good[fits], counts)
+            every = np.zeros(len(keys), np.int64)
+            every[fits] = counts
+            parts.append(Tokens(ids[keep], size[ids[keep]], every * good))
+        return *parts, good
+
+    def _rows_a(self, keys: list[str]) -> list[tuple[int, list[int]]]:
+        rows = joined_rows(keys)
+        found = self.a.encode_batch_fast([" " + text for _, text in rows], add_special_tokens=False)
+        return [(n, e.ids) for (n, _), e in zip(rows, found)]
+
+    def _rows_b(self, keys: list[str]) -> list[tuple[int, list[int]]]:
+        rows = joined_rows(keys)
+        return [(n, ids) for (n, _), ids in zip(rows, self.b.encode([text for _, text in rows], num_threads=1))]
+
     def learn(self, keys: list[str]) -> None:
-        """Align the pieces that are new. A piece is given without its first space."""
+        """Align the pieces that are new. A piece is given without its first space.
+
+        Pieces without white space at their ends stand in a row for the libraries, as the
+        tokenizers do not merge across the space between; a row whose bytes differ is
+        encoded again piece by piece.
+        """
         new = [k for k in dict.fromkeys(keys) if k not in self.known]
         if not new:
             return
-        whole = [" " + k for k in new]
-        rows_a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
-        rows_b = self.b.encode(new, num_threads=1)
-        agrees = [b"".join(map(self.bytes_a.__getitem__, x)) == (w := text.encode()) == b"".join(map(self.bytes_b.__getitem__, y))
-                  for text, x, y in zip(whole, rows_a, rows_b)]
-        rows_a = [x if ok else [] for x, ok in zip(rows_a, agrees)]
-        rows_b = [y if ok else [] for y, ok in zip(rows_b, agrees)]
-        a, b = (Tokens(ids := np.fromiter((i for row in rows for i in row), np.int64), size[ids], np.fromiter(map(len, rows), np.int64, len(rows)))
-                for rows, size in ((rows_a, self.size_a), (rows_b, self.size_b)))
+        plain = [k for k in new if not (k[0].isspace() or k[-1].isspace() or "▁" in k)]
+        if len(plain) < len(new):
+            known = set(plain)
+            for key in new:
+                if key not in known:
+                    self._learn([key])
+        if plain:
+            self._learn(plain)
+
+    def _learn(self, new: list[str]) -> None:
+        a, b, agrees = self.encoded(new)
+        if len(new) > 1 and not agrees.all():
+            for key in (k for k, ok in zip(new, agrees) if not ok):
+                self._learn([key])
+            new = [k for k, ok in zip(new, agrees) if ok]
+            if not new:
+                return
+            a, b, agrees = self.encoded(new)
         links, counts, owner = [], np.zeros(len(new), np.int64), []
         last = np.zeros(len(a.ids), np.int64)  # A's tokens at whose end a token of B ends: one more than its place in B
         for short, long, of_a, texts in ((a, b, True, np.flatnonzero(a.counts <= b.counts)), (b, a, False, np.flatnonzero(a.counts > b.counts))):
@@ -156,23 +221,27 @@ class Aligner:
             counts += np.bincount(of, minlength=len(new))
             owner.append(of)
         order = np.argsort(np.concatenate(owner), kind="stable")
-        self._add(new, a, b, last, np.concatenate(links)[order], counts, np.array(agrees))
+        self._add(new, a, b, last, np.concatenate(links)[order], counts, agrees)
 
     def _add(self, new: list[str], a: Tokens, b: Tokens, last: np.ndarray, links: np.ndarray, counts: np.ndarray, agrees: np.ndarray) -> None:
         self.known.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
-        cut = np.flatnonzero(last)
+        cut, cut_b = np.flatnonzero(last), last[last > 0] - 1  # last tokens of the groups
         groups = np.bincount(np.repeat(np.arange(len(new)), a.counts)[cut], minlength=len(new))
-        cuts_a, cuts_b = (cut + 1).tolist(), last[cut].tolist()
-        names_a, names_b = list(map(str, a.ids.tolist())), list(map(str, b.ids.tolist()))
-        g = i = j = held = 0
-        for n in groups.tolist():
-            shown = []
-            for k in range(g, g + n):
-                shown.append(",".join(names_a[i:cuts_a[k]]) + "|" + ",".join(names_b[j:cuts_b[k]]))
-                i, j = cuts_a[k], cuts_b[k]
-            g += n
-            self.groups.append(";".join(shown))
+        i, j = np.arange(len(a.ids)), np.arange(len(b.ids))
+        of_i, of_j = np.searchsorted(cut, i), np.searchsorted(cut_b, j)  # their groups
+        n_a, n_b = len(self.size_a), len(self.size_b)
+        final = np.zeros(len(cut), bool)
+        final[np.cumsum(groups)[groups > 0] - 1] = True  # groups that end a piece
+        codes = np.empty(len(i) + len(j), np.int64)
+        codes[i + np.append(0, cut_b + 1)[of_i]] = a.ids + n_a * (i == cut[of_i])
+        codes[j + cut[of_j] + 1] = 2 * n_a + b.ids + n_b * ((j == cut_b[of_j]) * (1 + final[of_j]))
+        shown = list(map(self.names.__getitem__, codes.tolist()))
+        ends = np.cumsum(a.counts + b.counts).tolist()
+        held = start = 0
+        for end in ends:
+            self.groups.append("".join(shown[start:end]))
             held += len(self.groups[-1])
+            start = end
         self.numbers = np.concatenate([self.numbers, np.column_stack([a.counts, b.counts, groups, agrees])])
         self.at = np.concatenate([self.at, np.cumsum(counts) - counts + len(self.links)])
         self.size = np.concatenate([self.size, counts])
@@ -214,7 +283,7 @@ def pieces_of(text: str) -> list[str]:
     if not text:
         return []
     parts = text.split(" ")
-    if all(parts) and not any(p[0].isspace() or p[-1].isspace() for p in parts):
+    if not _ODD.search(text):
         return parts
     joined = [parts[0]]
     for part in parts[1:]:
@@ -229,6 +298,11 @@ def lists(bounds: np.ndarray, values: np.ndarray, kind: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(kind)))
 
 
+def joined_rows(keys: list[str]) -> list[tuple[int, str]]:
+    """Pieces put in rows by the spaces that belong between them, and how many are in each."""
+    return [(len(part), " ".join(part)) for part in (keys[k:k + JOINED] for k in range(0, len(keys), JOINED))]
+
+
 @lru_cache(maxsize=2)
 def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)

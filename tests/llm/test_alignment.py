@@ -132,3 +132,22 @@ def test_operator_on_odd_rows(spark, odd, none):
     assert found.count() == 18 and found.where("n_links < 0 OR n_best > n_links").count() == 0
     assert found.columns == ["doc_id", "n_a", "n_b", "n_groups", "groups", "n_links", "n_best", "count_sum"]
     assert alignment.score(alignment.align(none)).count() == 0
+
+
+def test_pieces_whose_bytes_differ_spoil_no_others(own, libraries, monkeypatch):
+    """A row of pieces that does not spell its bytes is taken apart."""
+    own.forget()
+    real = own.b
+
+    class Changing:
+        def encode(self, texts, num_threads):
+            return [real.encode(t.replace("odd", "even")) for t in texts]
+
+    monkeypatch.setattr(own, "b", Changing())
+    numbers, groups, *_ = own.align(["good words stay", "odd words go", "more good words"])
+    monkeypatch.undo()
+    own.forget()
+    assert numbers[1].tolist() == [0, 0, 0] and groups[1] == ""
+    for k, text in ((0, "good words stay"), (2, "more good words")):
+        n_a, n_b, want, _ = brute(text, libraries)
+        assert numbers[k].tolist() == [n_a, n_b, len(want)] and groups[k] == ";".join(want)
