@@ -13,7 +13,7 @@ from claravoz.catalog import survey as sv
 from claravoz.catalog.registry import query, table
 from claravoz.catalog.survey import SURVEY_SQL, survey
 from claravoz.functions import text
-from claravoz.operators import headers, schema
+from claravoz.operators import headers, schema, schema_rows
 from claravoz.plans import jobs
 from claravoz.scratch import scratch_path
 from claravoz.sources import inventory, readers, records, sinks
@@ -511,3 +511,55 @@ def schema_drift(spark, d):
 def string_columns(spark, d):
     names = schema.string_columns(table(spark, d, "customer"))
     return schema.field_table(table(spark, d, "customer")).where(F.col("field").isin(names)).select("field")
+
+
+# Orders as documents of two versions: the priority is renamed, the total turns into text in some, the state
+# goes, and a status comes that has nothing to do with it.
+_VERSIONS_SQL = """o AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'v1' ELSE 'v2' END AS version FROM orders),
+    f AS (SELECT version, 'key' AS field, 'integer' AS kind, CAST(o_orderkey AS VARCHAR) AS value FROM o
+    UNION ALL SELECT version, 'total', CASE WHEN version = 'v2' AND o_orderstatus = 'F' THEN 'string' ELSE 'float' END, CAST(o_totalprice AS VARCHAR) FROM o
+    UNION ALL SELECT version, CASE WHEN version = 'v1' THEN 'priority' ELSE 'urgency' END, 'string', o_orderpriority FROM o
+    UNION ALL SELECT version, CASE WHEN version = 'v1' THEN 'state' ELSE 'status' END, 'string',
+      CASE WHEN version = 'v1' THEN o_orderstatus ELSE 'S' || (o_custkey % 7) END FROM o
+    UNION ALL SELECT version, 'note', 'null', NULL FROM o),
+    r AS (SELECT version, field, CASE WHEN count(DISTINCT kind) > 1 THEN 'mixed' ELSE min(kind) END AS type, count(*) AS rows,
+      count(*) FILTER (kind = 'null') AS nulls, count(DISTINCT value) AS n FROM f GROUP BY version, field)"""
+
+
+def _versions(spark, d):
+    first = F.col("o_orderkey") % 2 == 0
+    total = F.when(~first & (F.col("o_orderstatus") == "F"), F.concat(F.lit('"'), F.col("o_totalprice"), F.lit('"'))).otherwise(
+        F.format_string("%.2f", "o_totalprice"))
+    document = F.concat(
+        F.lit('{"key": '), F.col("o_orderkey"), F.lit(', "total": '), total, F.when(first, ', "priority": "').otherwise(', "urgency": "'), F.col("o_orderpriority"),
+        F.when(first, F.concat(F.lit('", "state": "'), F.col("o_orderstatus"))).otherwise(F.concat(F.lit('", "status": "S'), F.col("o_custkey") % 7)),
+        F.lit('", "note": null}'))
+    rows = table(spark, d, "orders").select(F.when(first, "v1").otherwise("v2").alias("version"), document.alias("document"))
+    # two loads whose records are merged
+    loads = [rows.where(F.crc32(F.col("document").cast("binary")) % 2 == k) for k in (0, 1)]
+    parts = [schema_rows.field_record(load, "version", "document") for load in loads]
+    return schema_rows.merged_records(parts[0].unionByName(parts[1]))
+
+
+@query("schema_record_rows", f"WITH {_VERSIONS_SQL} SELECT version, field, type, rows, nulls, least(n, 1000) AS \"distinct\" FROM r")
+def schema_record_rows(spark, d):
+    return schema_rows.described(_versions(spark, d)).withColumn("distinct", F.least("distinct", F.lit(1000)))
+
+
+@query("schema_drift_rows", f"""WITH {_VERSIONS_SQL}, a AS (SELECT * FROM r WHERE version = 'v1'), b AS (SELECT * FROM r WHERE version = 'v2'),
+       j AS (SELECT coalesce(a.field, b.field) AS field, a.type AS type_before, b.type AS type_now, coalesce(a.n, b.n) AS n FROM a FULL JOIN b ON a.field = b.field),
+       p AS (SELECT g.field, h.field AS new_field, g.type_before, h.type_now, (SELECT count(DISTINCT x.value) FROM f x JOIN f y ON x.value = y.value
+         WHERE x.version = 'v1' AND y.version = 'v2' AND x.field = g.field AND y.field = h.field) / least(g.n, h.n)::DOUBLE AS overlap
+         FROM j g, j h WHERE g.type_now IS NULL AND h.type_before IS NULL AND g.type_before = h.type_now AND least(g.n, h.n) >= 3),
+       m AS (SELECT * FROM p WHERE overlap >= 0.5)
+       SELECT 'v2' AS version, 'v1' AS previous, 'renamed' AS change, field, new_field, type_before, type_now, overlap FROM m
+       UNION ALL SELECT 'v2', 'v1', CASE WHEN type_before IS NULL THEN 'added' WHEN type_now IS NULL THEN 'removed' ELSE 'retyped' END, field, NULL,
+       type_before, type_now, NULL FROM j WHERE type_before IS DISTINCT FROM type_now
+       AND field NOT IN (SELECT field FROM m) AND field NOT IN (SELECT new_field FROM m)""")
+def schema_drift_rows(spark, d):
+    return schema_rows.version_drift(_versions(spark, d))
+
+
+@query("string_fields_rows", f"WITH {_VERSIONS_SQL} SELECT version, field FROM r WHERE type = 'string'")
+def string_fields_rows(spark, d):
+    return schema_rows.string_fields(_versions(spark, d))
