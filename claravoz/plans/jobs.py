@@ -109,7 +109,7 @@ def ingest(spark: SparkSession, source: str, output: str, history: str, fmt: str
     if report.unmapped_columns:
         unmapped = spark.createDataFrame([(h,) for h in report.unmapped_columns], "header string")
         headers.log_new_headers(unmapped, f"{history}/new_headers")
-    audits = spark.read.json(f"{history}/audits").where(F.col("schema_version") == version)
+    audits = spark.read.schema(audit.schema).json(f"{history}/audits").where(F.col("schema_version") == version)
     return IngestResult(version, output, counts.get("good", 0), counts.get("malformed", 0),
                         report, audits, drift)
 

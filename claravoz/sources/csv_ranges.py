@@ -260,24 +260,29 @@ def row_lengths(known: DataFrame) -> DataFrame:
     return joined.unionByName(whole).groupBy("path", "delimiter", "cuts").agg(F.sum("n").alias("n"))
 
 
-def chosen_delimiters(lengths: DataFrame) -> DataFrame:
-    """(path, delimiter, rows): the separator that all rows have equally often, most often
-    first; else the most frequent one; else a comma."""
-    per = lengths.groupBy("path", "delimiter").agg(
-        F.sum("n").alias("rows"), F.min("cuts").alias("_low"), F.max("cuts").alias("_high"))
+def chosen_delimiters(lengths: DataFrame, headers: DataFrame) -> DataFrame:
+    """(path, delimiter, rows, uneven_rows, header, header_at) of each file with a row.
+
+    The separator is the one that all rows have equally often, most often first; else the
+    most frequent one; else a comma. ``headers`` has the first row by each separator; uneven
+    are rows of another length.
+    """
+    uneven = F.when(F.col("cuts") != F.size("header") - 1, F.col("n")).otherwise(0)
+    per = lengths.join(headers, ["path", "delimiter"]).groupBy("path", "delimiter").agg(
+        F.sum("n").cast("int").alias("rows"), F.min("cuts").alias("_low"), F.max("cuts").alias("_high"), F.sum(uneven).cast("int").alias("uneven_rows"),
+        F.first("header").alias("header"), F.first("header_at").alias("header_at"))
+    found = F.struct("delimiter", "rows", "uneven_rows", "header", "header_at")
     preferred = -F.array_position(F.lit(list(DELIMITERS)), F.col("delimiter"))
-    rank = F.struct(F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.lit(0)).alias("even"), F.col("_high").alias("most"),
-                    preferred.alias("order"), "delimiter", "rows")
-    best = per.groupBy("path").agg(F.max(rank).alias("_best"), F.max(F.when(F.col("delimiter") == ",", F.struct("delimiter", "rows"))).alias("_comma"))
-    pick = F.when((F.col("_best.most") > 0) | F.col("_comma").isNull(), F.struct("_best.delimiter", "_best.rows")).otherwise(F.col("_comma"))
-    return best.select("path", pick.alias("_pick")).select("path", "_pick.delimiter", "_pick.rows")
+    even = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.lit(0))
+    # with none in any row the order decides, and a comma comes first
+    return per.groupBy("path").agg(F.max_by(found, F.struct(even, "_high", preferred)).alias("_best")).select("path", "_best.*")
 
 
 RECORD = "path string, offset long, record string"
 _RECORD = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record", pa.string())])
 
 
-def records(ranges: DataFrame, skip_header: bool = False) -> DataFrame:
+def records(ranges: DataFrame, tasks: int, skip_header: bool = False) -> DataFrame:
     """(path, offset, record): every record of the given ranges as text.
 
     ``ranges`` has path, start, stop, delimiter, encoding and entry (1 if the range begins
@@ -293,4 +298,4 @@ def records(ranges: DataFrame, skip_header: bool = False) -> DataFrame:
                 continue
             yield {"path": item["path"], "offset": offset, "record": record.decode(encoding, "replace")}
 
-    return read_ranges(ranges, rows, RECORD, _RECORD)
+    return read_ranges(ranges, tasks, rows, RECORD, _RECORD)

@@ -19,7 +19,7 @@ from claravoz.functions import text
 from claravoz.scratch import scratch_path
 from claravoz.sources import csv_ranges, json_ranges
 from claravoz.sources.csv_ranges import DELIMITERS
-from claravoz.sources.ranges import RANGE_BYTES, UNDEFINED, Source, cut, list_files, read_ranges, valid_utf8, wide_encoding
+from claravoz.sources.ranges import RANGE_BYTES, UNDEFINED, Source, cut, list_files, read_ranges, task_count, valid_utf8, wide_encoding
 
 # Accepted extensions and sizes.
 EXTENSIONS = ("csv", "xlsx", "xls", "parquet", "json", "txt")
@@ -124,7 +124,7 @@ def validate_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES,
         kind = expected_kind(F.col("extension"))
         listed = files.select("path", F.lit("").alias("extension"), F.when(kind == "text", F.col("size_bytes")).otherwise(
             F.least("size_bytes", F.lit(4))).alias("length"), kind.alias("_kind"))
-        facts = read_ranges(cut(listed), _range_facts, _FACTS_DDL, _FACTS)
+        facts = read_ranges(*cut(listed), _range_facts, _FACTS_DDL, _FACTS)
         seen = facts.groupBy("path").agg(
             leading_kind(F.max("lead")).alias("_leading"), (F.bool_and("utf8") & ~F.bool_or("nul")).alias("_text"))
         files = files.join(seen, "path", "left")
@@ -136,25 +136,20 @@ def validate_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES,
 
 
 def csv_layout(facts: DataFrame, delimiter: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, entries) of CSV files by their ranges' facts.
+    """(files, known) of CSV files by their ranges' facts.
 
-    Files: path, delimiter, rows, header, header_at, uneven_rows, multi_line, open_quote. Entries: path,
-    start, delimiter, entry (1 if a range begins inside quotes). A given ``delimiter`` is
-    not looked for.
+    Files: path, delimiter, rows, header, header_at, uneven_rows, multi_line, open_quote. Known: path,
+    start, delimiter, entry (1 if a range begins inside quotes), for each delimiter. A given
+    ``delimiter`` is not looked for.
     """
     tables = facts.where("shapes IS NOT NULL")
-    known = _written(csv_ranges.true_shapes(tables), "shapes")
-    lengths = _written(csv_ranges.row_lengths(known), "lengths")
-    chosen = csv_ranges.chosen_delimiters(lengths if delimiter is None else lengths.where(F.col("delimiter") == delimiter))
+    known = csv_ranges.true_shapes(tables)
+    known = _written(known if delimiter is None else known.where(F.col("delimiter") == delimiter), "shapes")
     headers = tables.where("headers IS NOT NULL").select("path", F.inline("headers")).withColumnsRenamed({"fields": "header", "at": "header_at"})
-    picked = chosen.join(headers, ["path", "delimiter"], "left")
-    uneven = F.when(F.col("cuts") != F.size("header") - 1, F.col("n")).otherwise(0)
-    counted = picked.join(lengths, ["path", "delimiter"]).groupBy("path", "delimiter", "rows", "header", "header_at").agg(
-        F.sum(uneven).cast("int").alias("uneven_rows"))
+    chosen = csv_ranges.chosen_delimiters(csv_ranges.row_lengths(known), headers)
     quotes = known.groupBy("path", "delimiter").agg(
         F.bool_or("now.breaks").alias("multi_line"), (F.max_by("now.exit", "start") == 1).alias("open_quote"))
-    files = counted.withColumn("rows", F.col("rows").cast("int")).join(quotes, ["path", "delimiter"])
-    return files, known.select("path", "start", "delimiter", "entry").join(files.select("path", "delimiter"), ["path", "delimiter"])
+    return chosen.join(quotes, ["path", "delimiter"]), known.select("path", "start", "delimiter", "entry")
 
 
 def json_layout(facts: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,7 +157,7 @@ def json_layout(facts: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFra
     that ``json_ranges.values`` asks for."""
     entries, files = json_ranges.layouts(facts.where("json IS NOT NULL"))
     files = _written(files, "layouts")
-    return files, ranges.join(_written(entries, "entries"), ["path", "start"]).join(files, "path")
+    return files, _written(ranges.join(entries, ["path", "start"]).join(files, "path"), "entries")
 
 
 def json_facts(files: DataFrame, values: DataFrame) -> DataFrame:
@@ -186,11 +181,12 @@ def json_facts(files: DataFrame, values: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Profile:
-    """The profile of files, and the ranges that a second pass reads their rows from."""
+    """The profile of files, the ranges that a second pass reads their rows from, and its tasks."""
 
     files: DataFrame
     csv_ranges: DataFrame
-    json_ranges: DataFrame
+    json_ranges: DataFrame | None
+    tasks: int
 
 
 def profile(spark: SparkSession, path: str, expect_header: bool = True, min_rows: int = 1,
@@ -200,15 +196,16 @@ def profile(spark: SparkSession, path: str, expect_header: bool = True, min_rows
     read once more. Files of any size are dealt over tasks, and no file is a row."""
     files = file_inventory(spark, path).select("path", "extension", "size_bytes")
     wanted = files if max_bytes is None else files.where(F.col("size_bytes") <= max_bytes)
-    ranges = _written(cut(wanted.select("path", "extension", F.col("size_bytes").alias("length")), range_bytes), "ranges")
-    facts = _written(read_ranges(ranges, _range_facts, _FACTS_DDL, _FACTS), "facts")
+    ranges, tasks = cut(wanted.select("path", "extension", F.col("size_bytes").alias("length")), range_bytes)
+    facts = _written(read_ranges(ranges, tasks, _range_facts, _FACTS_DDL, _FACTS), "facts")
     found = facts.groupBy("path").agg(
         F.max("lead").alias("lead"), F.bool_and("utf8").alias("utf8"), *(F.bool_or(c).alias(c) for c in ("nul", "undefined", "control")))
-    coded = _written(found.select("path", encoding(*map(F.col, ("lead", "utf8", "nul", "undefined", "control")), single_byte).alias("encoding")), "encodings")
-    tables, entries = csv_layout(facts, delimiter)
-    ranges = ranges.join(coded, "path")
-    documents, parts = json_layout(facts, ranges)
-    judged = json_facts(documents, json_ranges.values(parts))
+    coded = found.select("path", encoding(*map(F.col, ("lead", "utf8", "nul", "undefined", "control")), single_byte).alias("encoding"))
+    tables, known = csv_layout(facts, delimiter)
+    judged, parts = spark.createDataFrame([], "path string, json_problem string, json_rows int, json_multi_line boolean"), None
+    if not facts.where("json IS NOT NULL").isEmpty():
+        documents, parts = json_layout(facts, ranges.join(coded, "path"))
+        judged = json_facts(documents, json_ranges.values(parts, tasks))
     is_csv, is_json = F.col("extension").isin("csv", "txt"), F.col("extension") == "json"
     read = F.lit(True) if max_bytes is None else F.col("size_bytes") <= max_bytes
     joined = files.join(coded, "path", "left").join(tables, "path", "left").join(judged, "path", "left")
@@ -232,9 +229,9 @@ def profile(spark: SparkSession, path: str, expect_header: bool = True, min_rows
         F.col("json_problem"),
     ))
     every = profiled.withColumn("errors", errors).withColumn("passed", F.size("errors") == 0)
-    layout = every.select("path", "delimiter", "header", "header_at")
-    return Profile(_written(every.drop("_read", "open_quote", "json_problem"), "profile"),
-                   ranges.join(entries, ["path", "start"]).join(layout, ["path", "delimiter"]), parts)
+    written = _written(every.drop("_read", "open_quote", "json_problem"), "profile")
+    layout = written.select("path", "encoding", "delimiter", "header", "header_at")
+    return Profile(written, ranges.join(layout, "path").join(known, ["path", "start", "delimiter"]), parts, tasks)
 
 
 def profile_files(spark: SparkSession, path: str, expect_header: bool = True, min_rows: int = 1,
@@ -290,12 +287,14 @@ def malicious_preview(spark: SparkSession, path: str, preview_chars: int | None
     files = files if max_bytes is None else files.where(F.col("length") <= max_bytes)
     formula = r"^[=@+\-]"
     if preview_chars is not None:
-        first = read_ranges(files.select("path", F.lit(preview_chars).alias("chars")).repartition("path"), _beginnings, "path string, record string", _TEXT)
+        heads = files.select("path", F.lit(0).alias("start"), F.lit(preview_chars).alias("chars"))
+        first = read_ranges(heads, task_count(spark, files.count()), _beginnings, "path string, record string", _TEXT)
         return first.select("path", (F.col("record").rlike(pattern) | F.col("record").rlike(formula)).alias("malicious"))
-    ranges = _written(cut(files), "ranges")
-    facts = _written(read_ranges(ranges, _range_facts, _FACTS_DDL, _FACTS), "facts")
-    _, entries = csv_layout(facts)
-    found = csv_ranges.records(ranges.withColumn("encoding", F.lit("utf-8")).join(entries, ["path", "start"]))
+    ranges, tasks = cut(files)
+    facts = _written(read_ranges(ranges, tasks, _range_facts, _FACTS_DDL, _FACTS), "facts")
+    tables, known = csv_layout(facts)
+    entries = known.join(tables.select("path", "delimiter"), ["path", "delimiter"])
+    found = csv_ranges.records(ranges.withColumn("encoding", F.lit("utf-8")).join(entries, ["path", "start"]), tasks)
     seen = found.groupBy("path").agg(
         F.bool_or(F.col("record").rlike(pattern)).alias("_script"),
         F.min_by(F.col("record").rlike(formula), "offset").alias("_formula"))

@@ -225,7 +225,7 @@ VALUE = "path string, start long, number long, kind string, record string"
 _VALUE = pa.schema([("path", pa.string()), ("start", pa.int64()), ("number", pa.int64()), ("kind", pa.string()), ("record", pa.string())])
 
 
-def values(ranges: DataFrame, whole_objects: bool = False) -> DataFrame:
+def values(ranges: DataFrame, tasks: int, whole_objects: bool = False) -> DataFrame:
     """(path, start, number, kind, record): the values at the top of each file, as text.
 
     ``ranges`` has path, start, stop, encoding, and what ``layouts`` found. Kinds: ``line``;
@@ -241,4 +241,4 @@ def values(ranges: DataFrame, whole_objects: bool = False) -> DataFrame:
             yield {"path": item["path"], "start": item["start"], "number": number, "kind": kind,
                    "record": None if value is None else value.decode(encoding, "replace")}
 
-    return read_ranges(ranges.withColumn("whole_objects", F.lit(whole_objects)), rows, VALUE, _VALUE)
+    return read_ranges(ranges.withColumn("whole_objects", F.lit(whole_objects)), tasks, rows, VALUE, _VALUE)

@@ -132,9 +132,11 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
         (found.where(shown) if levels else found.where(shown | (F.col("path") == _spelled(base)))).write.parquet(folder)
         levels.append(folder)
         listed = spark.read.schema(_FILES).parquet(folder)
-        level = listed.where("is_dir").select("path").repartition("path")
-        if listed.where("is_dir").isEmpty():
+        folders = listed.where("is_dir").count()
+        if not folders:
             break
+        # a given number keeps adaptive execution from listing all folders in one task
+        level = listed.where("is_dir").select("path").repartition(task_count(spark, folders), "path")
     every = spark.read.schema(_FILES).parquet(*levels).where("NOT is_dir").select("path", "length")
     return every.where(F.col("path").rlike(f"^{pattern}$")) if pattern else every
 
@@ -145,18 +147,26 @@ def _spelled(path: str) -> str:
     return f"file:{inner}" if scheme in ("", "file") else f"{scheme}://{host}{inner}"
 
 
-def cut(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
-    """``files`` with ``start`` and ``stop`` of each range; empty files have none.
+def task_count(spark: SparkSession, items: int) -> int:
+    """Tasks for so many ranges or folders: some for each core, and no more than 64 items each."""
+    return max(1, min(items, max(4 * spark.sparkContext.defaultParallelism, items // 64)))
 
-    Ranges are dealt evenly over tasks, whatever files they are of.
-    """
+
+def cut(files: DataFrame, size: int = RANGE_BYTES) -> tuple[DataFrame, int]:
+    """(``files`` with ``start`` and ``stop`` of each range, tasks to read them); empty files have none."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(size).cast("long")))
-    ranges = files.where("length > 0").select("*", starts.alias("start")).withColumn("stop", F.least(F.col("start") + size, F.col("length")))
-    return ranges.repartition(F.col("path"), F.col("start"))
+    wanted = files.where("length > 0")
+    ranges = wanted.select("*", starts.alias("start")).withColumn("stop", F.least(F.col("start") + size, F.col("length")))
+    total = wanted.agg(F.coalesce(F.sum(F.ceil(F.col("length") / size)), F.lit(0))).first()[0]
+    return ranges, task_count(files.sparkSession, int(total))
 
 
-def read_ranges(ranges: DataFrame, rows: Callable[[Source, dict], Iterator[dict]], schema: str, fields: pa.Schema) -> DataFrame:
-    """The rows that ``rows`` makes of each range: it gets the open file and the range's columns."""
+def read_ranges(ranges: DataFrame, tasks: int, rows: Callable[[Source, dict], Iterator[dict]], schema: str, fields: pa.Schema) -> DataFrame:
+    """The rows that ``rows`` makes of each range: it gets the open file and the range's columns.
+
+    Ranges are dealt evenly over ``tasks``, whatever files they are of; a row of a range is
+    small, so without a number adaptive execution would read all of them in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +182,7 @@ def read_ranges(ranges: DataFrame, rows: Callable[[Source, dict], Iterator[dict]
                     if held:
                         yield pa.RecordBatch.from_pylist(held, fields)
 
-    return ranges.mapInArrow(run, schema)
+    return ranges.repartition(tasks, "path", "start").mapInArrow(run, schema)
 
 
 # --- encodings --------------------------------------------------------------------------

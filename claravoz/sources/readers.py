@@ -91,13 +91,13 @@ def csv_scans(found: inventory.Profile) -> list[DataFrame]:
         own = found.csv_ranges.where((F.col("delimiter") == layout["delimiter"]) & (F.col("header") == header))
         options = {**CSV_OPTIONS, "sep": layout["delimiter"], "columnNameOfCorruptRecord": CORRUPT}
         row = F.from_csv("record", text_ddl(safe_names(layout["header"])), options)
-        scans.append(csv_ranges.records(own, skip_header=True).select(row.alias("row")).select("row.*"))
+        scans.append(csv_ranges.records(own, found.tasks, skip_header=True).select(row.alias("row")).select("row.*"))
     return scans
 
 
 def json_scan(found: inventory.Profile) -> DataFrame:
     """Documents, lines and elements of lists as rows; every field a string, fields by name."""
-    values = json_ranges.values(found.json_ranges, whole_objects=True).where("record IS NOT NULL AND trim(record) != ''").select("record")
+    values = json_ranges.values(found.json_ranges, found.tasks, whole_objects=True).where("record IS NOT NULL AND trim(record) != ''").select("record")
     names = sorted(r["field"] for r in values.select(F.explode(F.json_object_keys("record")).alias("field")).distinct().collect())
     row = F.from_json("record", text_schema(names), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     return values.select(row.alias("row")).select("row.*")

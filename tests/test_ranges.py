@@ -131,7 +131,7 @@ def test_multi_line_csv_equals_the_one_task_reader(spark, tmp_path):
         cells = lambda rows: sorted(map(str, (r[:3] for r in rows)))
         assert cells(got) == cells(want)
         if path.name in ("0.csv", "1.csv"):
-            assert csv_ranges.records(found.csv_ranges).groupBy("path").count().first()["count"] == len(want) + 1
+            assert csv_ranges.records(found.csv_ranges, found.tasks).groupBy("path").count().first()["count"] == len(want) + 1
 
 
 def test_profile_of_odd_files(spark, tmp_path):
@@ -229,6 +229,6 @@ def test_ingest_of_large_records_and_encodings(spark, tmp_path, monkeypatch):
 def test_values_of_a_document(spark, tmp_path):
     (tmp_path / "x.json").write_text(' [1, {"a": "]"}, [2, 3]]\n')
     found = inventory.profile(spark, str(tmp_path), range_bytes=4)
-    got = [r["record"].strip() for r in json_ranges.values(found.json_ranges).orderBy("start", "number").collect()]
+    got = [r["record"].strip() for r in json_ranges.values(found.json_ranges, found.tasks).orderBy("start", "number").collect()]
     assert got == ["1", '{"a": "]"}', "[2, 3]"]
     assert inventory.profile(spark, str(tmp_path)).files.where(F.col("rows") == 3).count() == 1
