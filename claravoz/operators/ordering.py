@@ -68,6 +68,61 @@ def number_rows(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
     )
 
 
+#: Rows of a range when rows are numbered by fixed bounds, and order keys sampled for each bound.
+RANGE_ROWS = 250_000
+SAMPLED = 50
+
+
+def range_bounds(df: DataFrame, order: Sequence[str], ranges: int, rows: int) -> DataFrame:
+    """One row with ``_bounds``: ascending order keys that cut ``df`` into about equal ranges.
+
+    ``SAMPLED`` keys a range reach the driver, as for any range partitioning of Spark's; what
+    comes back is fixed, so every scan cuts the rows at the same places.
+    """
+    spark, keys = df.sparkSession, df.select(F.struct(*order).alias("_key"))
+    kind = keys.schema["_key"].dataType.simpleString()
+    wanted = ranges * SAMPLED
+    sample = keys if rows <= wanted else keys.sample(min(1.0, 1.2 * wanted / rows), seed=11)
+    found = [r["_key"] for r in sample.orderBy("_key").collect()] if ranges > 1 else []
+    chosen = [found[len(found) * k // ranges] for k in range(1, ranges)] if found else []
+    return spark.createDataFrame([(chosen,)], f"_bounds array<{kind}>")
+
+
+def bound_of(key: Column, bounds: Column, ranges: int) -> Column:
+    """How many of the ascending ``bounds`` are at most ``key``, by halving steps."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(ranges - 1, 1).bit_length()))))
+    fits = lambda at, step: (at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) <= key)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+
+
+def number_all(df: DataFrame, order: Sequence[str], name: str = "record_index", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Number all rows from 0 in ``order``, which should be unique; rows move once.
+
+    Fixed bounds cut the rows into ranges of about ``range_rows``; one scan of the order
+    columns counts them, and the running sum of the counts is where each range begins. The
+    cut does not depend on the evaluation, so nothing is checkpointed. ``df`` must give the
+    same rows each time, as a table does.
+    """
+    spark = df.sparkSession
+    rows = df.count()
+    ranges = max(1, min(-(-rows // 1_000), max(spark.sparkContext.defaultParallelism, -(-rows // range_rows))))
+    bounds = range_bounds(df, order, ranges, rows)
+    key = F.struct(*order)
+
+    def placed(part: DataFrame) -> DataFrame:
+        return part.join(F.broadcast(bounds)).withColumn("_range", bound_of(key, F.col("_bounds"), ranges)).drop("_bounds")
+
+    counts = placed(df.select(*order)).groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).collect()  # a row a range
+    starts, total = [], 0
+    for r in sorted(counts, key=lambda r: r["_range"]):
+        starts.append((r["_range"], total))
+        total += r["_n"]
+    offsets = F.broadcast(spark.createDataFrame(starts, "_range int, _start long"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return placed(df).repartition(ranges, "_range").withColumn("_at", within).join(offsets, "_range").select(
+        *df.columns, (F.col("_start") + F.col("_at")).alias(name))
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   values: dict[str, str]) -> DataFrame:
     """Add, per group, values of the row before in ``order`` (null for the first).

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claravoz.operators.ordering import number_rows
+from claravoz.operators.ordering import number_all
 
 # Default and largest page.
 PAGE_DEFAULT = 100
@@ -19,7 +19,7 @@ PAGE_MAX = 10_000
 def to_records(df: DataFrame, task_id: str, order: Sequence[str], first: int = 0) -> DataFrame:
     """Rows as (task_id, record_index, data): payloads numbered from ``first`` in ``order``."""
     packed = df.select(*order, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("data"))
-    numbered = number_rows(packed, order)
+    numbered = number_all(packed, order)
     return numbered.select(F.lit(task_id).alias("task_id"), (F.col("record_index") + first).alias("record_index"), "data")
 
 
