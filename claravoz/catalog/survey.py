@@ -150,6 +150,7 @@ def strip_sql(x: str) -> str:
     return f"trim({x}, {WHITE_SPACE_SQL})"
 
 
+# Spellings of true and false, here and in the form of two values.
 def boolean_sql(x: str) -> str:
     word = f"lower({strip_sql(x)})"
     return (

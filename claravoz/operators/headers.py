@@ -200,12 +200,12 @@ def map_columns(df: DataFrame, canonical: Mapping[str, Sequence[str]] = CANONICA
 
 
 def merged(reports: Sequence[MappingReport]) -> MappingReport:
-    """One report of several tables; a header that several have counts once."""
+    """One report of several tables; a header that several map alike counts once."""
     seen, rows = set(), []
     for report in reports:
         for row in zip(report.original_columns, report.normalized_columns, report.mapped_columns):
-            if row[0] not in seen:
-                seen.add(row[0])
+            if row not in seen:
+                seen.add(row)
                 rows.append(row)
     mapping = {k: v for r in reversed(reports) for k, v in r.mapping.items()}
     return MappingReport(

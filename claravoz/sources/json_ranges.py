@@ -87,6 +87,14 @@ _SIDE_DDL = "struct<exit: int, net: long, low: long, high: long, inside: boolean
 SUMMARY_DDL = f"struct<outside: {_SIDE_DDL}, inside: {_SIDE_DDL}, first: long, last: long, line: long, line_after: long, opening: string>"
 
 
+def _content_ends(text: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The first and the last place of a range that is not blank; none of a blank range."""
+    filled = ~_BLANK[text[lo:hi]]
+    if not filled.any():
+        return np.zeros(0, np.int64)
+    return np.array([lo + int(filled.argmax()), hi - 1 - int(filled[::-1].argmax())], np.int64)
+
+
 def summary(source: Source, start: int, stop: int, wide: str | None) -> dict:
     """Both readings of a range, where its content begins and ends, and its first line ends.
 
@@ -94,7 +102,7 @@ def summary(source: Source, start: int, stop: int, wide: str | None) -> dict:
     """
     part = Text(source, start, stop, wide)
     text, lo, hi = part.bytes, part.lo, part.hi
-    content, lines = np.flatnonzero(~_BLANK[text[lo:hi]]) + lo, np.flatnonzero(text[lo:hi] == LF) + lo
+    content, lines = _content_ends(text, lo, hi), np.flatnonzero(text[lo:hi] == LF) + lo
     quotes = quotes_of(text, lo)
     after = lines[np.searchsorted(lines, content[0]):] if len(content) else lines[:0]
     at = lambda found, k: int(found[k]) - lo if len(found) else None
@@ -184,8 +192,7 @@ def _values(source: Source, item: dict, wide: str | None) -> Iterator[tuple[int,
         if start == 0:
             yield 0, "bad", None
         return
-    content = np.flatnonzero(~_BLANK[text[lo:hi]]) + lo
-    first = content[:1] if item["head"] == start else content[:0]
+    first = _content_ends(text, lo, hi)[:int(item["head"] == start)]
     if item["opening"] not in ("[", "{"):
         if len(first):
             yield 0, "scalar", data[first[0]:hi] + _remainder(source, stop, wide)
@@ -193,7 +200,10 @@ def _values(source: Source, item: dict, wide: str | None) -> Iterator[tuple[int,
     own = Reading(text, lo, item["entry"], quotes_of(text, lo))
     whole = objects and item["opening"] == "{"
     depth = item["depth"]
-    top = content[(own.depth_at(content) + depth == 0) & own.outside(content)]
+    top = np.zeros(0, np.int64)
+    if depth == 0 or (own.depth + depth == 0).any():  # few ranges have anything outside all brackets
+        content = np.flatnonzero(~_BLANK[text[lo:hi]]) + lo
+        top = content[(own.depth_at(content) + depth == 0) & own.outside(content)]
     closing = own.brackets[(own.depth + depth == 0) & (own.step < 0)]
     if len(top) > len(first) or (text[closing] != (0x5D if item["opening"] == "[" else 0x7D)).any():
         yield 0, "bad", None

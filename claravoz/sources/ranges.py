@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from claravoz.scratch import scratch_path
 
 #: Bytes of a range.
-RANGE_BYTES = 16 * 1024 * 1024
+RANGE_BYTES = 8 * 1024 * 1024
 #: Names that a scan leaves out, as Spark does.
 _HIDDEN = ("_", ".")
 _FILES = "path string, length long, is_dir boolean"
