@@ -76,15 +76,18 @@ SAMPLED = 50
 def range_bounds(df: DataFrame, order: Sequence[str], ranges: int, rows: int) -> DataFrame:
     """One row with ``_bounds``: ascending order keys that cut ``df`` into about equal ranges.
 
-    ``SAMPLED`` keys a range reach the driver, as for any range partitioning of Spark's; what
-    comes back is fixed, so every scan cuts the rows at the same places.
+    ``SAMPLED`` keys a range are sorted, as for any range partitioning of Spark's; the bounds
+    that come back are fixed, so every scan cuts the rows at the same places.
     """
     spark, keys = df.sparkSession, df.select(F.struct(*order).alias("_key"))
     kind = keys.schema["_key"].dataType.simpleString()
     wanted = ranges * SAMPLED
     sample = keys if rows <= wanted else keys.sample(min(1.0, 1.2 * wanted / rows), seed=11)
-    found = [r["_key"] for r in sample.orderBy("_key").collect()] if ranges > 1 else []
-    chosen = [found[len(found) * k // ranges] for k in range(1, ranges)] if found else []
+    chosen = []
+    if ranges > 1:  # the sample is as small as a driver's, so one task may sort it
+        picked = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda k: F.get("_keys", (F.size("_keys") * k / ranges).cast("int")))
+        found = sample.agg(F.array_sort(F.collect_list("_key")).alias("_keys")).where("size(_keys) > 0").select(picked.alias("_picked")).first()
+        chosen = found["_picked"] if found else []
     return spark.createDataFrame([(chosen,)], f"_bounds array<{kind}>")
 
 
