@@ -126,10 +126,9 @@ def exact_knn(queries: DataFrame, vectors: DataFrame, k: int = 10, query_id: str
     return _top_k(found, k, query_id, id_col)
 
 
-def _blocked_search(asked: DataFrame, stored: DataFrame, bucket: list[str], k: int, query_id: str,
-                    query_vec: str, id_col: str, vec_col: str, exclude_self: bool,
-                    block_rows: int) -> DataFrame:
-    """Best k per query and block pair, within equal buckets.
+def blocked_sides(asked: DataFrame, stored: DataFrame, bucket: list[str], query_id: str, id_col: str,
+                  block_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides cut for a search within equal buckets, and the keys to cogroup them by.
 
     A bucket with n vectors and m queries is cut into ceil(n/B) x ceil(m/B)
     cells; each row is copied once per block of the other side, so no cell
@@ -161,7 +160,14 @@ def _blocked_search(asked: DataFrame, stored: DataFrame, bucket: list[str], k: i
 
     left = cells(asked, "_qb", "_qn", "_vb", "_vn", query_id)
     right = cells(stored, "_vb", "_vn", "_qb", "_qn", id_col)
-    keys = [*bucket, "_qb", "_vb"]
+    return left, right, [*bucket, "_qb", "_vb"]
+
+
+def _blocked_search(asked: DataFrame, stored: DataFrame, bucket: list[str], k: int, query_id: str,
+                    query_vec: str, id_col: str, vec_col: str, exclude_self: bool,
+                    block_rows: int) -> DataFrame:
+    """Best k per query and block pair, within equal buckets."""
+    left, right, keys = blocked_sides(asked, stored, bucket, query_id, id_col, block_rows)
 
     def cell(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
@@ -298,17 +304,26 @@ class VectorTable:
 
 def semantic_search(texts: DataFrame, records: DataFrame, text_col: str = "text", k: int = 10,
                     query_id: str = "query_id", query_text: str = "query", id_col: str = "record_id",
-                    task_id: str | None = None, embed=None) -> DataFrame:
+                    task_id: str | None = None, embed=None, index=None) -> DataFrame:
     """The k records nearest to every query text: (query_id, record_id, distance, position, text).
 
     ``embed(df, text_column)`` adds an ``embedding`` column; the default hashes
-    words. With ``task_id`` only that task's records are searched.
+    words. With ``task_id`` only that task's records are searched. With ``index``
+    (a ``vector_index.VectorIndex`` of the records' vectors, with the same ids)
+    the records are not embedded again and the search is approximate.
     """
     from claravoz.operators.embedding import hashed_vectors
 
     embed = embed or hashed_vectors
     if task_id is not None:
         records = records.where(F.col("task_id") == task_id)
+    if index is not None:
+        asked = embed(texts.select(query_id, query_text), query_text) \
+            .select(query_id, F.col("embedding").alias("query_vec"))
+        among = None if task_id is None else records.select(F.col(id_col).alias("id"))
+        hits = index.search(asked, k, query_id=query_id, among=among).withColumnRenamed("id", id_col)
+        return hits.join(records.select(id_col, text_col), id_col) \
+            .select(query_id, id_col, "distance", "position", text_col)
     stored = embed(records.select(id_col, text_col), text_col).select(id_col, F.col("embedding").alias("vec"))
     asked = embed(texts.select(query_id, query_text), query_text) \
         .select(query_id, F.col("embedding").alias("query_vec"))
