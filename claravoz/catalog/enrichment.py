@@ -11,6 +11,7 @@ from claravoz.catalog.registry import query, table
 from claravoz.catalog.survey import strip_sql
 from claravoz.functions import text
 from claravoz.operators import embedding, limits, neighbors, sentiment, telemetry
+from claravoz.operators.vector_index import VectorIndex, learn
 from claravoz.plans import jobs
 from claravoz.scratch import scratch_path
 from claravoz.sources import sinks
@@ -74,6 +75,52 @@ def vector_table_roundtrip(spark, d):
     return neighbors.VectorTable.load(spark, path).search(_queries(spark, d), 10, exclude_self=True)
 
 
+_PART = "list_slice({}, 8 * p + 1, 8 * p + 8)"
+
+
+@query("vector_index_search", f"""WITH {_UNIT_SQL}, n AS (SELECT vec_id AS id, list_transform(v, lambda x: x / sqrt(
+         list_sum(list_transform(v, lambda y: y * y)))) AS v,
+         row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS i FROM u),
+       c AS (SELECT i AS cell, v AS c FROM n WHERE i < 16),
+       a AS (SELECT n.*, cell, c, row_number() OVER (PARTITION BY id ORDER BY round(list_distance(v, c) ** 2, 9), cell) AS nth FROM n, c),
+       r AS (SELECT id, i, v, cell, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS r FROM a WHERE nth = 1),
+       b AS (SELECT p, i AS entry, {_PART.format('r')} AS e FROM r, range(8) AS t(p) WHERE i < 32),
+       k AS (SELECT id, p, e, row_number() OVER (PARTITION BY id, p ORDER BY round(list_distance({_PART.format('r')}, e) ** 2, 9), entry)
+         AS nth FROM r JOIN b ON true),
+       q AS (SELECT id AS query_id, v AS q, cell, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS l FROM a
+         WHERE id % 50 = 0 AND nth <= 6),
+       d AS (SELECT query_id, r.id, any_value(q) AS q, any_value(r.v) AS v, round(sum(round(list_distance({_PART.format('l')}, e) ** 2, 9)), 6) AS d
+         FROM q JOIN r USING (cell) JOIN k ON k.id = r.id AND k.nth = 1 WHERE query_id <> r.id GROUP BY 1, 2),
+       m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS nth FROM d),
+       x AS (SELECT query_id, id, round(greatest(2 - 2 * list_dot_product(q, CAST(CAST(v AS FLOAT[]) AS DOUBLE[])), 0), 6) AS distance
+         FROM m WHERE nth <= 60),
+       o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS position FROM x)
+       SELECT query_id, id, distance, CAST(position AS INTEGER) AS position FROM o WHERE position <= 10""")
+def vector_index_search(spark, d):
+    """The index with the vectors it starts from as centroids and codebooks, which SQL can follow.
+
+    Vectors are added in two parts; the index is stored and loaded before the search.
+    """
+    rows, path = _vectors(spark, d), scratch_path(spark, "vector-index")
+    quantiser = learn(rows, cells=16, parts=8, entries=32, rounds=0)
+    index = VectorIndex.create(spark, path, quantiser)
+    index.add(rows.where("id % 3 = 0"))
+    index.add(rows.where("id % 3 <> 0"))
+    return VectorIndex.load(spark, path).search(
+        _queries(spark, d).where("query_id % 50 = 0"), 10, probes=6, candidates=60, exclude_self=True)
+
+
+@query("vector_index_recall", "SELECT count(*) * 10 AS expected, true AS good FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark, d):
+    """A learned index against exact search, for the queries whose id is divisible by 50."""
+    asked, stored = _queries(spark, d).where("query_id % 50 = 0"), _vectors(spark, d)
+    index = VectorIndex.build(stored, scratch_path(spark, "vector-index"))
+    index.calibrate()
+    truth = neighbors.exact_knn(asked, stored, 10, exclude_self=True)
+    found = index.search(asked, 10, exclude_self=True)
+    return neighbors.recall(found, truth).select("expected", (F.col("recall") >= 0.9).alias("good"))
+
+
 _SLOTS_SQL = """tok AS (SELECT {id} AS id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
     lambda w: w <> '')) AS w FROM {table}),
     cnt AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 384 AS slot, count(*) AS c FROM tok GROUP BY 1, 2),

@@ -19,11 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claravoz.functions import vectors as fv
-from claravoz.operators.neighbors import BLOCK_ROWS, BROADCAST_BYTES, DIGITS, _field, _matrix, _top_k, blocked_sides
+from claravoz.operators.neighbors import (
+    BLOCK_ROWS, BROADCAST_BYTES, DIGITS, _field, _matrix, _top_k, blocked_sides, exact_knn, recall,
+)
 from claravoz.scratch import reliable_checkpoint
 
 _CHUNK_CELLS = 4_000_000
@@ -139,25 +141,38 @@ def learn(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", cells: i
 class VectorIndex:
     """Rows (cell, id, code, vec) of unit vectors at ``path``, with their quantiser."""
 
-    def __init__(self, spark: SparkSession, path: str, quantiser: Quantiser) -> None:
+    def __init__(self, spark: SparkSession, path: str, quantiser: Quantiser, probes: int = 16,
+                 candidates: int = 100) -> None:
         self.spark, self.path, self.quantiser = spark, path, quantiser
+        self.probes, self.candidates = probes, candidates
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, id_col: str = "id", vec_col: str = "vec", **options) -> VectorIndex:
         """Learn a quantiser (options of :func:`learn`), store it, and index every vector."""
-        index = cls(vectors.sparkSession, path, learn(vectors, id_col, vec_col, **options))
-        entries = [(-1, i, c.tolist()) for i, c in enumerate(index.quantiser.centroids)] \
-            + [(p, i, c.tolist()) for p, b in enumerate(index.quantiser.books) for i, c in enumerate(b)]
-        vectors.sparkSession.createDataFrame(entries, _ENTRY).write.parquet(f"{path}/quantiser")
+        index = cls.create(vectors.sparkSession, path, learn(vectors, id_col, vec_col, **options))
         index.add(vectors, id_col, vec_col)
         return index
 
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, quantiser: Quantiser) -> VectorIndex:
+        """An index without vectors; ``path`` must not hold one."""
+        entries = [(-1, i, c.tolist()) for i, c in enumerate(quantiser.centroids)] \
+            + [(p, i, c.tolist()) for p, b in enumerate(quantiser.books) for i, c in enumerate(b)]
+        spark.createDataFrame(entries, _ENTRY).write.parquet(f"{path}/quantiser")
+        index = cls(spark, path, quantiser)
+        index._save_settings()
+        return index
+
+    def _save_settings(self) -> None:
+        self.spark.createDataFrame([(self.probes, self.candidates)], "probes int, candidates int").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{self.path}/settings")
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorIndex:
         rows = spark.read.parquet(f"{path}/quantiser").orderBy("part", "entry").collect()
         centroids = np.array([r["vals"] for r in rows if r["part"] < 0])
         books = [[r["vals"] for r in rows if r["part"] == p] for p in range(max(r["part"] for r in rows) + 1)]
-        return cls(spark, path, Quantiser(centroids, np.array(books)))
+        return cls(spark, path, Quantiser(centroids, np.array(books)), *spark.read.parquet(f"{path}/settings").first())
 
     def add(self, vectors: DataFrame, id_col: str = "id", vec_col: str = "vec") -> None:
         """Append vectors under the quantiser as it is; null vectors are left out."""
@@ -180,7 +195,7 @@ class VectorIndex:
         return self.spark.read.parquet(f"{self.path}/vectors")
 
     def _probed(self, queries: DataFrame, probes: int, query_id: str, query_vec: str) -> DataFrame:
-        """(query_id, cell, query_vec): every query with its ``probes`` nearest cells."""
+        """(query_id, cell, nth, query_vec): every query with its ``probes`` nearest cells."""
         shared = self.spark.sparkContext.broadcast(self.quantiser.centroids)
         asked = queries.where(F.col(query_vec).isNotNull()).select(query_id, query_vec)
 
@@ -191,22 +206,54 @@ class VectorIndex:
                     ids, m = pdf[query_id].to_numpy()[i:i + step], _matrix(pdf[query_vec].iloc[i:i + step])
                     cells = np.argsort(_distances(m, shared.value), axis=1, kind="stable")[:, :probes]
                     which = np.repeat(np.arange(len(m)), cells.shape[1])
-                    yield pd.DataFrame({query_id: ids[which], "cell": cells.ravel(), query_vec: list(m[which])})
+                    nth = np.tile(np.arange(cells.shape[1]), len(m))
+                    yield pd.DataFrame({query_id: ids[which], "cell": cells.ravel(), "nth": nth, query_vec: list(m[which])})
+
+        return asked.mapInPandas(nearest, f"{_field(asked, query_id)}, cell int, nth int, `{query_vec}` array<double>")
 
-        return asked.mapInPandas(nearest, f"{_field(asked, query_id)}, cell int, `{query_vec}` array<double>")
+    def calibrate(self, target: float = 0.95, k: int = 10, queries: int = 100) -> float:
+        """Set and store ``probes`` and ``candidates`` for a share of ``target`` of the true
+        neighbours, and return the share that was measured.
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int = 16, candidates: int = 100,
+        Asked are ``queries`` indexed vectors, the first by MD5 of their ids, against all
+        others, exactly. The cells of what they find say how many cells to probe; then
+        candidates are doubled until the share is reached or every probed vector is one.
+        """
+        rows = self.rows()
+        asked = reliable_checkpoint(rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(queries)
+                                    .select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")))
+        truth = reliable_checkpoint(exact_knn(asked, rows, k, exclude_self=True))
+        place = Window.partitionBy("query_id").orderBy("nth")
+        ranked = self._probed(asked, len(self.quantiser.centroids), "query_id", "query_vec") \
+            .withColumn("rank", F.row_number().over(place)).select("query_id", "cell", "rank")
+        cells = truth.join(rows.select("id", "cell"), "id")
+        # leave half of what may be missed to the cells, half to the codes
+        share = (1 + target) / 2
+        needed = cells.join(ranked, ["query_id", "cell"]).agg(F.percentile("rank", F.lit(share))).first()[0]
+        self.probes, self.candidates = math.ceil(needed or 1), 10 * k
+        total = rows.count()
+        while True:
+            found = recall(self.search(asked, k, exclude_self=True), truth).first()["recall"]
+            if found is None or found >= target or self.candidates >= total:
+                break
+            self.candidates *= 2
+        self._save_settings()
+        return 1.0 if found is None else found
+
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, candidates: int | None = None,
                query_id: str = "query_id", query_vec: str = "query_vec", exclude_self: bool = False,
                among: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
         """The k nearest vectors of every query: (query_id, id, distance, position).
 
         Of the ``probes`` cells nearest to a query, the ``candidates`` vectors with the
-        nearest codes are compared exactly. ``among`` (id) restricts the vectors before
+        nearest codes are compared exactly; without these two the index's own are taken,
+        which :meth:`calibrate` sets. ``among`` (id) restricts the vectors before
         the codes are ranked. Equal distances are ordered by id. A query without a vector
         has no hits; a query id that repeats is one query for each of its vectors' hits.
         """
+        probes, candidates = probes or self.probes, candidates or self.candidates
         shared = self.spark.sparkContext.broadcast(self.quantiser)
-        asked = reliable_checkpoint(self._probed(queries, probes, query_id, query_vec))
+        asked = reliable_checkpoint(self._probed(queries, probes, query_id, query_vec).drop("nth"))
         # at most one number for each centroid, which the driver holds anyway
         cells = [r["cell"] for r in asked.select("cell").distinct().collect()]
         vectors = self.rows()

@@ -55,6 +55,16 @@ def test_append_and_among(spark):
     assert {r["id"] % 7 for r in few.collect()} == {0} and few.count() == 48
 
 
+def test_calibrated_settings_are_kept(spark):
+    v = rows(spark, 900, 40, seed=3)
+    index = VectorIndex.build(v, scratch_path(spark, "index"), cells=30, parts=5, entries=16, rounds=3)
+    assert index.calibrate(0.9, k=5, queries=30) >= 0.9
+    again = VectorIndex.load(spark, index.path)
+    assert (again.probes, again.candidates) == (index.probes, index.candidates) and index.probes < 30
+    truth = neighbors.exact_knn(asked(v), v, 5, exclude_self=True)
+    assert neighbors.recall(again.search(asked(v), 5, exclude_self=True), truth).first()["recall"] >= 0.85
+
+
 def test_learning_lowers_the_error(spark):
     v = rows(spark, 800, 16)
     m = neighbors._matrix([r["vec"] for r in v.collect()])
