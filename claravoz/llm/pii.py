@@ -2,19 +2,24 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Then the
 corpus tells which words reveal them. For an entity ``e`` (one address or number)
-and a term ``t`` near it, the pointwise mutual information of their documents says
-how many of the bits that identify ``e`` are known from ``t``:
+and a term ``t`` of the same document, the pointwise mutual information of their
+documents says how many of the bits that identify ``e`` are known from ``t``:
 
-    PMI(e, t) / IC(e) = log2(n(e, t) N / (n(e) n(t))) / log2(N / n(e))
+    PMI(e, t) / IC(e) = log2(P(e | t) N / n(e)) / log2(N / n(e))
+    P(e | t) = (n(e, t) + n(e) / N) / (n(t) + 1)
 
+The estimate is smoothed by one document that is like the whole corpus, so an entity
+of a single text counts, too, and a chance meeting counts for less than a habit.
 Terms at or over the disclosure threshold are generalised; those that give the
-entity away completely are removed. (Sanchez and Batet, Automatic General-Purpose
-Sanitization of Textual Documents.) A term needs ``support`` different texts with
-the entity, as nothing can be estimated from one.
-
-Counts are over all documents. Only terms near an entity move; the document
-frequencies of the candidates among them come from one more pass, in which a
-Bloom filter of fixed size leaves all other words in the tasks.
+entity away completely, and did so in ``support`` documents, are removed, wherever they
+stand in a document with the entity. (Sanchez and Batet, Automatic General-Purpose
+Sanitization of Textual Documents.)
+
+Counts are over all documents and whole texts. As n(e, t) is at most n(e), a term
+with n(t) over (n(e) + n(e) / N) (N / n(e))^(1 - threshold) - 1 cannot disclose e; such
+terms lose no disclosure when they are left out before the pairs are counted.
+Entities of the same set of documents have the same counts and are one class, so a
+list of addresses pairs with a term once.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from claravoz.llm.tables import row_id, stored, text_key, text_of
+from claravoz.llm.tables import join_by_run, row_id, stored, text_key, text_of
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("generalise", "remove")
@@ -43,7 +48,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
-_AROUND, _WITHIN = 8, 400
 _FILTER_BITS = 23
 
 
@@ -84,34 +88,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def context(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words around each span: up to 8 words within
-    400 characters on each side, lower-cased, none of them part of a span."""
+def entity(kind: str, value: str) -> str:
+    """An address in lower case, a number by its digits, after the kind."""
+    return f"{kind}:{value.lower() if kind == 'email' else ''.join(_DIGIT.findall(value))}"
+
+
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words, lower-cased, that no span touches."""
     taken = sorted((a, b) for _, a, b in spans)
-    for kind, start, end in spans:
-        value = text[start:end].lower() if kind == "email" else "".join(_DIGIT.findall(text[start:end]))
-        left = max(0, start - _WITHIN)
-        before = list(_WORD.finditer(text, left, start))[-_AROUND:]
-        after = [m for m, _ in zip(_WORD.finditer(text, end, min(len(text), end + _WITHIN)), range(_AROUND))]
-        for m in before + after:
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                yield f"{kind}:{value}", m.group().lower(), m.start(), m.end()
+    at, reach = 0, 0
+    for m in _WORD.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= m.start():
+            yield m.group().lower(), m.start(), m.end()
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def _split(base: str) -> list[tuple[str, int, int]]:
+    return [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(","))] if base else []
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: uid, doc_id, ``text_key``, ``base`` (its spans, joined), the
-    number of each kind, base_sha256, and ``near``, the words around its spans."""
+    """One row per document: uid, run, doc_id, ``text_key``, ``base`` (its spans, joined), the
+    number of each kind, base_sha256, its ``entities``, and its text if it has any."""
     keys = text_key(docs)
-    carried = ["uid", "doc_id", *keys]
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    carried = ["uid", "run", "doc_id", *keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, numbers, digest, near = [], [[] for _ in BASE], [], []
+            base, numbers, digest, entities, held = [], [[] for _ in BASE], [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
                 spans = base_spans(text)
@@ -119,17 +129,19 @@ def scan(docs: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(base[-1].encode()).hexdigest())
                 for out, kind in zip(numbers, BASE):
                     out.append(sum(s[0] == kind for s in spans))
-                near.append([dict(zip(("entity", "term", "start", "end"), x)) for x in context(text, spans)] if spans else [])
+                entities.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
+                held.append(text if spans else None)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in carried), pa.array(base, pa.string()), *(pa.array(n, pa.int64()) for n in numbers),
-                 pa.array(digest, pa.string()), pa.array(near, near_type)],
-                names=[*carried, "base", *(f"n_{k}" for k in BASE), "base_sha256", "near"])
+                 pa.array(digest, pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array(held, pa.string())],
+                names=[*carried, "base", *(f"n_{k}" for k in BASE), "base_sha256", "entities", "held"])
 
-    rows = docs.select(row_id().alias("uid"), "doc_id", *(c.alias(n) for n, c in keys.items()), text_of(docs).alias("text"))
+    rows = docs.select(row_id().alias("uid"), F.spark_partition_id().alias("run"), "doc_id",
+                       *(c.alias(n) for n, c in keys.items()), text_of(docs).alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     numbers = ", ".join(f"n_{k} long" for k in BASE)
     return stored(rows.mapInArrow(
-        run, f"{kinds}, base string, {numbers}, base_sha256 string, near array<struct<entity: string, term: string, start: int, end: int>>"), "spans")
+        run, f"{kinds}, base string, {numbers}, base_sha256 string, entities array<string>, held string"), "spans")
 
 
 def _slot(word: str) -> int:
@@ -172,21 +184,56 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term", "left_semi")
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float, support: int) -> DataFrame:
-    """(entity, term, share): terms that reveal an entity, and how much of it (0 to 1)."""
-    near = scanned.select("uid", "_key_text", "_key_size", F.explode("near").alias("x")).select(
-        "uid", "_key_text", "_key_size", F.col("x.entity").alias("entity"), F.col("x.term").alias("term"))
-    each = near.distinct()
-    together = each.groupBy("entity", "term", "_key_text", "_key_size").agg(F.count(F.lit(1)).alias("rows")) \
-        .groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    together = stored(together, "together")
-    entities = near.select("uid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = stored(document_frequency(docs, together.select("term").distinct()), "frequency")
-    total = F.lit(float(scanned.count()))
+def document_terms(scanned: DataFrame) -> DataFrame:
+    """(run, uid, term): the distinct terms of every document with an entity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, base = batch.column("held")[i].as_py(), batch.column("base")[i].as_py()
+                terms = sorted({t for t, _, _ in terms_of(text, _split(base))})
+                own = [pa.array([batch.column(c)[i].as_py()] * len(terms), k) for c, k in (("run", pa.int32()), ("uid", pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(terms, pa.string())], names=["run", "uid", "term"])
+
+    return scanned.where("held IS NOT NULL").select("run", "uid", "base", "held").mapInArrow(run, "run int, uid long, term string")
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float, certain: float, support: int) -> DataFrame:
+    """(uid, term, kind): the terms of every document that reveal one of its entities."""
+    total = float(scanned.count())
+    named = scanned.select("run", "uid", F.explode("entities").alias("entity"))
+    # entities of the same documents have the same digests of their sets of documents
+    sets = stored(named.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_entity"), F.bit_xor(F.xxhash64("uid")).alias("set_a"),
+        F.bit_xor(F.xxhash64(F.lit("b"), "uid")).alias("set_b")), "entities")
+    most = F.col("n_entity") * (1 + 1 / total) * F.pow(total / F.col("n_entity"), F.lit(1 - threshold)) - 1 if total else F.lit(0.0)
+    reach = sets.where(F.col("n_entity") < total).agg(F.max(most)).first()[0] or 0.0
+    classes = join_by_run(named, "entity", sets).where(F.col("n_entity") < total) \
+        .select("uid", "n_entity", "set_a", "set_b").distinct()
+    terms = stored(document_terms(scanned), "terms")
+    known = stored(document_frequency(docs, terms.select("term").distinct()).where(F.col("n") <= reach + 1e-6), "frequency")
+    pairs = join_by_run(terms, "term", known).join(classes, "uid").where(F.col("n") <= most + 1e-6).select(
+        "run", "uid", "term", "n", "n_entity", F.concat_ws(":", F.hex("set_a"), F.hex("set_b"), "term").alias("pair"))
+    pairs = stored(pairs, "pairs")
     content = F.log2(total / F.col("n_entity"))
-    mutual = F.log2(F.col("both") * total / (F.col("n_entity") * F.col("n")))
-    return together.join(entities, "entity").join(terms, "term").select(
-        "entity", "term", F.when(content > 0, mutual / content).otherwise(0.0).alias("share")).where(F.col("share") >= threshold)
+    smooth = F.log2((F.col("both") * total / F.col("n_entity") + 1) / (F.col("n") + 1)) / content
+    plain = F.log2(F.col("both") * total / (F.col("n_entity") * F.col("n"))) / content
+    found = pairs.groupBy("pair").agg(
+        F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.first("n_entity").alias("n_entity")).where(smooth >= threshold).select(
+        "pair", F.when((plain >= certain) & (F.col("both") >= support), ADDED[1]).otherwise(ADDED[0]).alias("kind"))
+    told = join_by_run(pairs.select("run", "uid", "term", "pair"), "pair", stored(found, "disclosing"))
+    return told.groupBy("uid", "term").agg(F.max("kind").alias("kind"))
+
+
+@F.arrow_udf(StringType())
+def _added(texts: pa.Array, bases: pa.Array, generalised: pa.Array, removed: pa.Array) -> pa.Array:
+    """Spans of every occurrence of the terms, by kind, then start, joined."""
+    out = []
+    for text, base, *terms in zip(texts, bases, generalised, removed):
+        kinds = {t: k for k, ts in zip(ADDED, terms) for t in ts.as_py() or ()}
+        spans = [(kinds[t], a, b) for t, a, b in terms_of(text.as_py(), _split(base.as_py())) if t in kinds] if kinds else []
+        out.append(_joined(sorted(spans)))
+    return pa.array(out, pa.string())
 
 
 def find_spans(docs: DataFrame, threshold: float = 0.8, certain: float = 0.98, support: int = 3) -> DataFrame:
@@ -194,19 +241,20 @@ def find_spans(docs: DataFrame, threshold: float = 0.8, certain: float = 0.98, s
     spans (base spans, then ``generalise`` and ``remove`` ones), n_added, ``text_key``.
 
     ``spans`` is kind:start:end, comma-joined, by kind, then start. A null text is
-    empty. Repeated rows and null ids are kept; an empty table gives an empty result.
+    empty. Repeated rows and null ids are kept, and repeats count as documents; an entity
+    of all documents tells nothing. An empty table gives an empty result.
     """
     scanned = scan(docs)
-    found = disclosing(docs, scanned, threshold, support)
-    told = scanned.select("uid", F.explode("near").alias("x")).select("uid", "x.*").join(found, ["entity", "term"])
-    kind = F.when(F.col("share") >= certain, ADDED[1]).otherwise(ADDED[0])
-    added = told.groupBy("uid", "start", "end").agg(F.max(kind).alias("kind")).groupBy("uid").agg(
-        F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
-    listed = F.transform("added", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
-    parts = F.filter(F.concat(F.array("base"), F.coalesce(listed, F.array().cast("array<string>"))), lambda s: s != "")
-    return scanned.join(added, "uid", "left").select(
-        "doc_id", *(f"n_{k}" for k in BASE), "base_sha256", F.array_join(parts, ",").alias("spans"),
-        F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"), *text_key(docs))
+    of = {k: F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(k) for k in ADDED}
+    terms = disclosing(docs, scanned, threshold, certain, support).groupBy("uid").agg(*of.values())
+    own = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256"]
+    keys = list(text_key(docs))
+    marked = scanned.where("held IS NOT NULL").join(terms, "uid", "left").select(
+        *own, "base", _added("held", "base", *ADDED).alias("added"), *keys)
+    rows = marked.unionByName(scanned.where("held IS NULL").select(*own, "base", F.lit("").alias("added"), *keys))
+    parts = F.filter(F.array("base", "added"), lambda s: s != "")
+    number = F.when(F.col("added") == "", 0).otherwise(F.size(F.split("added", ",")))
+    return rows.select(*own, F.array_join(parts, ",").alias("spans"), number.cast("long").alias("n_added"), *keys)
 
 
 @F.arrow_udf(StringType())
