@@ -94,7 +94,7 @@ def test_all_spans_equal_brute_force(spark):
     assert [got[d][0] for d, _ in rows] == want
     assert all(n == sum(s.startswith(("gen", "rem")) for s in spans.split(",")) for spans, n in got.values())
     assert sum(w.count("remove") for w in want) > 5 and sum(w.count("generalise") for w in want) > 20
-    assert got[201][0].count("generalise") == 2
+    assert got[201][0].count("generalise") == 3  # the name twice, and "rest", which no other text has
 
 
 def test_a_name_far_from_the_address_is_found(spark):
