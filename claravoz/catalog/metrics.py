@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claravoz.catalog import survey as sv
@@ -9,7 +12,7 @@ from claravoz.catalog.cleaning import PREPROCESSED_SQL, _classes_sql
 from claravoz.catalog.registry import query, table
 from claravoz.catalog.survey import SURVEY_SQL, survey
 from claravoz.functions import dates, scoring, text
-from claravoz.operators import feedback, quality, schema, telemetry
+from claravoz.operators import cardinality, feedback, quality, schema, telemetry
 
 _FIELDS = ("plan", "region", "NPS_GRUPO", "comentario", "pain_points", "fcr")
 
@@ -130,7 +133,7 @@ def column_stats(spark, d):
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
     "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"), ("l_returnflag", "l_linestatus")))
 def column_stats_lineitem(spark, d):
-    return quality.column_stats(table(spark, d, "lineitem", spread=True), columns_per_pass=6)
+    return quality.column_stats(table(spark, d, "lineitem", spread=True))
 
 
 _DESCRIBED = ("o_custkey", "o_totalprice", "o_orderstatus")
@@ -163,15 +166,73 @@ def content_hash(spark, d):
     return quality.content_hash(table(spark, d, "documents"))
 
 
-@query("audit_record", f"""SELECT 'v1' AS schema_version, count(*) AS rows, 5 AS "columns",
-       'passed' AS status, 0.0::DOUBLE AS null_percentage, 'INFO: 2 columns not mapped to canonical schema' AS alerts,
-       count(DISTINCT c_mktsegment) AS segments, count(DISTINCT c_name) AS names FROM customer""")
+_CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+_CUSTOMER_DIGEST = "sha256(to_json({" + ", ".join(f"'{c}': {c}" for c in _CUSTOMER) + "}))"
+
+
+def _listed_sql(value):
+    """SQL of name=value of all columns, in order of names."""
+    return " || '|' || ".join(f"'{c}=' || {value.format(c=c)}" for c in sorted(_CUSTOMER))
+
+
+@query("audit_record", f"""WITH c AS (SELECT c_custkey, nullif(c_name, 'Customer#000000007') AS c_name, c_nationkey,
+           c_acctbal, if(c_mktsegment = 'BUILDING', '', c_mktsegment) AS c_mktsegment FROM customer)
+       SELECT 'v1' AS schema_version, count(*) AS rows, 5 AS "columns",
+       'passed' AS status, count(*) - count(c_name) AS null_names, 'INFO: 2 columns not mapped to canonical schema' AS alerts,
+       {_listed_sql("(count(*) - count({c}))")} AS nulls,
+       {_listed_sql("count(*) FILTER (CAST({c} AS VARCHAR) = '')")} AS empty_strings,
+       {_listed_sql("count(DISTINCT {c})")} AS distincts,
+       CAST(sum(CAST(('0x' || substr({_CUSTOMER_DIGEST}, 1, 15)) AS HUGEINT)) AS VARCHAR) AS content_hash FROM c""")
 def audit_record(spark, d):
-    audit = quality.audit_record(table(spark, d, "customer"), "v1", "customer", "out", 2, 3)
+    customer = table(spark, d, "customer").select(
+        "c_custkey", F.nullif("c_name", F.lit("Customer#000000007")).alias("c_name"), "c_nationkey", "c_acctbal",
+        F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    audit = quality.audit_record(customer, "v1", "customer", "out", 2, 3)
+
+    def listed(name):
+        return F.array_join(F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias(name)
+
     return quality.validate_audit(audit).select(
-        "schema_version", "rows", "columns", "status", "null_percentage",
-        F.array_join("alerts", "|").alias("alerts"),
-        F.col("distincts")["c_mktsegment"].alias("segments"), F.col("distincts")["c_name"].alias("names"))
+        "schema_version", "rows", "columns", "status", F.col("nulls")["c_name"].alias("null_names"),
+        F.array_join("alerts", "|").alias("alerts"), listed("nulls"), listed("empty_strings"), listed("distincts"), "content_hash")
+
+
+def _order_audits(spark, d):
+    """Audits of the orders of each year, with sketches; statuses of later years are blanked."""
+    orders = table(spark, d, "orders").select(
+        F.year("o_orderdate").alias("year"), F.when(F.year("o_orderdate") < 1999, F.col("o_orderstatus")).alias("status"),
+        F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    audits = [quality.audit_record(orders.where(F.col("year") == y).drop("year"), str(y), "orders", "out", sketch_bits=12)
+              for y in range(1995, 2002)]
+    return cardinality.column_history(reduce(DataFrame.unionByName, audits))
+
+
+_YEARS_SQL = """WITH o AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS version,
+        CASE WHEN year(o_orderdate) < 1999 THEN o_orderstatus END AS status, o_orderpriority AS priority,
+        strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001),
+    cells AS (FROM o UNPIVOT INCLUDE NULLS (v FOR "column" IN (status, priority, month))),
+    counted AS (SELECT version, "column", count(*) AS rows, count(*) - count(v) AS nulls, list(DISTINCT v) FILTER (v IS NOT NULL) AS vals
+        FROM cells GROUP BY ALL)"""
+
+
+@query("total_cardinality", _YEARS_SQL + """ SELECT "column", count(DISTINCT version) AS versions, count(*) AS rows,
+    count(DISTINCT v) AS distincts FROM cells GROUP BY "column\"""")
+def total_cardinality(spark, d):
+    return cardinality.total_cardinality(_order_audits(spark, d))
+
+
+@query("cardinality_drift", _YEARS_SQL + """, sets AS (SELECT *, coalesce(vals, []) AS s FROM counted),
+    pairs AS (SELECT *, lag(version) OVER w AS previous, lag(s) OVER w AS t, lag(nulls / rows) OVER w AS null_share_before
+        FROM sets WINDOW w AS (PARTITION BY "column" ORDER BY version)),
+    diffs AS (SELECT version, previous, "column", len(s) AS distincts, len(t) AS distincts_before,
+        len(list_filter(s, lambda x: NOT list_contains(t, x))) AS gained, len(list_filter(t, lambda x: NOT list_contains(s, x))) AS lost,
+        nulls / rows AS null_share, null_share_before FROM pairs WHERE previous IS NOT NULL)
+    SELECT *, concat_ws(',', CASE WHEN distincts_before - distincts > 0.5 * distincts_before THEN 'collapsed' END,
+        CASE WHEN distincts - distincts_before > 0.5 * distincts_before THEN 'grown' END,
+        CASE WHEN lost > 0.5 * distincts_before THEN 'replaced' END,
+        CASE WHEN abs(null_share - null_share_before) > 0.5 THEN 'null_share' END) AS alerts FROM diffs""")
+def cardinality_drift(spark, d):
+    return cardinality.cardinality_drift(_order_audits(spark, d)).withColumn("alerts", F.array_join("alerts", ","))
 
 
 _AUDITS_SQL = """a AS (SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'P') AS rows,

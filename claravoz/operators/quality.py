@@ -4,7 +4,9 @@ Null, blank, padding and type-detection flags are plain sums: every task adds
 them up and one row per task moves. Only when duplicate rows or the content hash
 are asked for is each row reduced to a binary digest and its flags packed into
 long masks; grouping by these with a count gives everything from one scan and
-one shuffle of narrow rows, and copies of a row combine before the shuffle.
+one shuffle of narrow rows, and copies of a row combine before the shuffle. Distinct
+counts, audits and their sketches likewise come from one scan: cells become narrow
+(column, key) rows that combine in their task.
 """
 
 from __future__ import annotations
@@ -277,37 +279,107 @@ def quality_issues(df: DataFrame) -> DataFrame:
 # --- column statistics ------------------------------------------------------------------
 
 
-def column_stats(df: DataFrame, approximate: bool = False, columns_per_pass: int = 32) -> DataFrame:
-    """Null, blank and distinct count of every column: (column, nulls, empty_strings, distincts).
+_NESTED = (T.ArrayType, T.StructType, T.MapType, T.VariantType)
+#: A row's digits in the content hash are summed in parts, whose sums stay longs for 2^43 rows.
+_PARTS, _PART_BITS = 3, 20
+
+
+def value_key(value: Column, data_type: T.DataType) -> tuple[Column, Column]:
+    """Two longs that tell values apart as their 128 bits do, null for null.
+
+    Nested values count by their JSON, whose nulls a hash would pass over; 0.0 and -0.0
+    are one value, and so are all NaN.
+    """
+    plain = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}) if isinstance(data_type, _NESTED) else value
+    return (F.when(value.isNotNull(), F.xxhash64(plain)), F.when(value.isNotNull(), F.xxhash64(F.lit(1), plain)))
+
+
+def _hash_digits(df: DataFrame) -> Column:
+    """The leading digits of the row digest, which the content hash sums."""
+    return F.conv(F.substring(row_digest(cells_of(df)), 1, _HASH_DIGITS), 16, 10)
 
-    Exact distinct counts expand each row once per column before partial
-    aggregation, so wide tables are handled ``columns_per_pass`` at a time.
-    ``approximate`` uses sketches and needs no such expansion.
+
+def _part(digits: Column, i: int) -> Column:
+    """Part ``i`` of the digits, from the lowest; 0 beyond the last."""
+    if i >= _PARTS:
+        return F.lit(0).cast("long")
+    return F.shiftright(digits, _PART_BITS * i).bitwiseAND(F.lit((1 << _PART_BITS) - 1).cast("long"))
+
+
+def cell_totals(df: DataFrame, content: bool = False, sketch_bits: int | None = None) -> DataFrame:
+    """One row with ``totals``: place of a column -> nulls, empties, distincts, times, amount, sketch.
+
+    Every cell is (place, key), in one scan; equal cells combine in their task before
+    the only large shuffle, which moves narrow rows, so a null or a common value is one
+    row a task. A theta sketch of ``sketch_bits`` is made of the distinct keys. With
+    ``content`` the first cells of a row carry the parts of its content hash as amounts.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    parts = []
     cells = cells_of(df)
-    for start in range(0, len(cells), columns_per_pass):
-        chunk = cells[start:start + columns_per_pass]
-        aggregates = []
-        for i, (_, value, data_type) in enumerate(chunk):
-            blank = value == "" if isinstance(data_type, T.StringType) else F.lit(False)
-            aggregates += [
-                F.count_if(value.isNull()).alias(f"n{i}"),
-                F.count_if(blank).alias(f"e{i}"),
-                distinct(value).alias(f"d{i}"),
-            ]
-        one_row = df.agg(*aggregates)
-        parts.append(one_row.select(F.explode(F.array(*(
-            F.struct(
-                F.lit(cell.name).alias("column"), F.col(f"n{i}").alias("nulls"),
-                F.col(f"e{i}").alias("empty_strings"), F.col(f"d{i}").alias("distincts"),
-            ) for i, cell in enumerate(chunk)
-        ))).alias("s")).select("s.*"))
-    stats = parts[0]
-    for part in parts[1:]:
-        stats = stats.unionByName(part)
-    return stats
+    places = max(len(cells), _PARTS if content else 1)
+    taken, name = {c.lower() for c in df.columns}, "_digits"
+    while name in taken:
+        name = f"_{name}"
+    none = F.lit(None).cast("long")
+    keys = [value_key(cell.value, cell.data_type) for cell in cells] + [(none, none)] * (places - len(cells))
+    entries = [F.struct(F.lit(i).alias("place"), a.alias("a"), b.alias("b"), *([_part(F.col(name), i).alias("amount")] if content else []))
+               for i, (a, b) in enumerate(keys)]
+    rows = df.withColumn(name, _hash_digits(df).cast("long")) if content else df
+    amount = [F.sum("amount").alias("amount")] if content else []
+    distinct = rows.select(F.explode(F.array(*entries)).alias("e")).select("e.*").groupBy("place", "a", "b").agg(
+        F.count(F.lit(1)).alias("times"), *amount)
+    empty_a, empty_b = value_key(F.lit(""), T.StringType())
+    by_place = distinct.groupBy("place").agg(
+        F.sum(F.when(F.col("a").isNull(), F.col("times")).otherwise(0)).alias("nulls"),
+        F.sum(F.when((F.col("a") == empty_a) & (F.col("b") == empty_b), F.col("times")).otherwise(0)).alias("empty_strings"),
+        F.count("a").alias("distincts"), F.sum("times").alias("times"), *(amount or [F.lit(0).cast("long").alias("amount")]),
+        (F.theta_sketch_agg("a", sketch_bits) if sketch_bits else F.lit(None).cast("binary")).alias("sketch"))
+    # bounded: one entry per column of the schema
+    return by_place.agg(F.map_from_entries(F.collect_list(F.struct(
+        "place", F.struct("nulls", "empty_strings", "distincts", "times", "amount", "sketch")))).alias("totals"))
+
+
+def _total(place: int, field: str) -> Column:
+    return F.coalesce(F.try_element_at("totals", F.lit(place))[field], F.lit(0).cast("long"))
+
+
+def _approximate_totals(df: DataFrame, content: bool = False) -> DataFrame:
+    """The same row from one aggregate without keys: a row a task moves, distincts are estimates."""
+    cells = cells_of(df)
+    aggregates = [F.count(F.lit(1)).alias("rows")]
+    for i in range(_PARTS):
+        aggregates.append((F.sum(_part(_hash_digits(df).cast("long"), i)) if content else F.lit(0).cast("long")).alias(f"h{i}"))
+    for i, (_, value, kind) in enumerate(cells):
+        aggregates += [
+            F.count_if(value.isNull()).alias(f"n{i}"),
+            F.count_if(value == "" if isinstance(kind, T.StringType) else F.lit(False)).alias(f"e{i}"),
+            F.approx_count_distinct(value_key(value, kind)[0]).alias(f"d{i}"),
+        ]
+
+    def of(i: int, letter: str, most: int) -> Column:
+        return F.col(f"{letter}{i}") if i < most else F.lit(0).cast("long")
+
+    return df.agg(*aggregates).select(F.map_from_entries(F.array(*(
+        F.struct(F.lit(i).alias("place"), F.struct(
+            of(i, "n", len(cells)).alias("nulls"), of(i, "e", len(cells)).alias("empty_strings"), of(i, "d", len(cells)).alias("distincts"),
+            F.col("rows").alias("times"), of(i, "h", _PARTS).alias("amount"), F.lit(None).cast("binary").alias("sketch")).alias("of"))
+        for i in range(max(len(cells), _PARTS))))).alias("totals"))
+
+
+def column_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """Null, blank and distinct count of every column: (column, nulls, empty_strings, distincts).
+
+    One scan, however many columns. Exact counts shuffle the distinct (column, value key)
+    pairs; ``approximate`` shuffles one row a task. Text alone has blanks. An empty
+    table gives zeros.
+    """
+    totals = _approximate_totals(df) if approximate else cell_totals(df)
+    return totals.select(F.explode(F.array(*(
+        F.struct(
+            F.lit(cell.name).alias("column"), _total(i, "nulls").alias("nulls"),
+            (_total(i, "empty_strings") if isinstance(cell.data_type, T.StringType) else F.lit(0).cast("long")).alias("empty_strings"),
+            _total(i, "distincts").alias("distincts"),
+        ) for i, cell in enumerate(cells_of(df))
+    ))).alias("s")).select("s.*")
 
 
 def describe(df: DataFrame) -> DataFrame:
@@ -343,7 +415,7 @@ def content_hash(df: DataFrame) -> DataFrame:
     The hash sums the leading digits of every row digest, so duplicates count
     and neither sampling nor sorting nor collecting is needed.
     """
-    digits = F.conv(F.substring(row_digest(cells_of(df)), 1, _HASH_DIGITS), 16, 10)
+    digits = _hash_digits(df)
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(digits.cast("decimal(19,0)")).cast("decimal(38,0)"), F.lit(0))
@@ -353,30 +425,37 @@ def content_hash(df: DataFrame) -> DataFrame:
 
 def audit_record(df: DataFrame, schema_version: str, source: str, output: str,
                  unmapped_count: int | None = None, mapped_count: int | None = None,
-                 approximate: bool = False) -> DataFrame:
-    """One audit row: counts, per-column maps, content hash, mapping summary."""
-    stats = column_stats(df, approximate)
+                 approximate: bool = False, sketch_bits: int | None = None) -> DataFrame:
+    """One audit row: counts, per-column maps, content hash, mapping summary; one scan.
 
-    def by_column(field: str) -> Column:
-        return F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", field))))
+    With ``sketch_bits`` (exact counts only) also ``sketches``, a theta sketch of each
+    column's values: ``operators.cardinality`` compares and unites those of a history.
+    """
+    if approximate and sketch_bits:
+        raise ValueError("sketches are made of exact counts")
+    cells = cells_of(df)
+    totals = _approximate_totals(df, content=True) if approximate else cell_totals(df, content=True, sketch_bits=sketch_bits)
 
-    # bounded: one entry per column of the schema
-    maps = stats.agg(
-        by_column("nulls").alias("nulls"), by_column("empty_strings").alias("empty_strings"),
-        by_column("distincts").alias("distincts"),
-    )
-    # both sides hold exactly one row; the key makes it a plain join
-    one = F.lit(1).alias("_one")
-    return content_hash(df).withColumn("_one", one).join(
-        maps.withColumn("_one", one), "_one"
-    ).select(
+    def by_column(field: str, of: Callable[[int], Column] | None = None) -> Column:
+        found = of or (lambda i: _total(i, field))
+        return F.map_from_entries(F.array_sort(F.array(*(
+            F.struct(F.lit(cell.name).alias("column"), found(i).alias(field)) for i, cell in enumerate(cells)))))
+
+    def empties(i: int) -> Column:
+        return _total(i, "empty_strings") if isinstance(cells[i].data_type, T.StringType) else F.lit(0).cast("long")
+
+    content = sum((_total(i, "amount").cast("decimal(20,0)") * F.lit(1 << _PART_BITS * i).cast("decimal(14,0)")
+                   for i in range(_PARTS)), F.lit(0).cast("decimal(14,0)"))
+    return totals.select(
         F.lit(schema_version).alias("schema_version"), F.lit(source).alias("source"),
-        F.lit(output).alias("output"), "rows",
+        F.lit(output).alias("output"), _total(0, "times").alias("rows"),
         F.lit(len(df.columns)).alias("columns"),
         F.array(*(F.lit(c) for c in df.columns)).alias("column_names"),
-        "nulls", "empty_strings", "distincts", "content_hash",
+        by_column("nulls").alias("nulls"), by_column("empty_strings", empties).alias("empty_strings"),
+        by_column("distincts").alias("distincts"), content.cast("decimal(38,0)").cast("string").alias("content_hash"),
         F.lit(mapped_count).cast("int").alias("mapped_count"),
         F.lit(unmapped_count).cast("int").alias("unmapped_count"),
+        *([by_column("sketch", lambda i: F.try_element_at("totals", F.lit(i))["sketch"]).alias("sketches")] if sketch_bits else []),
     )
 
 

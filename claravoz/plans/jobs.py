@@ -15,6 +15,9 @@ from claravoz.operators.sentiment import score_with_model
 from claravoz.sources import csv_ranges, inventory, readers, records, sinks
 from claravoz.streaming.files import STATUS, with_status
 
+#: Size of the sketches in audits: 2^12 values of a column are held exactly, 32 KB at most.
+SKETCH_BITS = 12
+
 
 @dataclass(frozen=True)
 class IngestResult:
@@ -101,7 +104,7 @@ def ingest(spark: SparkSession, source: str, output: str, history: str, fmt: str
     counts = {r[STATUS]: r["count"] for r in spark.read.parquet(output).groupBy(STATUS).count().collect()}
     good = _status(spark, output, "good")
     audit = quality.validate_audit(quality.audit_record(
-        good, version, source, output, report.unmapped_count, report.mapped_count))
+        good, version, source, output, report.unmapped_count, report.mapped_count, sketch_bits=SKETCH_BITS))
     sinks.append_history(audit, f"{history}/audits")
     sinks.append_history(quality.describe(good).withColumn("version", F.lit(version)),
                          f"{history}/descriptions")
