@@ -336,13 +336,13 @@ def stream_file_ingest(spark, d):
     lines = table(spark, d, "documents", spread=True).select(good.alias("value")).unionByName(
         table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("value")))
     lines.write.text(folder)
-    out = scratch_path(spark, "dropped")
+    out, audits = scratch_path(spark, "dropped"), scratch_path(spark, "drop-audit")
     stream_files.ingest_stream(
         spark, folder, ["doc_id", "lang", "source"], out, scratch_path(spark, "drop-state"),
         clean=lambda b: b.withColumn("source", text.strip(F.col("source"))),
-        audit_path=scratch_path(spark, "drop-audit"), options={"header": "false", "multiLine": "false"},
+        audit_path=audits, options={"header": "false", "multiLine": "false"},
     ).awaitTermination()
-    return spark.read.parquet(out).select("doc_id", "lang", "source", "row_status")
+    return stream_files.committed(spark, out, audits).select("doc_id", "lang", "source", "row_status")
 
 
 # --- jobs -------------------------------------------------------------------------------
