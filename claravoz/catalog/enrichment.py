@@ -16,6 +16,7 @@ from claravoz.plans import jobs
 from claravoz.scratch import scratch_path
 from claravoz.sources import sinks
 from claravoz.streaming import files as stream_files
+from claravoz.streaming import windows
 from claravoz.streaming.limits import token_bucket_stream
 from claravoz.streaming.telemetry import windowed_rollup
 
@@ -307,10 +308,10 @@ _ROLLED_SQL = f"""count(*) AS operations, count(*) AS records, round(sum(value),
     count(value) AS le_inf"""
 
 
-def _windows(rolled):
+def _windows(rolled, *more):
     return rolled.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "operations", "records",
-        F.round("seconds", 4).alias("seconds"), *(f"le_{i}" for i in range(len(telemetry.PROCESSING_BUCKETS))), "le_inf")
+        F.round("seconds", 4).alias("seconds"), *(f"le_{i}" for i in range(len(telemetry.PROCESSING_BUCKETS))), "le_inf", *more)
 
 
 @query("stream_windowed_telemetry", f"""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type, {_ROLLED_SQL}
@@ -320,6 +321,18 @@ def stream_windowed_telemetry(spark, d):
     return _windows(_drained(spark, windowed_rollup(_event_stream(spark, d), "ts", ["event_type"], "value"), "windows"))
 
 
+@query("stream_early_windows", f"""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type, {_ROLLED_SQL}
+       FROM events GROUP BY 1, 2) SELECT strftime(s, '%Y-%m-%d %H:%M') AS window_start, * EXCLUDE (s),
+       s + INTERVAL 70 MINUTE < (SELECT time_bucket(INTERVAL 1 HOUR, max(ts)) FROM events) AS final FROM w""")
+def stream_early_windows(spark, d):
+    """Newest revisions of all windows, the open ones included."""
+    def run():
+        return _drained(spark, windows.early_windows(_event_stream(spark, d), "ts", ["event_type"], "value"), "early-windows")
+
+    newest = windows.latest(windows.with_state_store(spark, run), ["event_type"])
+    return _windows(newest, "final")
+
+
 @query("sliding_telemetry", f"""WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * CAST(i AS INTEGER)) AS s,
        event_type, value FROM events, range(4) AS r(i)) SELECT strftime(s, '%Y-%m-%d %H:%M') AS window_start, event_type,
        {_ROLLED_SQL} FROM w GROUP BY s, event_type""")
