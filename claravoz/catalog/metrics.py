@@ -12,7 +12,7 @@ from claravoz.catalog.cleaning import PREPROCESSED_SQL, _classes_sql
 from claravoz.catalog.registry import query, table
 from claravoz.catalog.survey import SURVEY_SQL, survey
 from claravoz.functions import dates, scoring, text
-from claravoz.operators import cardinality, feedback, quality, schema, telemetry
+from claravoz.operators import cardinality, feedback, frequent, quality, schema, telemetry
 
 _FIELDS = ("plan", "region", "NPS_GRUPO", "comentario", "pain_points", "fcr")
 
@@ -338,6 +338,16 @@ def top_pain_points(spark, d):
     return feedback.top_pain_points(_clean(spark, d))
 
 
+@query("frequent_words", """WITH w AS (SELECT lang, unnest(string_split(text, ' ')) AS item FROM documents),
+       c AS (SELECT lang, item, count(*) AS n FROM w WHERE item <> '' GROUP BY ALL)
+       SELECT lang, item, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, item) AS INTEGER) AS position FROM c
+       QUALIFY position <= 5""")
+def frequent_words(spark, d):
+    """The five commonest words of each language, of many rare ones."""
+    words = table(spark, d, "documents", spread=True).select("lang", F.explode(F.split("text", " ")).alias("word")).where("word != ''")
+    return frequent.top_items(words, "lang", F.col("word")).drop("proof")
+
+
 @query("pain_point_distribution", f"""WITH {SURVEY_SQL}, {PREPROCESSED_SQL}, c AS (SELECT
        {sv.strip_sql('pain_points')} AS pain_point, count(*) AS n FROM clean GROUP BY 1)
        SELECT pain_point, n, {sv.percent_sql('n', '(SELECT sum(n) FROM c)')} AS pct FROM c""")
