@@ -94,7 +94,8 @@ def lloyd(rows: DataFrame, vec_col: str, centres: np.ndarray, rounds: int,
                     np.add.at(total[p], own, part)
                     n[p] += np.bincount(own, minlength=entries)
             part, entry = np.nonzero(n)
-            yield pd.DataFrame({"part": part, "entry": entry, "n": n[part, entry], "total": list(total[part, entry])})
+            if len(part):  # Arrow makes no array of lists from an empty column
+                yield pd.DataFrame({"part": part, "entry": entry, "n": n[part, entry], "total": list(total[part, entry])})
 
         moved = rows.select(vec_col).mapInPandas(sums, "part int, entry int, n long, total array<double>") \
             .select("part", "entry", "n", F.posexplode("total").alias("at", "x")) \
@@ -215,14 +216,21 @@ class VectorIndex:
         """Set and store ``probes`` and ``candidates`` for a share of ``target`` of the true
         neighbours, and return the share that was measured.
 
-        Asked are ``queries`` indexed vectors, the first by MD5 of their ids, against all
-        others, exactly. The cells of what they find say how many cells to probe; then
-        candidates are doubled until the share is reached or every probed vector is one.
+        Four times ``queries`` indexed vectors, from each cell the first by MD5 of their ids, are
+        compared with all others, exactly. The quarter with the farthest neighbours is asked, so a
+        large group of near copies, whose neighbours are easily found, does not stand for all
+        vectors. The cells of what they find say how many cells to probe; then candidates are doubled until the share is reached or every probed vector is one.
         """
         rows = self.rows()
-        asked = reliable_checkpoint(rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(queries)
-                                    .select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")))
-        truth = reliable_checkpoint(exact_knn(asked, rows, k, exclude_self=True))
+        digest = F.md5(F.col("id").cast("string"))
+        each = 2 * math.ceil(4 * queries / len(self.quantiser.centroids))
+        turn = F.row_number().over(Window.partitionBy("cell").orderBy(digest, "id"))
+        seen = reliable_checkpoint(rows.withColumn("_turn", turn).where(F.col("_turn") <= each).orderBy("_turn", digest, "id").limit(4 * queries)
+                                   .select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")))
+        nearest = reliable_checkpoint(exact_knn(seen, rows, k, exclude_self=True))
+        far = nearest.groupBy("query_id").agg(F.max("distance").alias("far")).orderBy(F.desc("far"), "query_id").limit(queries).select("query_id")
+        asked = reliable_checkpoint(seen.join(far, "query_id"))
+        truth = nearest.join(asked.select("query_id").distinct(), "query_id", "left_semi")
         place = Window.partitionBy("query_id").orderBy("nth")
         ranked = self._probed(asked, len(self.quantiser.centroids), "query_id", "query_vec") \
             .withColumn("rank", F.row_number().over(place)).select("query_id", "cell", "rank")

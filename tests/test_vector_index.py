@@ -102,3 +102,20 @@ def test_semantic_search_by_index(spark):
     exact = neighbors.semantic_search(texts, docs, k=3, task_id="a").collect()
     key = lambda rows: sorted((r["query_id"], r["position"], r["record_id"], round(r["distance"], 4), r["text"]) for r in rows)
     assert key(index_hits) == key(exact)
+
+
+def test_near_copies_do_not_decide_the_calibration(spark):
+    rng = np.random.RandomState(3)
+    one = rng.standard_normal(64)
+    rows = [(i, (one + 0.01 * rng.standard_normal(64) if i % 10 > 2 else rng.standard_normal(64)).tolist()) for i in range(4000)]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    index = VectorIndex.build(v, scratch_path(spark, "near-copies"), rounds=3)
+    index.calibrate()
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    truth = neighbors.exact_knn(asked, v, 10, exclude_self=True)
+    assert neighbors.recall(index.search(asked, 10, exclude_self=True), truth).first()["recall"] >= 0.9
+
+
+def test_one_vector_has_no_neighbours_to_find(spark):
+    index = VectorIndex.build(spark.createDataFrame([(1, [1.0, 0.0])], "id long, vec array<double>"), scratch_path(spark, "one"))
+    assert index.calibrate() == 1.0
