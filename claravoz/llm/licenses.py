@@ -1,9 +1,9 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance along paths.
 
-Every line of a file is a possible header. Lines that have a word that only
-licences use are compared with the templates: sparse vectors of term frequency
-times inverse document frequency, where the frequencies are those of the corpus'
-own lines, and words that no template has count as the rarest. Equal lines are
+Every line of a file is a possible header. Lines that share a term with a template,
+be it a number, are compared with the templates: sparse vectors of term frequency
+times inverse document frequency, where the frequencies are those of these lines
+of the corpus, and words that no template has count as the rarest. Equal lines are
 compared once. A file has the licences of its lines.
 
 A licence file speaks for its directory: files without a licence of their own
@@ -49,9 +49,6 @@ COMMON = frozenset("""
     a an and any are as by copy except file for form free general hereby in into is may not obtaining of or person
     subject terms the this to under use version with without work you
 """.split())
-#: Words of the notices that ordinary lines have, too. A line that shares only
-#: these with a notice cannot come close to it.
-WEAK = frozenset("by free general form code source software public domain international released use conditions sa nc v".split())
 _TOKEN = r"[0-9]+(?:\.[0-9]+)?|[a-z][a-z0-9]*"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]es?|copying|notice|unlicense)([.-][^/]*)?$"
 
@@ -129,7 +126,7 @@ def scan(files: DataFrame, path: Column, is_licence: Column | None = None, least
     """
     rows = stored(files.select(row_id().alias("uid"), "doc_id", F.coalesce(path, F.lit("")).alias("path"), text_of(files).alias("text")).select(
         "uid", "doc_id", "path", F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"))).alias("n_words"),
-        F.filter(F.split("text", r"\r?\n"), lambda line: F.lower(line).rlike(_anchor(notices, least))).alias("lines")), "files")
+        F.filter(F.split("text", r"\r?\n"), lambda line: F.lower(line).rlike(_anchor(notices))).alias("lines")), "files")
     each = rows.select("uid", F.explode("lines").alias("line"))
     found = matched_lines(each, notices, least)
     n_words = F.size(F.split(F.trim("line"), r"\s+"))
@@ -150,17 +147,14 @@ def scan(files: DataFrame, path: Column, is_licence: Column | None = None, least
         F.when(F.col("licence").isNull(), F.col("from_directory")).alias("from_directory"))
 
 
-def _anchor(notices: dict[str, tuple[str, ...]], least: float) -> str:
-    """Pattern of the words of which a close line has one.
+def _anchor(notices: dict[str, tuple[str, ...]]) -> str:
+    """Pattern of lines that share a term with a notice. All others have cosine 0 to all notices; which of
+    the terms could reach a threshold alone depends on the corpus, so none is left out.
 
-    The cosine of a line that shares only some words with a notice is at most the
-    share of these words in the notice's length. Where the weak words might reach
-    ``least`` alone (all words taken as equally rare, though the weak ones are less
-    so), they count as anchors of their notice. Numbers alone are no notice.
+    Terms begin behind any number, as in ``2mit``, and numbers end before any letter.
     """
-    anchors: set[str] = set()
-    for text in (t for texts in notices.values() for t in texts):
-        words = set(re.findall(_TOKEN, text.lower())) - COMMON
-        weak = {w for w in words if w in WEAK or not w.isalpha()}
-        anchors |= words - weak if len(weak) < least * least * len(words) else words
-    return r"(^|[^a-z0-9])(" + "|".join(sorted(w for w in anchors if w.isalpha())) + r")([^a-z0-9]|$)"
+    terms = {t for texts in notices.values() for text in texts for t in re.findall(_TOKEN, text.lower())} - COMMON
+    words = "|".join(sorted(re.escape(t) for t in terms if t[0].isalpha()))
+    numbers = "|".join(sorted(re.escape(t) for t in terms if t[0].isdigit()))
+    sides = [f"(^|[^a-z])({words})([^a-z0-9]|$)"] * bool(words) + [f"(^|[^0-9])({numbers})([^0-9]|$)"] * bool(numbers)
+    return "|".join(sides) or "(?!)"

@@ -53,3 +53,14 @@ def test_cosines_match_brute_force(spark):
 def test_odd_rows(odd, odd_rows, none):
     assert licenses.scan(odd, F.col("source")).count() == len(odd_rows)
     assert licenses.scan(none, F.col("source")).count() == 0
+
+
+def test_lines_of_words_that_are_rare_in_the_corpus_only(spark):
+    """Where the corpus is full of a notice's own words, the others decide."""
+    lines = ["licensed gnu affero license x"] * 200 + ["general public 3"]
+    docs = spark.createDataFrame([(i, "f", x) for i, x in enumerate(lines)], "doc_id long, file string, text string")
+    want = {r["line"]: r["licence"] for r in licenses.matched_lines(docs.select(F.col("text").alias("line")), licenses.NOTICES, 0.7).collect()}
+    got = licenses.scan(docs, F.col("file")).where("doc_id = 200").first()
+    assert want["general public 3"] is not None and (got["licence"], got["n_lines"]) == (want["general public 3"], 1)
+    glued = spark.createDataFrame([(1, "f", "2Released 3mit 4license.")], "doc_id long, file string, text string")
+    assert licenses.scan(glued, F.col("file"), least=0.3).first()["licence"] == "MIT"
