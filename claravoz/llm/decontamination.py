@@ -45,12 +45,17 @@ _NUMBER_CODE, _UNIT_CODE, _NAME_CODE = np.uint64(0x51ED270B1), np.uint64(0x2545F
 _PRIME = np.uint64(0x100000001B3)
 PLAIN, NAMED, VERBATIM = 0, 1, 2
 _FILTER_BITS = 23
+#: Bytes of text whose tokens and windows are held at once, some 150 bytes for each of text.
+AT_ONCE = 1_000_000
 
 
 class Vocabulary(dict):
-    """Number of each token; the arrays hold its hash and kind by that number."""
+    """Number of each token; the arrays hold its hash and kind by that number.
 
-    MOST = 500_000
+    A token takes some 300 bytes; with more than ``MOST`` of them all are forgotten.
+    """
+
+    MOST = 100_000
 
     def __init__(self):
         self.hashes, self.kinds = [], []
@@ -145,6 +150,16 @@ _SLOTS = "array<struct<at: int, kind: string, value: string>>"
 _SLOT_TYPE = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
 
 
+def in_blocks(batches: Iterator[pa.RecordBatch], sizes: list[int], held: np.ndarray | None = None) -> Iterator[tuple]:
+    """(rows, their texts, ``windows`` of these) of about ``AT_ONCE`` bytes of text at a time."""
+    words = Vocabulary()
+    for batch in batches:
+        for a, b in blocks(batch, "text", AT_ONCE):
+            part = batch.slice(a, b - a)
+            texts = part.column("text").to_pylist()
+            yield part, texts, windows(texts, sizes, words, held)
+
+
 def template_windows(rows: DataFrame, carried: list[str], sizes: list[int], held: np.ndarray | None = None, short: bool = False) -> DataFrame:
     """The windows of ``rows.text``, of all ``sizes``, with the ``carried`` columns of their row.
 
@@ -156,22 +171,17 @@ def template_windows(rows: DataFrame, carried: list[str], sizes: list[int], held
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bitmap = Vocabulary(), shared.value if shared else None
-        for batch in batches:
-            for a, b in blocks(batch, "text", 4_000_000):
-                part = batch.slice(a, b - a)
-                texts = part.column("text").to_pylist()
-                lengths = [len(TOKEN.findall(t)) for t in texts] if short else None
-                out = [x for x in windows(texts, sizes, words, bitmap)
-                       if not short or x[2] == min(lengths[x[0]], sizes[-1])]
-                which = pa.array([x[0] for x in out], pa.int64())
-                columns = [part.column(c).take(which) for c in carried]
-                if short:
-                    columns.append(pa.array([lengths[x[0]] for x in out], pa.int32()))
-                columns += [pa.array([x[i] for x in out], kind) for i, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.int64()))]
-                columns.append(pa.array([[{"at": s, "kind": k, "value": v} for s, k, v in x[5]] for x in out], _SLOT_TYPE))
-                names = [*carried, *(["tokens"] if short else []), "place", "size", "view", "hash", "slots"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for part, texts, found in in_blocks(batches, sizes, shared.value if shared else None):
+            lengths = [len(TOKEN.findall(t)) for t in texts] if short else None
+            out = [x for x in found if not short or x[2] == min(lengths[x[0]], sizes[-1])]
+            which = pa.array([x[0] for x in out], pa.int64())
+            columns = [part.column(c).take(which) for c in carried]
+            if short:
+                columns.append(pa.array([lengths[x[0]] for x in out], pa.int32()))
+            columns += [pa.array([x[i] for x in out], kind) for i, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.int64()))]
+            columns.append(pa.array([[{"at": s, "kind": k, "value": v} for s, k, v in x[5]] for x in out], _SLOT_TYPE))
+            names = [*carried, *(["tokens"] if short else []), "place", "size", "view", "hash", "slots"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     ddl = f"{kinds}, {'tokens int, ' if short else ''}place int, size int, view int, hash long, slots {_SLOTS}"
     return rows.select(*carried, text_of(rows).alias("text")).mapInArrow(run, ddl)

@@ -1,4 +1,8 @@
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from claravoz.llm import decontamination as d
 from tests.llm.conftest import make, prose
@@ -100,3 +104,18 @@ def test_stage(spark, odd, odd_rows, none):
     assert d.without_leaks(odd, bench(spark, None, "")).count() == len(odd_rows)
     empty = spark.createDataFrame([], "item_id long, text string")
     assert d.without_leaks(odd, empty).count() == len(odd_rows) and d.find_leaks(none, bench(spark, QUESTION)).count() == 0
+
+
+def test_memory_of_a_task_is_bounded():
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice('abcdef')}{''.join(rng.choices('ghijklmnop', k=5))}" for _ in range(2_000)) for _ in range(400)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    found, nothing = 0, np.zeros(1 << (d._FILTER_BITS - 3), np.uint8)
+    tracemalloc.start()
+    try:
+        for _, _, windows in d.in_blocks(iter([batch] * 2), [5, 6, 7, 8], nothing):
+            found += len(list(windows))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == 0 and peak < 110_000_000  # 167 MB with blocks of 4 MB and 500,000 tokens
