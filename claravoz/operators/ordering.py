@@ -68,8 +68,10 @@ def number_rows(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
     )
 
 
-#: Rows of a range when rows are numbered by fixed bounds, and order keys sampled for each bound.
+#: Rows of a range when rows are numbered by fixed bounds, their bytes where the size of rows
+#: is given, and order keys sampled for each bound.
 RANGE_ROWS = 250_000
+RANGE_BYTES = 64 * 1024 * 1024
 SAMPLED = 50
 
 
@@ -98,16 +100,19 @@ def bound_of(key: Column, bounds: Column, ranges: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
 
 
-def number_all(df: DataFrame, order: Sequence[str], name: str = "record_index", range_rows: int = RANGE_ROWS) -> DataFrame:
+def number_all(df: DataFrame, order: Sequence[str], name: str = "record_index", range_rows: int = RANGE_ROWS,
+               row_bytes: float = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Number all rows from 0 in ``order``, which should be unique; rows move once.
 
-    Fixed bounds cut the rows into ranges of about ``range_rows``; one scan of the order
-    columns counts them, and the running sum of the counts is where each range begins. The
+    Fixed bounds cut the rows into ranges of about ``range_rows``, or fewer if rows of
+    ``row_bytes`` on average would be more than ``range_bytes``; each range is a task of its
+    own. One scan of the order columns counts them, and the running sum of the counts is where each range begins. The
     cut does not depend on the evaluation, so nothing is checkpointed. ``df`` must give the
     same rows each time, as a table does.
     """
     spark = df.sparkSession
     rows = df.count()
+    range_rows = max(1, min(range_rows, int(range_bytes / max(row_bytes, 1e-9))))
     ranges = max(1, min(-(-rows // 1_000), max(spark.sparkContext.defaultParallelism, -(-rows // range_rows))))
     bounds = range_bounds(df, order, ranges, rows)
     key = F.struct(*order)
@@ -122,7 +127,8 @@ def number_all(df: DataFrame, order: Sequence[str], name: str = "record_index",
         total += r["_n"]
     offsets = F.broadcast(spark.createDataFrame(starts, "_range int, _start long"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return placed(df).repartition(ranges, "_range").withColumn("_at", within).join(offsets, "_range").select(
+    # by number, not by its hash, which would put several ranges into one task
+    return placed(df).repartitionById(ranges, "_range").withColumn("_at", within).join(offsets, "_range").select(
         *df.columns, (F.col("_start") + F.col("_at")).alias(name))
 
 

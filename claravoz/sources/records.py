@@ -16,10 +16,16 @@ PAGE_DEFAULT = 100
 PAGE_MAX = 10_000
 
 
+def row_bytes(df: DataFrame) -> float:
+    """Bytes of a row's texts and binaries on average; 0 without such columns."""
+    wide = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    return (df.agg(F.avg(sum(wide[1:], wide[0]).cast("long"))).first()[0] or 0.0) if wide else 0.0
+
+
 def to_records(df: DataFrame, task_id: str, order: Sequence[str], first: int = 0) -> DataFrame:
     """Rows as (task_id, record_index, data): payloads numbered from ``first`` in ``order``."""
     packed = df.select(*order, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("data"))
-    numbered = number_all(packed, order)
+    numbered = number_all(packed, order, row_bytes=row_bytes(df))
     return numbered.select(F.lit(task_id).alias("task_id"), (F.col("record_index") + first).alias("record_index"), "data")
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claravoz.operators import ordering
+from claravoz.sources import records
 
 
 @pytest.mark.parametrize("range_rows", [10, 250, 10 ** 6])
@@ -32,3 +33,12 @@ def test_ranges_are_about_equal_and_nothing_is_checkpointed(spark):
     assert len(sizes) == 16 and max(sizes) < 2 * 40_000 / 16
     plan = ordering.number_all(df, ["k"])._jdf.queryExecution().toString()
     assert "ExternalRDD" not in plan and "ReliableCheckpoint" not in plan
+
+
+def test_each_range_is_a_task_and_wide_rows_make_more_ranges(spark):
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_009).alias("k"))
+    for options in ({"range_rows": 2_500}, {"row_bytes": 4_000, "range_bytes": 10_000_000}):
+        placed = ordering.number_all(df, ["k"], **options).groupBy(F.spark_partition_id()).count().collect()
+        assert len(placed) == 16 and max(r["count"] for r in placed) < 2 * 2_500
+    rows = spark.createDataFrame([(1, "é", None), (2, None, b"abcd")], "n long, t string, b binary")
+    assert records.row_bytes(rows) == 3 and records.row_bytes(rows.select("n")) == records.row_bytes(rows.limit(0)) == 0
