@@ -376,8 +376,8 @@ def json_well_formed(spark, d):
        FROM documents GROUP BY lang""")
 def malicious_files(spark, d):
     path = scratch_path(spark, "per-lang")
-    table(spark, d, "documents").select("lang", "text").repartition("lang").write.options(header=True) \
-        .partitionBy("lang").csv(path)
+    # each task writes its rows of every language: no task gathers a language
+    table(spark, d, "documents", spread=True).select("lang", "text").write.options(header=True).partitionBy("lang").csv(path)
     return inventory.malicious_preview(spark, path).groupBy(
         F.regexp_extract("path", r"lang=(\w+)", 1).alias("lang")).agg(F.bool_or("malicious").alias("malicious"))
 

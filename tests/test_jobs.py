@@ -273,3 +273,14 @@ def test_profile_is_one_scan_and_pruned(spark, sf):
 
 def test_scratch_is_reused(spark):
     assert scratch_root(spark) == scratch_root(spark)
+
+
+def test_no_task_gathers_a_language(spark, tmp_path, monkeypatch):
+    from claravoz.catalog import files
+
+    rows = [(i, "es" if i % 3 else "en", "<script>x</script>" if i == 1 else f"text, {i}\n") for i in range(4_000)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(files, "scratch_path", lambda spark, label: str(tmp_path / label))
+    found = {r["lang"]: r["malicious"] for r in files.malicious_files(spark, str(tmp_path)).collect()}
+    assert found == {"es": True, "en": False}
+    assert len(list((tmp_path / "per-lang" / "lang=es").glob("*.csv"))) == 4
