@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
@@ -59,22 +59,23 @@ def class_probabilities(texts: Column, load: Callable[[], Callable[[Sequence[str
     """Softmax of a plugged-in scorer's logits, as an array in its label order.
 
     ``load`` is called once per task and returns a function from a list of
-    texts to logits with one row per text. Null texts give null.
+    texts to logits with one row per text. Null texts give null. Only the texts
+    of one call are Python strings at a time; the others stay in Arrow's buffer.
     """
-    @F.pandas_udf("array<double>")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
-        for series in batches:
-            out = np.empty(len(series), dtype=object)
-            known = np.flatnonzero(series.notna().to_numpy())
+        for found in batches:
+            out: list = [None] * len(found)
+            known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
             for start in range(0, len(known), batch_size):
                 at = known[start:start + batch_size]
-                logits = np.asarray(model([series.iloc[i] for i in at]), dtype=np.float64)
+                logits = np.asarray(model(found.take(pa.array(at)).to_pylist()), dtype=np.float64)
                 powers = np.exp(logits - logits.max(axis=1, keepdims=True))
                 shares = powers / powers.sum(axis=1, keepdims=True)
                 for i, row in zip(at, shares):
                     out[i] = row.tolist()
-            yield pd.Series(out)
+            yield pa.array(out, pa.list_(pa.float64()))
 
     return predict(texts)
 

@@ -313,6 +313,21 @@ def test_model_vectors_and_scores(spark):
     assert got == [("POSITIVE", .9), ("NEGATIVE", .65), ("NEGATIVE", .5), (None, None)]
 
 
+def test_a_scorer_runs_beside_no_copy_of_its_batch(spark):
+    def load():
+        import gc
+
+        def score(texts):
+            held = any(type(o).__name__ == "Series" for o in gc.get_objects())
+            return [[0.0, 9.0] if held else [9.0, 0.0]] * len(texts)
+
+        return score
+
+    df = spark.range(200).select(F.when(F.col("id") % 7 > 0, F.repeat(F.lit("é "), 500)).alias("text"))
+    got = {r["sentiment"]: r["count"] for r in sentiment.score_texts(df, load).groupBy("sentiment").count().collect()}
+    assert got == {"NEGATIVE": 171, None: 29}
+
+
 def test_trained_model_learns(spark):
     rows = [(f"good great nice {i}", 1) for i in range(30)] + [(f"bad awful poor {i}", 0) for i in range(30)]
     df = spark.createDataFrame(rows, "text string, label int")
