@@ -13,6 +13,7 @@ from claravoz.catalog.registry import query, table
 from claravoz.catalog.survey import SURVEY_SQL, survey
 from claravoz.functions import dates, scoring, text
 from claravoz.operators import cardinality, feedback, frequent, quality, schema, telemetry
+from claravoz.sources.readers import spread_small
 
 _FIELDS = ("plan", "region", "NPS_GRUPO", "comentario", "pain_points", "fcr")
 
@@ -133,7 +134,8 @@ def column_stats(spark, d):
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
     "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"), ("l_returnflag", "l_linestatus")))
 def column_stats_lineitem(spark, d):
-    return quality.column_stats(table(spark, d, "lineitem", spread=True))
+    # a task keeps the distinct cells of its rows in memory, so its rows are bounded, too
+    return quality.column_stats(spread_small(table(spark, d, "lineitem"), task_bytes=8 * 1024 * 1024))
 
 
 _DESCRIBED = ("o_custkey", "o_totalprice", "o_orderstatus")

@@ -145,20 +145,24 @@ def cast_cells(df: DataFrame, schema: T.StructType) -> DataFrame:
 SPREAD_BYTES = 256 * 1024
 
 
-def spread_small(df: DataFrame) -> DataFrame:
+def spread_small(df: DataFrame, task_bytes: int | None = None) -> DataFrame:
     """Spread a table of few splits over the idle cores before costly expressions.
 
     A file with one row group is one task, however costly the cleaning of its
     rows. A table that already fills the cores with splits of full size is
-    returned unchanged, so large tables are never shuffled by this. Meant for
-    plain scans, whose size the planner knows.
+    returned unchanged, so large tables are never shuffled by this, unless
+    ``task_bytes`` bounds what a task may get of the table and splits are larger.
+    Meant for plain scans, whose size the planner knows.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     tasks = min(cores, size // SPREAD_BYTES)
-    if tasks < 2 or size >= cores * split:
+    wide = task_bytes is not None and split > task_bytes
+    if wide:
+        tasks = max(tasks, -(-size // task_bytes))
+    if tasks < 2 or (size >= cores * split and not wide):
         return df
     return df.repartition(tasks)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claravoz.operators import cardinality, quality
+from claravoz.sources import readers
 
 SCHEMA = "i int, s string, d double, t date, a array<string>, m map<string,int>, r struct<x:int,y:int>, `a.b` string, _digits string"
 
@@ -93,3 +94,15 @@ def test_content_hash_writes_signed_zeros_as_sql_does(spark):
     audit = quality.audit_record(table, "v", "s", "o").first()
     assert quality.content_hash(table).first()["content_hash"] == audit["content_hash"] == want
     assert audit["distincts"] == {"x": 2}  # equal where values are compared
+
+
+def test_a_task_gets_no_more_of_a_table_than_asked_for(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(600_000).select(F.xxhash64("id").alias("k")).coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert readers.spread_small(table).rdd.getNumPartitions() == 4
+    bounded = readers.spread_small(table, task_bytes=size // 10)
+    rows = [r["count"] for r in bounded.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) in (10, 11) and max(rows) < 2 * min(rows)
+    assert quality.column_stats(bounded).first()["distincts"] == 600_000
