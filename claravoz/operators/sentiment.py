@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -27,15 +27,24 @@ TWO_CLASSES = ("NEGATIVE", "POSITIVE")
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
           features: int = 1 << 14, iterations: int = 20) -> PipelineModel:
-    """Words, hashed counts, inverse document frequency, logistic regression."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
-        IDF(inputCol="_counts", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol=label_col, maxIter=iterations,
-                           regParam=0.01, probabilityCol="_probability",
-                           rawPredictionCol="_raw", predictionCol="_predicted"),
-    ]).fit(labelled.select(text_col, F.col(label_col).cast("double").alias(label_col)))
+    """Words, hashed counts, inverse document frequency, logistic regression.
+
+    Texts are read and cut once: the hashed counts are kept, in memory or on disk, until
+    both fits are done.
+    """
+    words = RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"[^\p{L}\p{N}]+")
+    hashed = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features)
+    weighing = IDF(inputCol="_counts", outputCol="_features")
+    fitting = LogisticRegression(featuresCol="_features", labelCol=label_col, maxIter=iterations,
+                                 regParam=0.01, probabilityCol="_probability",
+                                 rawPredictionCol="_raw", predictionCol="_predicted")
+    given = labelled.select(text_col, F.col(label_col).cast("double").alias(label_col))
+    counts = hashed.transform(words.transform(given)).select("_counts", label_col).persist()
+    try:
+        idf = weighing.fit(counts)
+        return PipelineModel([words, hashed, idf, fitting.fit(idf.transform(counts))])
+    finally:
+        counts.unpersist()
 
 
 def with_labels(df: DataFrame, positive: Column, negative: Column) -> DataFrame:

@@ -417,3 +417,20 @@ def test_hash_settings_reach_their_recall_on_vectors_without_clusters(spark):
     assert neighbors.recall(found, truth).first()["recall"] >= 0.9
     # without a vector there is nothing to measure
     assert neighbors.hashing_for(v.limit(0), "vec").bits == 2
+
+
+def test_training_reads_a_text_once(spark):
+    """Each fit cut the texts again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = [(("good " if i % 2 else "bad ") + f"word{i}", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "text string, label int").select(counted("text").alias("text"), "label")
+    model = sentiment.train(df, features=64, iterations=5)
+    assert seen.value == 40
+    said = sentiment.score_with_model(spark.createDataFrame([("good",), ("bad",)], "text string"), model).collect()
+    assert [r["sentiment"] for r in said] == ["POSITIVE", "NEGATIVE"]
