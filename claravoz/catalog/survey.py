@@ -62,6 +62,7 @@ def _padded_sql(value: str, key: str, at: int) -> str:
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The survey-like view over orders, customer, nation and region."""
     orders, customer = table(spark, sf_dir, "orders", spread=True), table(spark, sf_dir, "customer")
+    customer = customer.withColumn("segment", F.initcap("c_mktsegment"))
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     joined = (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
@@ -94,7 +95,7 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
         score.alias("NOTA"),
         _padded(group, key, 4).alias("NPS_GRUPO"),
         F.lit("Neutral").alias("sentimiento"),
-        F.when(key % 3 != 0, F.initcap("c_mktsegment")).alias("pain_points"),
+        F.when(key % 3 != 0, F.col("segment")).alias("pain_points"),
         _padded(churn, key, 5).alias("churn_risk"),
         F.concat(F.lit("AG"), (F.col("o_custkey") % 97)).alias("agent_id"),
         written_flag(key).alias("outage_flag"),

@@ -97,9 +97,9 @@ def parse_date(c: Column, formats: Sequence[str] = GENERAL_FORMATS,
 
 
 def iso_date(c: Column, formats: Sequence[str] = GENERAL_FORMATS,
-             data_type: T.DataType | None = None) -> Column:
+             data_type: T.DataType | None = None, stripped: bool = False) -> Column:
     """The same as text, ``yyyy-MM-dd``."""
-    return F.date_format(parse_date(c, formats, data_type), "yyyy-MM-dd")
+    return F.date_format(parse_date(c, formats, data_type, stripped), "yyyy-MM-dd")
 
 
 def date_format_name(c: Column, formats: Sequence[str] = EXTENDED_FORMATS) -> Column:

@@ -7,7 +7,7 @@ otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,6 +58,9 @@ COMMENT_PATTERNS = (
 )
 # Characters that start a spreadsheet formula.
 FORMULA_STARTS = ("=", "+", "-", "@")
+# Any character but those that no step of sanitising changes: ASCII without controls,
+# the signs that markup escapes, and colon and equals sign, which the patterns need.
+_TOUCHED = r"""[^\t\n\r\x20-\x7e]|["&'<>:=]"""
 # Functions that make a formula dangerous.
 DANGEROUS_FUNCTIONS = ("cmd", "system", "exec", "dde", "hyperlink", "importdata", "webservice")
 
@@ -89,6 +92,15 @@ PAIN_POINT_KEYWORDS = {
 }
 
 
+def once(c: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(c)``, for which ``c`` is computed once however often ``of`` names it.
+
+    It also stays out of the one method Spark writes for a stage. The JVM compiles no
+    method of more than 8,000 bytes, and the cleaning of two columns can exceed that.
+    """
+    return F.get(F.transform(F.array(c), lambda x: of(x)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove Unicode white space from both ends (plain ``trim`` drops only blanks)."""
     return F.trim(c, F.lit(WHITE_SPACE))
@@ -205,16 +217,19 @@ def sanitize_markup(c: Column, mode: str = "strict", max_length: int | None = No
     Escaped text holds no ``<`` and no numeric entity but the apostrophe's, so
     the tag and entity patterns reduce to dropping apostrophes, and the other
     patterns contain no escapable character, so they may run on the shorter
-    raw text. ``mode="keep_unicode"`` keeps non-ASCII letters.
+    raw text. ``mode="keep_unicode"`` keeps non-ASCII letters. Text without a
+    character that a step looks for skips them.
     """
     if mode not in ("strict", "keep_unicode"):
         raise ValueError(f"unknown mode: {mode}")
-    c = _drop_plain_patterns(c)
-    c = drop_unsafe_characters(c, keep_unicode=mode == "keep_unicode")
-    c = _replace_all(c, (("'", ""), *_MARKUP_ENTITIES))
+    safe = _drop_plain_patterns(c)
+    safe = drop_unsafe_characters(safe, keep_unicode=mode == "keep_unicode")
+    safe = _replace_all(safe, (("'", ""), *_MARKUP_ENTITIES))
+    c = F.when(c.rlike(_TOUCHED), safe).otherwise(c)
     if max_length is not None:
         c = F.substring(c, 1, max_length)
-    return script_strip(c)
+    # of the blanks, only these are no unsafe characters
+    return F.trim(c, F.lit("\t\n\r ")) if mode == "strict" else script_strip(c)
 
 
 def starts_formula(c: Column) -> Column:
@@ -227,7 +242,12 @@ def escape_formula(c: Column) -> Column:
 
     Names its input once, so a long chain of expressions below it is not repeated.
     """
-    return F.regexp_replace(script_strip(c), r"^(?=[=+\-@])", "'")
+    return _quote_formula(script_strip(c))
+
+
+def _quote_formula(c: Column) -> Column:
+    """An apostrophe before stripped text a spreadsheet would evaluate."""
+    return F.regexp_replace(c, r"^(?=[=+\-@])", "'")
 
 
 def has_dangerous_formula(c: Column) -> Column:
@@ -239,7 +259,7 @@ def sanitize_text(c: Column, excel_safe: bool = False, mode: str = "strict",
                   max_length: int | None = None) -> Column:
     """Markup sanitising, then formula escaping when ``excel_safe``."""
     clean = sanitize_markup(c, mode, max_length)
-    return escape_formula(clean) if excel_safe else clean
+    return _quote_formula(clean) if excel_safe else clean
 
 
 def clean_comment(c: Column) -> Column:

@@ -103,20 +103,22 @@ def cleaning_columns(df: DataFrame, types: Mapping[str, str], sanitize: bool = T
     """Cleaned string columns given detected types: new expression and type per name.
 
     Boolean-like columns become booleans and date-like ones ISO text; the
-    others are stripped and, when asked, sanitised. Other types stay.
+    others are stripped and, when asked, sanitised, which strips as well. Other types
+    stay. Each column is cleaned by itself, so the stage's method stays small.
     """
     cleaned: dict[str, tuple[Column, T.DataType]] = {}
     for name in string_columns(df):
-        value = text.strip(F.col(f"`{name}`"))
+        value = F.col(f"`{name}`")
         kind = types.get(name, "string")
         if kind == "boolean":
-            cleaned[name] = (text.normalize_boolean(value), T.BooleanType())
+            cleaned[name] = (text.once(text.script_strip(value), lambda x: text.normalize_boolean(x, stripped=True)),
+                             T.BooleanType())
         elif kind == "date":
-            cleaned[name] = (dates.iso_date(value), T.StringType())
+            cleaned[name] = (text.once(text.script_strip(value), lambda x: dates.iso_date(x, stripped=True)), T.StringType())
         elif sanitize:
-            cleaned[name] = (text.sanitize_text(value, excel_safe, mode), T.StringType())
+            cleaned[name] = (text.once(value, lambda x: text.sanitize_text(x, excel_safe, mode)), T.StringType())
         else:
-            cleaned[name] = (value, T.StringType())
+            cleaned[name] = (text.strip(value), T.StringType())
     return cleaned
 
 
@@ -130,14 +132,13 @@ def clean(df: DataFrame, types: Mapping[str, str], sanitize: bool = True,
 def clean_survey(df: DataFrame, sanitize: bool = True, excel_safe: bool = True) -> DataFrame:
     """Fixed-schema cleaning: plan, comentario, outage_flag, fecha; one projection."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    comment = text.strip(F.col("comentario"))
-    if sanitize:
-        comment = text.sanitize_text(comment, excel_safe)
+    comment, day = F.col("comentario"), F.col("fecha")
     return df.withColumns({
         "plan": text.strip(F.col("plan")),
-        "comentario": comment,
+        "comentario": text.once(comment, lambda x: text.sanitize_text(x, excel_safe)) if sanitize else text.strip(comment),
         "outage_flag": text.normalize_boolean(F.col("outage_flag"), types["outage_flag"]),
-        "fecha": dates.iso_date(F.col("fecha"), data_type=types["fecha"]),
+        "fecha": text.once(text.script_strip(day), lambda x: dates.iso_date(x, stripped=True))
+        if isinstance(types["fecha"], T.StringType) else dates.iso_date(day, data_type=types["fecha"]),
     })
 
 

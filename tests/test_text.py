@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claravoz.functions import dates, scoring, text, vectors
 from claravoz.functions.sql import register
+from claravoz.operators import quality, schema
 
 
 def apply(spark, fn, values, kind="string"):
@@ -209,3 +210,41 @@ def test_sql_functions_have_no_python(spark):
                    "severity_level(41D) AS l, attack_classes('<script>') AS a")
     assert tuple(df.first()) == ("'=1 &lt;b&gt;", True, "2024-01-15", "x", "critical", ["script"])
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+ODD_TEXTS = (
+    None, "", " ", "\u2003\x0b plain \xa0", "\x1c\u2003=1+1", " -5", "@x", "+", "Fiber 100", "A&B", "it's <b>\"x\"", "onda = 1", "on\u2003=",
+    "  javascript:alert(1)", "\x85on\u0131x=\x1f", "data:text/html,\x7f", "se\xf1al", "\ttab\n", "a\x00=b", "\u3000", "x:\ud7ff", "= on a=", "&#39;", "\u00a0-\u00a0", "vb\u017fcript:",
+    "\U0001f600", "S\xcd", "\u0130", "\u212a", "\u017f\xed", "verdadero", "VERDADEROS", "\u0661/01/2024", "1/2/2024", "2024-1-1 1:2:3", "2024-13-01", "1", " No ",
+)
+
+
+@pytest.mark.parametrize("mode", ["strict", "keep_unicode"])
+def test_untouched_text_skips_steps_with_the_same_result(spark, mode):
+    df = spark.createDataFrame([(x,) for x in ODD_TEXTS], "x string")
+    safe = text.drop_unsafe_characters(text._drop_plain_patterns(text.strip(F.col("x"))), keep_unicode=mode == "keep_unicode")
+    layered = text.escape_formula(text.script_strip(text._replace_all(safe, (("'", ""), *text._MARKUP_ENTITIES))))
+    cleaned = schema.cleaning_columns(df, {}, mode=mode)["x"][0]
+    got = df.select(layered.alias("want"), cleaned.alias("got"), text.sanitize_text(F.col("x"), True, mode).alias("plain")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got] == [r["plain"] for r in got]
+
+
+def test_detection_flags_agree_with_the_parsers(spark):
+    df = spark.createDataFrame([(x,) for x in ODD_TEXTS], "x string")
+    bare = text.strip(F.col("x"))
+    flags = [F.coalesce(quality.DETECTION_FLAGS[name](F.col("x"), bare), F.lit(False)) for name in ("boolean_like", "date_like", "whitespace_count")]
+    wants = [text.normalize_boolean(bare, stripped=True).isNotNull(), dates.parse_date(bare, stripped=True).isNotNull(),
+             F.coalesce(F.length("x") != F.length(bare), F.lit(False))]
+    rows = df.select(F.array(*flags).alias("got"), F.array(*wants).alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+    assert all(any(r["want"][i] for r in rows) for i in range(3))
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "boolean"])
+def test_cleaning_of_many_columns_is_compiled(spark, tmp_path, kind):
+    names = [f"c{i}" for i in range(8)]
+    spark.range(4).select(*(F.col("id").cast("string").alias(n) for n in names)).write.parquet(str(tmp_path / "t"))
+    plan = schema.clean(spark.read.parquet(str(tmp_path / "t")), dict.fromkeys(names, kind))._jdf.queryExecution().executedPlan()
+    stages = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(plan)
+    # HotSpot compiles no method of more than 8,000 bytes
+    assert all(stages.apply(i)._3().maxMethodCodeSize() <= 8000 for i in range(stages.size()))
