@@ -6,6 +6,8 @@ that scans and checks run over files Spark derived from them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +30,19 @@ def _written(spark, d, name, fmt, **options):
     return path
 
 
+def _documents_csv(spark, d):
+    """(path, options to read it): texts as CSV that keeps every character, and null and empty apart.
+
+    Spark's writer trims cells and writes null like an empty text unless told otherwise; null
+    is written as a mark that no text holds. The parser drops NUL unless quotes have an escape.
+    """
+    path, null = scratch_path(spark, "documents-csv"), uuid.uuid4().hex
+    table(spark, d, "documents").select("doc_id", "lang", "text").write.options(
+        header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        nullValue=null).csv(path)
+    return path, {"nullValue": null, "charToEscapeQuoteEscaping": '"'}
+
+
 @query("raw_csv_scan", _CUSTOMER_TEXT)
 def raw_csv_scan(spark, d):
     return readers.read_raw(spark, _written(spark, d, "customer", "csv", header=True))
@@ -345,10 +360,8 @@ def file_validation_mixed(spark, d):
 @query("csv_range_scan", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents")
 def csv_range_scan(spark, d):
     """Multi-line records read by many tasks, each from its range of bytes."""
-    path = scratch_path(spark, "documents-csv")
-    table(spark, d, "documents").select("doc_id", "lang", "text").write.options(
-        header=True, quote='"', escape='"', quoteAll=True).csv(path)
-    return readers.read_ranges(spark, path, range_bytes=1 << 16).drop(readers.CORRUPT)
+    path, options = _documents_csv(spark, d)
+    return readers.read_ranges(spark, path, range_bytes=1 << 16, options=options).drop(readers.CORRUPT)
 
 
 @query("file_validation", "SELECT c_nationkey, 'csv' AS extension, true AS passed FROM customer GROUP BY c_nationkey")

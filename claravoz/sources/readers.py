@@ -82,15 +82,18 @@ def read_raw(spark: SparkSession, path: str | list[str], fmt: str = "csv", optio
     return (reader.schema(schema) if schema else reader).format(fmt).options(**(options or {})).load(path)
 
 
-def csv_scans(found: inventory.Profile) -> list[DataFrame]:
-    """One scan for each header and delimiter; layouts are few, their files stay in tables."""
+def csv_scans(found: inventory.Profile, options: Mapping[str, str] | None = None) -> list[DataFrame]:
+    """One scan for each header and delimiter; layouts are few, their files stay in tables.
+
+    ``options`` are further ones of Spark's parser for a record, such as ``nullValue``.
+    """
     layouts = found.files.where("format = 'csv'").groupBy("header", "delimiter").agg(F.min("path").alias("_first")).orderBy("_first").collect()
     scans = []
     for layout in layouts:
         header = F.array(*map(F.lit, layout["header"]))
         own = found.csv_ranges.where((F.col("delimiter") == layout["delimiter"]) & (F.col("header") == header))
-        options = {**CSV_OPTIONS, "sep": layout["delimiter"], "columnNameOfCorruptRecord": CORRUPT}
-        row = F.from_csv("record", text_ddl(safe_names(layout["header"])), options)
+        chosen = {**CSV_OPTIONS, **(options or {}), "sep": layout["delimiter"], "columnNameOfCorruptRecord": CORRUPT}
+        row = F.from_csv("record", text_ddl(safe_names(layout["header"])), chosen)
         scans.append(csv_ranges.records(own, found.tasks, skip_header=True).select(row.alias("row")).select("row.*"))
     return scans
 
@@ -111,12 +114,14 @@ def united(frames: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def read_ranges(spark: SparkSession, path: str, fmt: str = "csv", range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_ranges(spark: SparkSession, path: str, fmt: str = "csv", range_bytes: int = RANGE_BYTES,
+                options: Mapping[str, str] | None = None) -> DataFrame:
     """Raw scan of CSV or JSON files whose bytes are dealt over tasks, multi-line records and
     whole documents included; every column a string, with the column for records that do
-    not fit. Header, delimiter and encoding are those that the profile finds."""
+    not fit. Header, delimiter and encoding are those that the profile finds; ``options`` are
+    those of ``csv_scans``."""
     found = inventory.profile(spark, path, range_bytes=range_bytes)
-    return united(csv_scans(found)) if fmt == "csv" else json_scan(found)
+    return united(csv_scans(found, options)) if fmt == "csv" else json_scan(found)
 
 
 def read_typed(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
+from claravoz.catalog import QUERIES
 from claravoz.plans import jobs
 from claravoz.sources import csv_ranges, inventory, json_ranges, ranges, readers
 
@@ -134,6 +135,19 @@ def test_multi_line_csv_equals_the_one_task_reader(spark, tmp_path):
             assert csv_ranges.records(found.csv_ranges, found.tasks).groupBy("path").count().first()["count"] == len(want) + 1
 
 
+ODD_TEXTS = [None, "", " ", "  before", "behind \n", "\n\tx", "a\r\nb", "a\rb", "\r", '"', '"a"', 'a"', '"\n', '\n",1,"', "a\\", '\\"', ",", "a\x00b", '"\x00"', "\x0b",
+             "\ufeffx", "null", "NaN", "#", "\x85", "\u2028", "é" * 40_000, 'q"\x00\r\n, ' * 9_000]
+
+
+@pytest.mark.parametrize("name", ["csv_range_scan"])
+def test_texts_written_as_csv_come_back_as_they_were(spark, tmp_path, name):
+    want = [(str(i), [None, "", " en ", '"', "\r"][i % 5], text) for i, text in enumerate(ODD_TEXTS)]
+    spark.createDataFrame(want, "doc_id string, lang string, text string").withColumn("doc_id", F.col("doc_id").cast("long")) \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).select("doc_id", "lang", "text").collect()
+    assert sorted(map(tuple, got), key=lambda r: int(r[0])) == want
+
+
 def test_profile_of_odd_files(spark, tmp_path):
     folder = tmp_path / "odd"
     folder.mkdir()
