@@ -50,10 +50,8 @@ def raw_csv_scan(spark, d):
 
 @query("raw_csv_multiline", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents")
 def raw_csv_multiline(spark, d):
-    path = scratch_path(spark, "documents-csv")
-    table(spark, d, "documents").select("doc_id", "lang", "text").write.options(
-        header=True, quote='"', escape='"', quoteAll=True).csv(path)
-    return readers.read_raw(spark, path, options={"ignoreLeadingWhiteSpace": "false"})
+    path, options = _documents_csv(spark, d)
+    return readers.read_raw(spark, path, options={"ignoreLeadingWhiteSpace": "false", **options})
 
 
 @query("raw_json_scan", _CUSTOMER_TEXT)

@@ -139,7 +139,7 @@ ODD_TEXTS = [None, "", " ", "  before", "behind \n", "\n\tx", "a\r\nb", "a\rb",
              "\ufeffx", "null", "NaN", "#", "\x85", "\u2028", "é" * 40_000, 'q"\x00\r\n, ' * 9_000]
 
 
-@pytest.mark.parametrize("name", ["csv_range_scan"])
+@pytest.mark.parametrize("name", ["csv_range_scan", "raw_csv_multiline"])
 def test_texts_written_as_csv_come_back_as_they_were(spark, tmp_path, name):
     want = [(str(i), [None, "", " en ", '"', "\r"][i % 5], text) for i, text in enumerate(ODD_TEXTS)]
     spark.createDataFrame(want, "doc_id string, lang string, text string").withColumn("doc_id", F.col("doc_id").cast("long")) \
