@@ -55,6 +55,16 @@ def test_append_and_among(spark):
     assert {r["id"] % 7 for r in few.collect()} == {0} and few.count() == 48
 
 
+def test_calibration_holds_for_vectors_no_centroid_started_from(spark):
+    """As many cells as queries, so that those first in the order of the seeds would all be seeds."""
+    m = np.random.RandomState(9).standard_normal((3000, 32))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, vec array<double>").repartition(4)
+    index = VectorIndex.build(v, scratch_path(spark, "index"), cells=150, parts=8, entries=32, rounds=2)
+    assert index.calibrate(0.95, queries=37) >= 0.95
+    truth = neighbors.exact_knn(asked(v, 5), v, 10, exclude_self=True)
+    assert neighbors.recall(index.search(asked(v, 5), 10, exclude_self=True), truth).first()["recall"] >= 0.94
+
+
 def test_calibrated_settings_are_kept(spark):
     v = rows(spark, 900, 40, seed=3)
     index = VectorIndex.build(v, scratch_path(spark, "index"), cells=30, parts=5, entries=16, rounds=3)
